@@ -8,6 +8,7 @@ turn and ``unescape`` gives the text back unchanged.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,17 +57,15 @@ def reply_paths(nodes: DataFrame, scratch: Scratch, top_k: int = 1) -> DataFrame
     state = scratch.save(hop, "hop0")
     parents = state.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = state.alias("a").join(parents.alias("b"), F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.node") == F.col("b.node")), "left_anti").select("a.tree", "a.node")
-    jumps, limit = [], None
-    while True:
-        open_, rows = state.agg(F.count("up"), F.count("*")).first()
-        limit = limit or math.ceil(math.log2(max(rows, 1))) + 2
-        if not open_ or len(jumps) >= limit:
-            break
-        jumps.append(state.where("up is not null").select("tree", "node", "up"))
-        a, b = state.alias("a"), state.alias("b")
+    jumps, done, limit = [], [state.where("up is null")], math.ceil(math.log2(max(state.count(), 1))) + 2
+    while len(jumps) < limit and not (open_ := state.where("up is not null")).isEmpty():
+        # who has reached the root is not joined again
+        jumps.append(open_.select("tree", "node", "up"))
+        a, b = open_.alias("a"), reduce(DataFrame.union, [*done, open_]).alias("b")
         far = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left")
         state = scratch.save(far.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth")), f"hop{len(jumps)}")
-    a, b = leaves.alias("a"), state.where("up is null").alias("b")
+        done.append(state.where("up is null"))
+    a, b = leaves.alias("a"), reduce(DataFrame.union, done).alias("b")
     scored = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.node") == F.col("b.node")))
     scored = scored.select("a.tree", F.col("a.node").alias("leaf"), F.expr("b.total / b.depth").alias("branch_score"), "b.depth")
     if top_k == 1:
