@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, mixing, packing
+from textloom.llm import chat, jaccard, mixing, packing
 
 QUERIES = {
     "op4_shortest_pack_first": packing.op4_shortest_pack_first,
     "op6_entropy_mix": mixing.op6_entropy_mix,
     "op7_reply_tree_chat": chat.op7_reply_tree_chat,
+    "op8_vertical_jaccard_join": jaccard.op8_vertical_jaccard_join,
 }
 
 SQL = {
     "op6_entropy_mix": mixing.OP6_SQL,
     "op7_reply_tree_chat": chat.OP7_SQL,
+    "op8_vertical_jaccard_join": jaccard.OP8_SQL,
 }
