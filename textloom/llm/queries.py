@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, jaccard, mixing, packing
+from textloom.llm import chat, embeddings, jaccard, mixing, packing
 
 QUERIES = {
+    "op2_stable_projection_ann": embeddings.op2_stable_projection_ann,
+    "op3_int8_tile_dedup": embeddings.op3_int8_tile_dedup,
     "op4_shortest_pack_first": packing.op4_shortest_pack_first,
     "op6_entropy_mix": mixing.op6_entropy_mix,
     "op7_reply_tree_chat": chat.op7_reply_tree_chat,
@@ -12,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_int8_tile_dedup": embeddings.OP3_SQL,
     "op6_entropy_mix": mixing.OP6_SQL,
     "op7_reply_tree_chat": chat.OP7_SQL,
     "op8_vertical_jaccard_join": jaccard.OP8_SQL,
