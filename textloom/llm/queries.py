@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, embeddings, jaccard, mixing, packing
+from textloom.llm import chat, embeddings, html, jaccard, mixing, packing
 
 QUERIES = {
+    "op1_mincut_html": html.op1_mincut_html,
     "op2_stable_projection_ann": embeddings.op2_stable_projection_ann,
     "op3_int8_tile_dedup": embeddings.op3_int8_tile_dedup,
     "op4_shortest_pack_first": packing.op4_shortest_pack_first,
