@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, embeddings, html, jaccard, mixing, packing
+from textloom.llm import chat, embeddings, html, jaccard, lines, mixing, packing
 
 QUERIES = {
     "op1_mincut_html": html.op1_mincut_html,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_entropy_mix": mixing.op6_entropy_mix,
     "op7_reply_tree_chat": chat.op7_reply_tree_chat,
     "op8_vertical_jaccard_join": jaccard.op8_vertical_jaccard_join,
+    "op9_line_chunk_dedup": lines.op9_line_chunk_dedup,
 }
 
 SQL = {
@@ -19,4 +20,5 @@ SQL = {
     "op6_entropy_mix": mixing.OP6_SQL,
     "op7_reply_tree_chat": chat.OP7_SQL,
     "op8_vertical_jaccard_join": jaccard.OP8_SQL,
+    "op9_line_chunk_dedup": lines.OP9_SQL,
 }
