@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,9 +30,14 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, step: str) -> DataFrame:
-        """Write ``df`` as Parquet and return it as read from there."""
-        path = f"{self.root}/{step}"
-        df.write.mode("overwrite").parquet(path)
+        """Write ``df`` as Parquet and return it as read from there; its shuffle files go at once."""
+        path, conf = f"{self.root}/{step}", self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *steps: str) -> None:

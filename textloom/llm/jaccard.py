@@ -67,22 +67,26 @@ def own_shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 gram, owner = gram[order], owner[order]
                 cut = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
                 times = np.diff(np.concatenate((cut, [len(gram)])))
-                gram, doc, once = gram[cut], ids[first + owner[cut]], times == 1
-                part = (gram // np.uint64(width)).astype(np.int64)
-                rows: tuple[list, ...] = ([], [], [], [])
+                gram, once = gram[cut], times == 1
+                part, local = (gram // np.uint64(width)).astype(np.int64), owner[cut]
+                # by range, then by document, whose id is then written once
+                order = np.argsort(part * (len(texts) + 1) + np.where(once, local, len(texts)), kind="stable")
+                gram, local, once, part = gram[order], local[order], once[order], part[order]
+                rows: tuple[list, ...] = ([], [], [], [], [])
                 bounds = np.searchsorted(part, np.arange(ranges + 1))
                 for k in range(ranges):
                     s = slice(bounds[k], bounds[k + 1])
                     if s.start == s.stop:
                         continue
                     single = once[s]
-                    for column, value in zip(rows, (k, gram[s][single].tobytes(), doc[s][single].tobytes(), gram[s][~single].tobytes()), strict=True):
+                    docs_here, times = np.unique(local[s][single], return_counts=True)
+                    for column, value in zip(rows, (k, gram[s][single].tobytes(), ids[first + docs_here].tobytes(), times.astype(np.int32).tobytes(), gram[s][~single].tobytes()), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["part", "single", "doc", "several"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["part", "single", "doc", "times", "several"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         single = np.frombuffer(b"".join(pdf["single"]), np.uint64)
-        doc = np.frombuffer(b"".join(pdf["doc"]), np.int64)
+        doc = np.repeat(np.frombuffer(b"".join(pdf["doc"]), np.int64), np.frombuffer(b"".join(pdf["times"]), np.int32))
         several = np.frombuffer(b"".join(pdf["several"]), np.uint64)
         order = np.argsort(single, kind="stable")
         single, doc = single[order], doc[order]
@@ -96,7 +100,7 @@ def own_shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
         ids, own = np.unique(doc[alone], return_counts=True)
         return pd.DataFrame({"doc_id": ids, "own": own})
 
-    dealt = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "part int, single binary, doc binary, several binary")
+    dealt = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "part int, single binary, doc binary, times binary, several binary")
     return dealt.groupBy("part").applyInPandas(count, "doc_id long, own long").groupBy("doc_id").agg(F.sum("own").alias("own"))
 
 
