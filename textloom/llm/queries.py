@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat, embeddings, html, jaccard, lines, mixing, packing
+from textloom.llm import chat, embeddings, html, jaccard, lines, mixing, packing, toxicity
 
 QUERIES = {
     "op1_mincut_html": html.op1_mincut_html,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_reply_tree_chat": chat.op7_reply_tree_chat,
     "op8_vertical_jaccard_join": jaccard.op8_vertical_jaccard_join,
     "op9_line_chunk_dedup": lines.op9_line_chunk_dedup,
+    "op10_toxicity_chain": toxicity.op10_toxicity_chain,
 }
 
 SQL = {

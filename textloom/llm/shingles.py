@@ -25,11 +25,15 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint and text number of each word, A-Z lowered, in order."""
+def word_hashes(texts: list[bytes], blank: np.ndarray = _BLANK, beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and text number of each word, A-Z lowered, in order.
+
+    ``blank``: which bytes part words. After the words follow, for each length
+    in ``beginnings``, the first bytes of the words that are longer.
+    """
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     buf = _LOWER[buf]
-    solid = ~_BLANK[buf]
+    solid = ~blank[buf]
     edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
@@ -40,10 +44,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     power = np.ones(int(size.max()), np.uint64)
     power[1:] = _BASE
     power = np.cumprod(power)
-    value = (buf[at].astype(np.uint64) + np.uint64(1)) * power[np.arange(len(at)) - np.repeat(first, size)]
-    hashes = scramble(np.add.reduceat(value, first))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    value = (buf[at].astype(np.uint64) + np.uint64(1)) * power[place]
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    return hashes, np.searchsorted(ends, start, side="right")
+    owner = np.searchsorted(ends, start, side="right")
+    hashes, owners = [scramble(np.add.reduceat(value, first))], [owner]
+    for n in beginnings:
+        head = np.add.reduceat(np.where(place < n, value, np.uint64(0)), first)[size > n]
+        hashes.append(scramble(head + np.uint64(n)))
+        owners.append(owner[size > n])
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
