@@ -1,7 +1,9 @@
-"""All queries of the reference's own operators and their DuckDB twins."""
+"""All queries of the text-overlap engine and their DuckDB twins."""
 
 from __future__ import annotations
 
+from textloom.plans import tables, texts
+
 FLAGSHIP = "coverage"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict = {**texts.QUERIES, **tables.QUERIES}
+SQL: dict = {**texts.SQL, **tables.SQL}
