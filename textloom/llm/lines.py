@@ -95,7 +95,7 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = scratch.save(first.select("digest", "first"), "first")
     repeated = found.join(first, "digest").select("doc_id", "chunk", "digest")
     wanted = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("chunk", "digest")).alias("wanted"))
-    compared = scratch.save(texts.join(wanted, "doc_id").mapInArrow(bodies, "doc_id long, chunk int, digest binary, body string").distinct(), "bodies")
+    compared = scratch.save(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(bodies, "doc_id long, chunk int, digest binary, body string").distinct(), "bodies")
     heads = compared.join(first, "digest").where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("chunk") == F.col("first.chunk"))).select("digest", F.col("body").alias("head"))
     same = compared.join(first, "digest").join(heads, "digest").where(F.col("body") == F.col("head"))
     return same.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("chunk") != F.col("first.chunk"))).select("doc_id", "chunk")
@@ -123,7 +123,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
             arrays = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)][:-1]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(chunks, pa.int64()), pa.array(lines, pa.int64())], names=[*batch.schema.names[:-1], "removed_chunks", "removed_lines"])
 
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    # what is removed grows with the corpus: never a broadcast
+    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_chunks long, removed_lines long"
     return joined.mapInArrow(clean, schema)
 
