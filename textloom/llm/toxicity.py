@@ -122,10 +122,17 @@ def fit_chain(sample: DataFrame, names: list[str]) -> list[Linear]:
     labels = [f"_is_{n}" for n in names]
     long = sample.select("doc_id", "text", "_fold", *labels).mapInArrow(explode, "feature long, _fold int, " + ", ".join(f"{x} int" for x in labels))
     sums = [F.sum(F.when((F.col("_fold") == f) & ((F.col(x) == 1) if y else F.col(x).isNotNull()), 1).otherwise(0)).alias(f"{x}_{f}_{y}") for x in labels for f in range(FOLDS) for y in (0, 1)]
-    table = long.groupBy("feature").agg(F.count("*").alias("n"), *sums).where("n >= 3").toPandas()
+    truth = sample.select("doc_id", "_fold", *labels).toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
+    # only features that reach half the least value over all folds come to the driver
+    hopeful = F.lit(False)
+    for x in labels:
+        rows, yes = int(truth[x].notna().sum()), int(truth[x].sum())
+        n, a = (sum((F.col(f"{x}_{f}_{y}") for f in range(FOLDS)), F.lit(0.0)) for y in (0, 1))
+        lead = a * (rows - yes) - (n - a) * yes
+        hopeful |= lead * lead * rows >= F.lit(LEAST_CHI / 2) * n * (rows - n) * float(yes) * float(rows - yes)
+    table = long.groupBy("feature").agg(F.count("*").alias("n"), *sums).where("n >= 3").where(hopeful).toPandas()
     table = table.assign(feature=table["feature"].to_numpy().view(np.uint64)).sort_values("feature", kind="stable")
     known = table["feature"].to_numpy()
-    truth = sample.select("doc_id", "_fold", *labels).toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
     chosen: dict[tuple, np.ndarray] = {}
     for x in labels:
         for out in (*range(FOLDS), None):
