@@ -98,10 +98,20 @@ def own_shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             at = np.minimum(np.searchsorted(several, single), len(several) - 1)
             alone &= several[at] != single
         ids, own = np.unique(doc[alone], return_counts=True)
-        return pd.DataFrame({"doc_id": ids, "own": own})
+        # one row for each bucket of documents, not for each document
+        bucket = (scramble(ids.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ids, own, bucket = ids[order], own[order], bucket[order]
+        name, start = np.unique(bucket, return_index=True)
+        ends = [*start[1:], len(ids)]
+        return pd.DataFrame({"bucket": name, "ids": [ids[s:e].tobytes() for s, e in zip(start, ends, strict=True)], "own": [own[s:e].astype(np.int64).tobytes() for s, e in zip(start, ends, strict=True)]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.frombuffer(b"".join(pdf["ids"]), np.int64), return_inverse=True)
+        return pd.DataFrame({"doc_id": ids, "own": np.bincount(at, weights=np.frombuffer(b"".join(pdf["own"]), np.int64)).astype(np.int64)})
 
     dealt = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "part int, single binary, doc binary, times binary, several binary")
-    return dealt.groupBy("part").applyInPandas(count, "doc_id long, own long").groupBy("doc_id").agg(F.sum("own").alias("own"))
+    return dealt.groupBy("part").applyInPandas(count, "bucket long, ids binary, own binary").groupBy("bucket").applyInPandas(total, "doc_id long, own long")
 
 
 def linkable_sets(docs: DataFrame, own: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -123,7 +133,7 @@ def linkable_sets(docs: DataFrame, own: DataFrame, words: int = WORDS, percent:
             n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "n", "grams"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own.hint("merge"), "doc_id", "left")
     return rows.select("doc_id", "text", F.coalesce("own", F.lit(0)).alias("own")).mapInArrow(build, "doc_id long, n long, grams binary")
 
 
@@ -168,8 +178,11 @@ def frequency_sketch(sets: DataFrame, cells: int = CELLS) -> np.ndarray:
     return out
 
 
-def leader_pairs(sets: DataFrame, largest: bool) -> DataFrame:
-    """``a, b``: each document b with the small or large document a that shares most of its least fingerprints."""
+def leader_pairs(sets: DataFrame, largest: bool, component: DataFrame | None = None) -> DataFrame:
+    """``a, b``: each document b with the small or large document a that shares most of its least fingerprints.
+
+    With ``component``, leaders that b is already in one component with do not count.
+    """
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -183,6 +196,10 @@ def leader_pairs(sets: DataFrame, largest: bool) -> DataFrame:
     posted = sets.select("doc_id", "grams").mapInArrow(least, "gram long, doc_id long, n long")
     lead = posted.groupBy("gram").agg((F.max if largest else F.min)(F.struct("n", "doc_id")).alias("lead"), F.count("*").alias("rows")).where("rows > 1")
     votes = posted.join(lead, "gram").where("doc_id <> lead.doc_id").groupBy("doc_id", F.col("lead.doc_id").alias("a")).count()
+    if component is not None:
+        for key, name in (("doc_id", "of_b"), ("a", "of_a")):
+            votes = votes.join(component.select(F.col("id").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+        votes = votes.where("of_a <> of_b")
     return votes.groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("a")).alias("back"))).alias("x")).select((-F.col("x.back")).alias("a"), F.col("doc_id").alias("b"))
 
 
@@ -245,7 +262,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     parts = sets.select("doc_id", "grams").mapInArrow(cut, "id long, n long, part int, grams binary")
     left = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), "part", F.col("grams").alias("ga"))
     right = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), "part", F.col("grams").alias("gb"))
-    met = pairs.join(left, "a").join(right, ["b", "part"]).withColumn("common", F.pandas_udf(_common, "long")("ga", "gb"))
+    # neither the pairs nor the sets have a bound: never a broadcast
+    met = pairs.hint("merge").join(left, "a").hint("merge").join(right, ["b", "part"]).withColumn("common", F.pandas_udf(_common, "long")("ga", "gb"))
     total = met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return total.where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -260,8 +278,9 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, pe
     """
     sets = scratch.save(linkable_sets(docs, scratch.save(own_shingles(docs, words), "own"), words, percent), "sets")
     live = sets.where("grams is not null")
-    pairs = leader_pairs(live, False).union(leader_pairs(live, True)).distinct()
-    near = scratch.save(linked(pairs, live, percent), "near")
+    near = scratch.save(linked(leader_pairs(live, False), live, percent), "small")
+    component = connected_components(near, scratch, "small")
+    near = near.union(scratch.save(linked(leader_pairs(live, True, component), live, percent), "large"))
     component = connected_components(near, scratch, "near")
     rest = scratch.save(prefix_pairs(live, component, frequency_sketch(live), percent), "rest")
     far = scratch.save(linked(rest, live, percent), "far")
