@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,13 +62,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(1))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(items: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` items, joined by U+0001, by size, then place."""
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(items) - n + 1)
-        return F.when(F.size(items) >= n, F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
+    def runs(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - n + 1)
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(runs(n) for n in range(low, high + 1)))
+    return _once(items, lambda w: F.concat(*(runs(w, n) for n in range(low, high + 1))))
 
 
 def char_stream(text: Column) -> Column:
@@ -77,11 +83,11 @@ def char_stream(text: Column) -> Column:
 
 def char_ngrams(stream: Column, low: int, high: int) -> Column:
     """All windows of ``low`` to ``high`` code points, spaces included."""
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(stream) - n + 1)
-        return F.when(F.length(stream) >= n, F.transform(starts, lambda i: F.substr(stream, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def runs(t: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(t) - n + 1)
+        return F.when(F.length(t) >= n, F.transform(starts, lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(runs(n) for n in range(low, high + 1)))
+    return _once(stream, lambda t: F.concat(*(runs(t, n) for n in range(low, high + 1))))
 
 
 #: Zero-width place after a sentence end that no abbreviation explains.
