@@ -14,7 +14,8 @@ from textloom.llm.common import Scratch, read
 from textloom.llm.shingles import chunks, word_hashes
 
 #: Labelled documents that the models are fitted on, at most, by least hash of their id.
-FIT_ROWS = 20_000
+#: The driver holds which chosen features each of them has, so this bounds its memory.
+FIT_ROWS = 10_000
 #: Folds for the out-of-fold probabilities.
 FOLDS = 3
 #: Features of a model, at most, and the least chi-square value of one.
@@ -147,12 +148,15 @@ def fit_chain(sample: DataFrame, names: list[str]) -> list[Linear]:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in chunks(batch, 1):
                 feature, owner = _kept(*text_features(texts), wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + owner], pa.int64()), pa.array(np.searchsorted(wanted, feature), pa.int64())], names=["doc_id", "at"])
+                at, ends = np.searchsorted(wanted, feature).astype(np.int32), np.searchsorted(owner, np.arange(1, len(texts)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(texts)], pa.int64()), pa.array([x.tobytes() for x in np.split(at, ends)], pa.binary())], names=["doc_id", "at"])
 
-    seen = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(incidences, "doc_id long, at long").toPandas()
-    owner = np.searchsorted(truth["doc_id"].to_numpy(), seen["doc_id"].to_numpy())
-    column = union[seen["at"].to_numpy()]
+    seen = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(incidences, "doc_id long, at binary").toPandas()
     fold, n = truth["_fold"].to_numpy(), len(truth)
+    lists = [np.frombuffer(x, np.int32) for x in seen["at"]]
+    owner = np.repeat(np.searchsorted(truth["doc_id"].to_numpy(), seen["doc_id"].to_numpy()), [len(x) for x in lists]).astype(np.int32)
+    column = union[np.concatenate(lists)].astype(np.int32) if lists else np.zeros(0, np.int32)
+    del seen, lists
     earlier, models = np.zeros((n, 0)), []
 
     def fit(x: str, out: int | None) -> Linear:
@@ -165,6 +169,7 @@ def fit_chain(sample: DataFrame, names: list[str]) -> list[Linear]:
 
     for x in labels:
         held = np.zeros(n)
+        # the last category has no later one to feed
         if x != labels[-1]:
             for out in range(FOLDS):
                 p = fit(x, out).probability(known[column], owner, n, earlier)
