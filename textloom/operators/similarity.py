@@ -29,8 +29,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def gram_counts(texts: DataFrame, grams: Column) -> DataFrame:
     """``id, gram, tf, norm2``: counts of each text's grams and their sum of squares."""
     counts = texts.select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").cast("double").alias("tf"))
-    norms = counts.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("norm2"))
-    return counts.join(norms, "id")
+    return counts.withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
 
 
 def word_counts(texts: DataFrame, config: Config = Config()) -> DataFrame:
@@ -164,13 +163,14 @@ def score_components(word: Column, char: Column, overlap: Column, config: Config
     return F.struct(F.lit("chunk_pair").alias("scope"), F.lit(config.version).alias("algorithm_version"), signal(word, config.word_weight).alias("word_tfidf"), signal(char, config.char_weight).alias("character_tfidf"), signal(overlap, config.overlap_weight).alias("word_overlap"))
 
 
-def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config = Config(), prune: bool = True) -> DataFrame:
+def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config = Config(), prune: bool = True, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``l, r, word, char, overlap, score`` of pairs of ``id, text`` rows.
 
     With ``prune``, pairs that cannot reach the threshold are dropped before
-    the character grams, the dearest signal, are counted.
+    the character grams, the dearest signal, are counted. ``counts``: word
+    counts of both sides, if they are at hand.
     """
-    lw, rw = word_counts(left, config), word_counts(right, config)
+    lw, rw = counts or (word_counts(left, config), word_counts(right, config))
     scored = pair_cosine(pairs, lw, rw, "word")
     a = left.select(F.col("id").alias("l"), F.array_distinct(T.words(F.col("text"))).alias("wl"))
     b = right.select(F.col("id").alias("r"), F.array_distinct(T.words(F.col("text"))).alias("wr"))
@@ -178,6 +178,7 @@ def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Con
     if prune:
         best = hybrid_score(F.col("word"), F.lit(1.0), F.col("overlap"), config)
         scored = scored.where(best >= F.lit(config.threshold))
+    scored = scored.persist()
     lives = scored.select("l", "r")
     chars = pair_cosine(lives, char_counts(left.join(lives.select(F.col("l").alias("id")).distinct(), "id", "left_semi"), config), char_counts(right.join(lives.select(F.col("r").alias("id")).distinct(), "id", "left_semi"), config), "char")
     scored = scored.join(chars, ["l", "r"])
@@ -185,6 +186,11 @@ def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Con
 
 
 def match_pairs(left: DataFrame, right: DataFrame, config: Config = Config()) -> DataFrame:
-    """Scored pairs at or above the threshold, unrounded and inclusive."""
-    pairs = candidate_pairs(word_counts(left, config), word_counts(right, config), config)
-    return score_pairs(pairs, left, right, config).where(F.col("score") >= F.lit(config.threshold))
+    """Scored pairs at or above the threshold, unrounded and inclusive.
+
+    The gram counts, used for candidates and for scores, are computed once
+    and kept on the executors, on disk beyond their memory.
+    """
+    counts = word_counts(left, config).persist(), word_counts(right, config).persist()
+    pairs = candidate_pairs(*counts, config)
+    return score_pairs(pairs, left, right, config, counts=counts).where(F.col("score") >= F.lit(config.threshold))

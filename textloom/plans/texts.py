@@ -27,7 +27,8 @@ def chunked(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return chunked(spark, sf_dir, "documents", "doc_id"), chunked(spark, sf_dir, "benchmark", "item_id")
+    """Chunks of both sides, cut once and kept for the several joins of a query."""
+    return chunked(spark, sf_dir, "documents", "doc_id").persist(), chunked(spark, sf_dir, "benchmark", "item_id").persist()
 
 
 def as_text(rows: DataFrame) -> DataFrame:
