@@ -6,7 +6,7 @@ to count is found without listing the pairs inside a group:
 
 1. shingles that one document alone holds are found range by range; documents
    with too many of them can link with nothing and go no further;
-2. each remaining document is compared with one small and one large document
+2. each remaining document is compared with one typical and one large document
    with which it shares most of its least fingerprints, which joins most
    groups by links to a few leaders;
 3. of the rest, all pairs in different components that share a prefix shingle
@@ -178,23 +178,35 @@ def frequency_sketch(sets: DataFrame, cells: int = CELLS) -> np.ndarray:
     return out
 
 
-def leader_pairs(sets: DataFrame, largest: bool, component: DataFrame | None = None) -> DataFrame:
-    """``a, b``: each document b with the small or large document a that shares most of its least fingerprints.
+def leader_pairs(sets: DataFrame, sketch: np.ndarray, typical: bool, component: DataFrame | None = None) -> DataFrame:
+    """``a, b``: each document b with the leader a with which it shares most of its least fingerprints.
 
-    With ``component``, leaders that b is already in one component with do not count.
+    The leader of a shingle is its ``typical`` document, the one whose
+    shingles are the most frequent by the sketch: the text that others were
+    made from has none of their changes. Then only the rarer half of a set
+    counts, so that a passage that unlike documents share chooses no leaders.
+    Otherwise the leader is the largest document and the whole set counts.
+    With ``component``, leaders that b is already in one component with do
+    not count.
     """
+    held = sets.sparkSession.sparkContext.broadcast(sketch.astype(np.int32))  # CELLS numbers
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for doc_id, gram in _each_set(batches):
-                key = scramble(gram ^ np.uint64(0x5851F42D4C957F2D if largest else 0))
+                rank = -len(gram)
+                if typical:
+                    often = held.value[(gram % np.uint64(len(held.value))).astype(np.int64)]
+                    rank = -int(1000 * often.mean())
+                    gram = gram[often <= np.median(often)]
+                key = scramble(gram ^ np.uint64(0 if typical else 0x5851F42D4C957F2D))
                 pick = np.argpartition(key, LEADER_GRAMS - 1)[:LEADER_GRAMS] if len(gram) > LEADER_GRAMS else np.arange(len(gram))
-                yield gram[pick].view(np.int64), np.full(len(pick), doc_id), np.full(len(pick), len(gram))
+                yield gram[pick].view(np.int64), np.full(len(pick), doc_id), np.full(len(pick), rank)
 
-        yield from _batched(rows(), ["gram", "doc_id", "n"])
+        yield from _batched(rows(), ["gram", "doc_id", "rank"])
 
-    posted = sets.select("doc_id", "grams").mapInArrow(least, "gram long, doc_id long, n long")
-    lead = posted.groupBy("gram").agg((F.max if largest else F.min)(F.struct("n", "doc_id")).alias("lead"), F.count("*").alias("rows")).where("rows > 1")
+    posted = sets.select("doc_id", "grams").mapInArrow(least, "gram long, doc_id long, rank long")
+    lead = posted.groupBy("gram").agg(F.min(F.struct("rank", "doc_id")).alias("lead"), F.count("*").alias("rows")).where("rows > 1")
     votes = posted.join(lead, "gram").where("doc_id <> lead.doc_id").groupBy("doc_id", F.col("lead.doc_id").alias("a")).count()
     if component is not None:
         for key, name in (("doc_id", "of_b"), ("a", "of_a")):
@@ -278,11 +290,13 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, pe
     """
     sets = scratch.save(linkable_sets(docs, scratch.save(own_shingles(docs, words), "own"), words, percent), "sets")
     live = sets.where("grams is not null")
-    near = scratch.save(linked(leader_pairs(live, False), live, percent), "small")
-    component = connected_components(near, scratch, "small")
-    near = near.union(scratch.save(linked(leader_pairs(live, True, component), live, percent), "large"))
+    sketch = frequency_sketch(live)
+    near = scratch.save(linked(leader_pairs(live, sketch, True), live, percent), "typical")
+    # every document has one leader here, so the links themselves tell who is surely together
+    component = near.select(F.col("v").alias("id"), F.col("u").alias("component"))
+    near = near.union(scratch.save(linked(leader_pairs(live, sketch, False, component), live, percent), "large"))
     component = connected_components(near, scratch, "near")
-    rest = scratch.save(prefix_pairs(live, component, frequency_sketch(live), percent), "rest")
+    rest = scratch.save(prefix_pairs(live, component, sketch, percent), "rest")
     far = scratch.save(linked(rest, live, percent), "far")
     final = connected_components(near.union(far), scratch, "all")
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
