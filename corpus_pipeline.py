@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch, read
 from textloom.llm.jaccard import jaccard_components
-from textloom.llm.lines import dedup_lines
+from textloom.llm.lines import dedup_passages
 from textloom.llm.mixing import mix
 from textloom.llm.packing import pack_documents
 from textloom.llm.toxicity import toxicity
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the multi-line passages that stand earlier; ``n_chars`` follows the text."""
-    cleaned = dedup_lines(docs, Scratch(spark, "stage-lines"))
+    """Documents without the multi-line passages and long lines that stand earlier; ``n_chars`` follows the text."""
+    cleaned = dedup_passages(docs, Scratch(spark, "stage-lines"))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

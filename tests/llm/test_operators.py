@@ -230,6 +230,65 @@ def test_line_passages_go_once(spark, scratch):
     assert {d: got[d]["text"] for d in want} == want and got[2]["removed_lines"] > 0
 
 
+def brute_passages(rows):
+    """Texts without the maximal common runs of several lines or over 50 words that stand earlier."""
+    docs = [(d, t.split("\n")) for d, t in sorted(rows) if t is not None]
+    gone = {d: set() for d, _ in docs}
+    for x, (d, own) in enumerate(docs):
+        for y, (_, other) in enumerate(docs[: x + 1]):
+            for shift in range(1 - len(other), len(own)):
+                if y == x and shift < 1:
+                    continue
+                run = []
+                for i in range(len(own) + 1):
+                    if i < len(own) and 0 <= i - shift < len(other) and own[i] == other[i - shift]:
+                        run.append(i)
+                        continue
+                    several = len(run) > 1 and any(own[k].strip() for k in run)
+                    if several or sum(len(own[k].split()) for k in run) > 50:
+                        gone[d].update(run)
+                    run = []
+    return {d: ("\n".join(line for i, line in enumerate(own) if i not in gone[d]), len(gone[d])) for d, own in docs}
+
+
+def passage_rows():
+    rng = random.Random(9)
+    serial = iter(range(10**6))
+    fresh = lambda n: [f"own line {next(serial)}" for _ in range(n)]
+    planted = [[" ".join(f"p{n}w{k}" for k in range(51))] if n == 1 else [f"passage {n} line {k}" for k in range(n)] for n in (1, 2, 5, 20)]
+    planted += [["short one"], ["", "", "after blanks", "", "", "", "again"], ["tail", "", ""], ["", " "]]
+    rows = []
+    for _ in range(60):
+        parts = [fresh(rng.randint(1, 4))]
+        for _ in range(rng.randint(0, 4)):
+            parts += [rng.choice(planted), fresh(rng.choice([0, 1, 3]))]
+        rows.append((len(rows), "\n".join(line for part in parts for line in part)))
+    return planted, [*rows, (100, rows[7][1]), (101, "a\na\na\na"), (102, ""), (103, None)]
+
+
+def test_passages_go_whole(spark, scratch):
+    planted, rows = passage_rows()
+    # an id under two texts: what goes from one does not go from the other
+    twice = [(200, "zero\none\ntwo"), (200, "own line 0\n" + "\n".join(planted[2]))]
+    df = docs_of(spark, [*rows, *twice, (None, rows[3][1])])
+    got = lines.dedup_passages(df.withColumn("removed_lines", F.lit("clash")), scratch).collect()
+    want = brute_passages(rows)
+    assert {r["doc_id"]: (r["text"], r["removed_lines"]) for r in got if r["doc_id"] in want} == want
+    assert {r["text"] for r in got if r["doc_id"] == 200} == {"zero\none\ntwo", "own line 0"}
+    assert {r["text"] for r in got if r["doc_id"] is None} == {rows[3][1]} and len(got) == len(df.collect())
+    left = "\n".join(t for t, _ in want.values())
+    assert all(left.count("\n".join(p)) == 1 for p in planted[:4]) and left.count("short one") > 1
+
+
+def test_pipeline_stage_removes_passages(spark):
+    import corpus_pipeline
+
+    _, rows = passage_rows()
+    df = docs_of(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    assert got == {d: (t, len(t)) for d, (t, _) in brute_passages(rows).items()} | {103: (None, None)}
+
+
 def test_chunk_borders_shift_with_the_text():
     body = [hashlib.md5(str(i).encode()).hexdigest() for i in range(60)]
     a = {tuple(body[s:e]) for s, e in lines.chunk_lines(body)}

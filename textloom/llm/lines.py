@@ -3,23 +3,30 @@
 A rolling hash over the hashes of neighbouring lines picks the chunk borders,
 so that a passage falls into the same chunks wherever it stands. Chunks of two
 or more lines that occur again are removed, all but their first occurrence.
+
+``dedup_passages`` needs no borders: of every run of lines that stands earlier
+too, it removes all that has several lines or a line of many words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, read
+from textloom.llm.common import WORD, Scratch, read
 
 #: Lines over which the hash rolls, one border in so many windows, and fewest lines of a chunk that can go.
 WINDOW, ONE_IN, LEAST_LINES = 2, 2, 2
 #: Base and modulus of the rolling hash of 28-bit line hashes.
 BASE, MODULUS = 1_000_003, (1 << 31) - 1
+#: Words above which a single line is a passage.
+LONE_WORDS = 50
+_WORD = re.compile(WORD)
 
 
 def line_hash(line: str) -> int:
@@ -129,6 +136,92 @@ def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return joined.mapInArrow(clean, schema)
 
 
+def passage_windows(lines: list[str]) -> Iterator[tuple[int, int, bytes]]:
+    """``(start, end, digest)`` of the smallest passages, as half-open line ranges.
+
+    These are two neighbouring lines, a line with the blank ones next to it on
+    one side, and a line of more than ``LONE_WORDS`` words. Every run of
+    several lines, not all blank, is made of such windows alone, so a run that
+    occurs again is found whole by its windows, at any length and between any
+    lines. Digests are SHA-256 of the lines' bytes.
+    """
+
+    def grown(kind: bytes, line: str):
+        return hashlib.sha256(kind + line.encode())
+
+    blank = [not line.strip() for line in lines]
+    # of the last line with text, and the blank ones after it
+    at, forth = -1, None
+    for i, line in enumerate(lines):
+        if blank[i]:
+            if forth is not None:
+                forth.update(b"\n" + line.encode())
+                yield at, i + 1, forth.digest()
+            continue
+        if i and not blank[i - 1]:
+            yield i - 1, i + 1, grown(b"2", lines[i - 1] + "\n" + line).digest()
+        if len(line) > 2 * LONE_WORDS and len(_WORD.findall(line)) > LONE_WORDS:
+            yield i, i + 1, grown(b"1", line).digest()
+        at, forth = i, grown(b">", line) if i + 1 < len(lines) and blank[i + 1] else None
+        if i and blank[i - 1]:
+            back = grown(b"<", line)
+            for k in range(i - 1, -1, -1):
+                if not blank[k]:
+                    break
+                back.update(b"\n" + lines[k].encode())
+                yield k, i + 1, back.digest()
+
+
+def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, mark, start, end``: windows of ``doc_id, mark, text`` that stand earlier, by document, mark and line."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, m, *w) for d, m, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) for w in passage_windows(t.as_py().split("\n"))]
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "mark", "start", "end", "digest"])
+
+    found = scratch.save(docs.mapInArrow(digests, "doc_id long, mark long, start int, end int, digest binary"), "windows")
+    place = F.struct("doc_id", "mark", "start")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    first = scratch.save(first.select("digest", "first"), "first")
+    return found.join(first, "digest").where(place != F.col("first")).select("doc_id", "mark", "start", "end")
+
+
+def dedup_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """All columns of ``docs``, ``text`` without the passages that stand earlier, plus ``removed_lines``.
+
+    A passage is a run of several lines, not all blank, or a line of more than
+    ``LONE_WORDS`` words. Earlier is in a smaller document, or further up in
+    the same; the first occurrence of any line stays. Every row stays, even if
+    nothing of its text does. Rows with a null id or text are unchanged; equal
+    rows of one id count as one document. A column with the added name is
+    replaced.
+    """
+    docs = docs.drop("removed_lines")
+    mark = F.xxhash64("text")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text")
+    gone = scratch.save(repeated_windows(texts, scratch), "gone").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("start", "end")).alias("_gone"))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, dropped = [], []
+            for text, drop in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                text = text.as_py()
+                out: set[int] = set()
+                for w in drop or ():
+                    out.update(range(w["start"], w["end"]))
+                texts.append("\n".join(line for i, line in enumerate(text.split("\n")) if i not in out) if out else text)
+                dropped.append(len(out))
+            arrays = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)][:-1]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(dropped, pa.int64())], names=[*batch.schema.names[:-1], "removed_lines"])
+
+    # what is removed grows with the corpus: never a broadcast
+    joined = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (mark == F.col("_mark")), "left").drop("_id", "_mark")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_lines long"
+    return joined.mapInArrow(clean, schema)
+
+
 def op9_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without repeated multi-line passages."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
