@@ -230,6 +230,37 @@ def test_line_passages_go_once(spark, scratch):
     assert {d: got[d]["text"] for d in want} == want and got[2]["removed_lines"] > 0
 
 
+def brute_repeated(rows, percent=75):
+    """Components of ids where each row is compared by itself and rows of one id stand together."""
+    apart = [(k, t) for k, (_, t) in enumerate(rows)]
+    found, ids = brute_components(apart, percent), [d for d, _ in rows]
+    edges, root = [(ids[k], ids[c]) for k, (_, c) in found.items()], {d: d for d in ids}
+    for _ in ids:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    return sorted((d, found[k][0], root[d]) for k, d in enumerate(ids))
+
+
+def test_jaccard_with_repeated_ids(spark, scratch):
+    def text(own, shared=""):
+        return f"{shared} " + " ".join(f"{own}{i}" for i in range(30))
+
+    shared = " ".join(f"s{i}" for i in range(20))
+    # Jaccard of 1 and 2 about 0.2 with rows of both repeated; 5 joins 3 and 6 by its two texts
+    rows = [(1, text("a", shared)), (1, text("a", shared)), (2, text("b", shared)), (2, text("b", shared)), (3, text("c")), (5, text("c") + " x"), (5, text("d")), (5, text("d")), (6, "y " + text("d")), (7, text("e", shared)), (8, None), (8, ""), (9, text("f")), (9, text("g"))]
+    # with one side repeated too: about a half in common
+    rows += [(20, " ".join(f"h{i}" for i in range(60))), (20, " ".join(f"h{i}" for i in range(60))), (21, " ".join(f"h{i}" for i in range(20, 80)))]
+    rng = random.Random(4)
+    for d in range(30, 42):
+        base = [f"r{d // 4}w{i}" for i in range(60)]
+        rows += [(d - rng.choice([0, 0, 1]), " ".join(w if rng.random() > 0.02 else f"z{rng.random()}" for w in base)) for _ in range(2)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs_of(spark, rows), scratch).collect())
+    assert got == brute_repeated(rows)
+    with_null = [*rows, (None, rows[0][1])]
+    got = jaccard.jaccard_components(docs_of(spark, with_null), scratch).collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None] == [(46, None)] and len(got) == len(with_null)
+
+
 def brute_passages(rows):
     """Texts without the maximal common runs of several lines or over 50 words that stand earlier."""
     docs = [(d, t.split("\n")) for d, t in sorted(rows) if t is not None]

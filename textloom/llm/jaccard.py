@@ -280,15 +280,19 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return total.where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def jaccard_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``doc_id, text``.
+def set_sizes(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id, n``: set size of every row."""
 
-    A component holds the documents that links reach from each other; its id
-    is its smallest document. A row without words, or with a null id, links
-    with nothing and has its own id. Rows with one id count as one document
-    once linked. Shingles are compared as 64-bit fingerprints.
-    """
-    sets = scratch.save(linkable_sets(docs, scratch.save(own_shingles(docs, words), "own"), words, percent), "sets")
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.diff(np.searchsorted(shingle_sets(texts, words)[1], np.arange(len(texts) + 1))) for _, texts in chunks(batch, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64())], names=["doc_id", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long")
+
+
+def set_links(sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """``u, v``: links between sets that connect all that any links connect; no id may repeat among the sets."""
     live = sets.where("grams is not null")
     sketch = frequency_sketch(live)
     near = scratch.save(linked(leader_pairs(live, sketch, True), live, percent), "typical")
@@ -297,9 +301,34 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, pe
     near = near.union(scratch.save(linked(leader_pairs(live, sketch, False, component), live, percent), "large"))
     component = connected_components(near, scratch, "near")
     rest = scratch.save(prefix_pairs(live, component, sketch, percent), "rest")
-    far = scratch.save(linked(rest, live, percent), "far")
-    final = connected_components(near.union(far), scratch, "all")
-    return sets.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return near.union(scratch.save(linked(rest, live, percent), "far"))
+
+
+def jaccard_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``doc_id, text``.
+
+    A component holds the documents that links reach from each other; its id
+    is its smallest document. A row without words, or with a null id, links
+    with nothing and has its own id. Rows with one id count as one document
+    once linked: each of its different texts is compared by itself, and equal
+    rows once. Shingles are compared as 64-bit fingerprints.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = scratch.save(linkable_sets(docs, scratch.save(own_shingles(docs, words), "own"), words, percent), "sets")
+        sizes, links = sets.select("doc_id", "n"), set_links(sets, scratch, percent)
+    else:
+        # each text of an id under a name of its own, written once so that names stay
+        named = scratch.save(known.distinct().withColumn("name", F.monotonically_increasing_id()), "named")
+        texts = named.select(F.col("name").alias("doc_id"), "text")
+        sets = scratch.save(linkable_sets(texts, scratch.save(own_shingles(texts, words), "own"), words, percent), "sets")
+        sizes, links = set_sizes(docs, words), set_links(sets, scratch, percent)
+        for end in ("u", "v"):
+            ids = named.select(F.col("name").alias(end), F.col("doc_id").alias("_id"))
+            links = links.join(ids.hint("merge"), end).drop(end).withColumnRenamed("_id", end)
+    final = connected_components(links, scratch, "all")
+    return sizes.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op8_vertical_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
