@@ -1,4 +1,5 @@
 import hashlib
+import heapq
 import random
 import zlib
 from array import array
@@ -123,6 +124,36 @@ def test_patterns_place_every_piece():
     assert max(used.values()) <= 1024 and sorted(used) == list(range(len(used)))
 
 
+def test_packs_of_hot_lengths_are_full():
+    def fill(histogram):
+        table = packing.packing_patterns(histogram)
+        used, starts = {}, {}
+        for length, _, count, first, offset in table:
+            for s in range(first, first + count):
+                used[s] = used.get(s, 0) + length
+                starts.setdefault(s, []).append((offset, length))
+        assert {n: sum(x[2] for x in table if x[0] == n) for n in histogram} == histogram and sorted(used) == list(range(len(used)))
+        for parts in starts.values():
+            parts.sort()
+            assert parts[0][0] == 0 and sum(parts[-1]) <= 1024 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False))
+        # one by one into the shortest open pack, longest pieces first
+        spaces = []
+        for length in sorted((n for n in histogram for _ in range(histogram[n])), reverse=True):
+            if spaces and spaces[0] <= -length:
+                heapq.heapreplace(spaces, spaces[0] + length)
+            else:
+                heapq.heappush(spaces, length - 1024)
+        assert sorted(1024 + x for x in spaces) == sorted(used.values())
+        return sum(n * c for n, c in histogram.items()) / 1024 / len(used)
+
+    assert fill({100: 5003}) > 0.97 and fill({1: 3000}) > 0.97 and fill({512: 7}) == 0.875
+    rng = np.random.default_rng(6)
+    lengths, times = np.unique(np.clip(rng.lognormal(5.5, 1, 20_000).astype(int), 2, 1024), return_counts=True)
+    usual = dict(zip(lengths.tolist(), times.tolist(), strict=True))
+    for hot in (60, 150, 300):
+        assert fill(usual | {hot: usual.get(hot, 0) + 10_000}) > 0.9
+
+
 def test_fixity(spark, scratch):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 300 * 40)) for i in range(2500)] + [(None, None, None)], "page_id long, url string, html string")
     records = scratch.save(fixity.warc_records(pages), "records")

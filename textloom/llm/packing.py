@@ -109,10 +109,14 @@ def packing_patterns(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[
                 left -= used
             if not left:
                 break
-        while left:
-            # fresh packs take one each; once all are placed nothing is left of this length
-            groups.setdefault(max_len - length, []).append([left, (None, length, 0)])
-            left = 0
+        # fresh packs take as many as they hold, the last one what remains
+        most = max_len // length
+        for packs, each in ((left // most, most), (1, left % most)):
+            if packs and each:
+                parts = None
+                for k in range(each):
+                    parts = (parts, length, k * length)
+                groups.setdefault(max_len - each * length, []).append([packs, parts])
     intervals, ranks, sequence = [], dict.fromkeys(histogram, 0), 0
     for space in sorted(groups):
         for packs, parts in groups[space]:
