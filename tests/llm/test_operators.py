@@ -75,6 +75,28 @@ def test_neighbours_recall_and_bad_vectors(spark, scratch):
     assert embeddings.nearest_neighbours(df.where("false"), df.where("false"), scratch).count() == 0
 
 
+def test_neighbours_in_many_regions_with_equal_vectors(spark, scratch, monkeypatch):
+    monkeypatch.setattr(embeddings, "REGION_ROWS", 64)
+    monkeypatch.setattr(embeddings, "QUERIES_PER_TASK", 10)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 12)).astype(np.float32)
+    x[::3] = x[0]
+    # a dense group of different vectors
+    x = np.vstack([x, x[1] + np.float32(1e-6) * rng.normal(size=(400, 12)).astype(np.float32)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert sorted(r["vec_id"] for r in embeddings.least_of_equal(df.union(df).where("vec_id % 3 = 0 and vec_id < 900"), 11).collect()) == list(range(0, 33, 3))
+    got = embeddings.nearest_neighbours(df.where("vec_id % 50 = 0"), df, scratch).toPandas()
+    data, hits = x.astype(np.float64), 0
+    for q, part in got.groupby("query_id"):
+        d = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((np.arange(len(d)), d)) if i != q][:10]
+        hits += len(set(want) & set(part["vec_id"]))
+        if q < 900 and q % 3 == 0:
+            assert list(part.sort_values("rank")["vec_id"]) == want
+        assert all(r.score == pytest.approx(d[r.vec_id], abs=1e-12) for r in part.itertuples())
+    assert got["query_id"].nunique() == 26 and hits >= 0.9 * 260
+
+
 def test_quantised_pairs_equal_brute_force():
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))

@@ -264,10 +264,21 @@ def search_block(tree: KdTree, ids: np.ndarray, vectors: np.ndarray, query_id: i
     return best
 
 
+def least_of_equal(rows: DataFrame, k: int) -> DataFrame:
+    """``vec_id, embedding``: of each group of equal vectors the k smallest ids, each once.
+
+    Tasks keep only so many of a group before the shuffle.
+    """
+    same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
+    few = rows.withColumn("_r", F.dense_rank().over(same)).where(F.col("_r") <= k)
+    return few.withColumn("_before", F.lag("vec_id").over(same)).where("_before is null or _before <> vec_id").select("vec_id", "embedding")
+
+
 def nearest_neighbours(queries: DataFrame, vectors: DataFrame, scratch: Scratch, k: int = 10, confidence: float = CONFIDENCE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of ``vectors`` (``vec_id, embedding``) to each query.
 
-    All rows are indexed: regions of the projected space are fitted on a
+    All rows are indexed, equal vectors by their k + 1 smallest ids, beyond
+    which none can be among the k nearest: regions of the projected space are fitted on a
     bounded sample and each block of a region has its own kd-tree. A query is
     first answered by its home region; then by the regions that the test at
     its k-th distance cannot rule out. Distances are exact, ties go to the
@@ -279,14 +290,14 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, scratch: Scratch,
     schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return rows.sparkSession.createDataFrame([], schema)
-    dim, count = sizes
-    rows = rows.where(F.size("embedding") == dim)
+    dim = sizes[0]
+    rows = scratch.save(least_of_equal(rows.where(F.size("embedding") == dim), k + 1), "kept")
+    count = rows.count()
     asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).where(F.size("embedding") == dim).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("query"))
     matrix, factor = projection(dim), chi_square_quantile(confidence)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toPandas()["embedding"]
     regions = int(min(MAX_REGIONS, max(1, 2 ** math.ceil(math.log2(max(1, count / REGION_ROWS))))))
     tree = fit_regions(np.stack(sample).astype(np.float64) @ matrix, regions)
-    slots = max(1, math.ceil(count / regions / (4 * REGION_ROWS)))
     slices = max(1, math.ceil(asked.count() / QUERIES_PER_TASK))
 
     def place(batches):
@@ -294,10 +305,13 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, scratch: Scratch,
             points = np.stack(pdf["embedding"]).astype(np.float64) @ matrix if len(pdf) else np.zeros((0, PROJECTED))
             yield pdf.assign(region=region_of(tree, points), low=list(points))
 
-    placed = scratch.save(rows.mapInPandas(place, "vec_id long, embedding array<float>, region long, low array<double>").withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int")), "placed")
+    placed = scratch.save(rows.mapInPandas(place, "vec_id long, embedding array<float>, region long, low array<double>"), "placed")
     axis = range(PROJECTED)
-    boxes = {r[0]: (np.array(r[1 : 1 + PROJECTED]), np.array(r[1 + PROJECTED :])) for r in placed.groupBy("region").agg(*(F.min(F.col("low")[i]).alias(f"l{i}") for i in axis), *(F.max(F.col("low")[i]).alias(f"h{i}") for i in axis)).collect()}
-    blocks = placed.drop("low").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))) if slices > 1 else placed.drop("low").withColumn("slice", F.lit(0))
+    boxes = {r[0]: (np.array(r[2 : 2 + PROJECTED]), np.array(r[2 + PROJECTED :]), r[1]) for r in placed.groupBy("region").agg(F.count("*"), *(F.min(F.col("low")[i]).alias(f"l{i}") for i in axis), *(F.max(F.col("low")[i]).alias(f"h{i}") for i in axis)).collect()}
+    # a region's rows are dealt over slots by its own count; MAX_REGIONS rows at most
+    dealt_over = F.broadcast(rows.sparkSession.createDataFrame([(b, math.ceil(x[2] / (4 * REGION_ROWS))) for b, x in boxes.items()], "region long, slots int"))
+    blocks = placed.drop("low").join(dealt_over, "region").withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.col("slots")).cast("int")).drop("slots")
+    blocks = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))) if slices > 1 else blocks.withColumn("slice", F.lit(0))
     box_ids = sorted(boxes)
     box_low, box_high = np.stack([boxes[b][0] for b in box_ids]), np.stack([boxes[b][1] for b in box_ids])
 
@@ -328,7 +342,7 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, scratch: Scratch,
 
     def answers(routed: DataFrame) -> DataFrame:
         # each slot of a region answers the query
-        dealt = routed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+        dealt = routed.join(dealt_over, "region").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
         key = ["region", "slot", "slice"]
         return dealt.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(search, "query_id long, distance double, vec_id long")
 
