@@ -53,6 +53,17 @@ def test_html(spark):
     assert got == {1: (text, len(text)), 2: ("", 0), 3: ("", 0), None: ("One sentence alone, here it is. Two.", 36)}
 
 
+def test_html_wrappers_keep_their_article():
+    text = "The first paragraph of the article, which says something. It goes on for a while."
+    for named in ("content has-sidebar", "main-content with-sidebar", "entry comments-open", "post hentry category-social tag-popular", "page sidebar", "widget"):
+        for inner in ("<article><p>{}</p></article>", "<main><p>{}</p></main>", "<div><p>{}</p></div>"):
+            page = f"<body><nav><a href=/>Home</a></nav><div class='{named}'>{inner.format(text)}</div><div class='sidebar-left'><p>Buy this now. It is good.</p></div></body>"
+            assert html.main_text(page) == text, (named, inner)
+        assert html.main_text(f"<body><article class='{named}'><p>{text}</p></article></body>") == text
+    comments = "<section id=comments><article class=comment><p>Nice text, I like it a lot. Really. Thanks.</p></article></section>"
+    assert html.main_text(f"<body><div class='site has-sidebar'><article><p>{text}</p></article>{comments * 3}</div></body>") == text
+
+
 def test_neighbours_recall_and_bad_vectors(spark, scratch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24)).astype(np.float32)

@@ -37,6 +37,8 @@ HINT = re.compile(
     re.I,
 )
 GOOD_HINT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
+#: Class names of a page's state or subject, which say nothing of the element: has-sidebar, comments-open, tag-popular.
+STATE = re.compile(r"(?<![\w-])(?:(?:has|have|with|without|no|not|is|tag|category|format|type|status)[_-][\w-]*|[\w-]*[_-](?:open|opened|closed|enabled|disabled|on|off))(?![\w-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 
 #: Log-odds of content over boilerplate that each mark of a block adds.
@@ -53,25 +55,33 @@ _BLANKS = re.compile(r"\s+")
 _STOP = re.compile(r"[.!?…](?:\s|$)")
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element looks like boilerplate, like content, and is not shown."""
-    bad, good, unseen = name in BOILERPLATE, name in CONTENT, name in UNSEEN
+def _marks(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is boilerplate, looks like content, is not shown, and has a name as boilerplate has."""
+    bad, good, unseen, hint = name in BOILERPLATE, name in CONTENT, name in UNSEEN, False
     if attributes and ("=" in attributes or "hidden" in attributes):
         values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
         named = f"{values.get('class', '')} {values.get('id', '')}"
         if name not in ("html", "body"):
-            bad = bad or bool(HINT.search(named)) or values.get("role", "").lower() in ROLES
+            bad = bad or values.get("role", "").lower() in ROLES
+            hint = name not in CONTENT and bool(HINT.search(named)) and bool(HINT.search(STATE.sub(" ", named)))
         good = good or values.get("role", "").lower() in ("main", "article") or bool(GOOD_HINT.search(named))
         style = values.get("style", "").replace(" ", "").lower()
         unseen = unseen or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)) or "display:none" in style or "visibility:hidden" in style or values.get("aria-hidden", "").lower() == "true"
-    return bad, good, unseen
+    return bad, good, unseen, hint
 
 
 def blocks_of(page: str) -> list[dict]:
-    """The text blocks of a page in order: text, link characters, and the marks of their ancestors."""
+    """The text blocks of a page in order: text, link characters, and the marks of their ancestors.
+
+    An element's class or id makes no boilerplate of it if it holds the first
+    main element or, without one, the first article; on pages without either,
+    if it holds most of the text.
+    """
     out: list[dict] = []
-    # an open element: name, number, boilerplate, content, unseen
+    # an open element: name, number, boilerplate, content, unseen, hint
     stack: list[tuple] = []
+    # numbers of the elements around the first main and the first article
+    around: dict[str, set[int]] = {}
     text: list[str] = []
     links = serial = in_link = 0
     at = 0
@@ -82,7 +92,7 @@ def blocks_of(page: str) -> list[dict]:
         text.clear()
         if joined:
             names = [e[0] for e in stack if e[0] not in INLINE]
-            out.append({"text": joined, "links": links, "path": tuple(e[1] for e in stack if e[0] not in INLINE), "names": names, "bad": any(e[2] for e in stack), "good": any(e[3] for e in stack)})
+            out.append({"text": joined, "links": links, "path": tuple(e[1] for e in stack if e[0] not in INLINE), "names": names, "bad": any(e[2] for e in stack), "good": any(e[3] for e in stack), "hints": [e[1] for e in stack if e[5]]})
         links = 0
 
     def add(raw: str) -> None:
@@ -141,11 +151,22 @@ def blocks_of(page: str) -> list[dict]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        bad, good, unseen = _marks(name, m[3])
+        bad, good, unseen, hint = _marks(name, m[3])
         serial += 1
-        stack.append((name, serial, bad, good, unseen))
+        stack.append((name, serial, bad, good, unseen, hint))
+        if name in CONTENT and name not in around and not any(e[2] or e[4] for e in stack):
+            around[name] = {e[1] for e in stack}
         in_link += name == "a"
     flush()
+    spared = around.get("main") or around.get("article")
+    if spared is None:
+        held: dict[int, int] = {}
+        for block in out:
+            for k in block["hints"]:
+                held[k] = held.get(k, 0) + len(block["text"])
+        spared = {k for k, n in held.items() if 2 * n > sum(len(block["text"]) for block in out)}
+    for block in out:
+        block["bad"] = block["bad"] or any(k not in spared for k in block["hints"])
     return out
 
 
