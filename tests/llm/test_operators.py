@@ -145,6 +145,29 @@ def test_packing_round_trip(spark, scratch):
     assert packing.pack_documents(rows.where("false"), scratch).count() == 0
 
 
+def test_ids_of_long_runs_equal_the_tokenizers_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode, known = packing._encoder("byte_bpe_50k.json"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "a", "été", "42", "x.", "'s", "^", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(2000)]
+    for text in [*texts, *(run * 1_000_000 + "x" for run in (" ", "\n", "^", "a", "\xa0"))]:
+        assert encode(text) == known.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_by_salts_places_every_piece_once(spark, scratch):
+    # a third of the rows without an id, repeated rows and one hot length
+    rows = spark.createDataFrame([(None if i % 3 else i % 4, f"w{i % 50} " * (i % 7)) for i in range(300)], "doc_id long, text string").withColumn("sequence_id", F.lit("clash"))
+    pieces = scratch.save(packing.cut_documents(rows), "salted")
+    got = packing.pack(pieces, rows_per_task=20).toPandas()
+    assert len(got) == 300 and got["sequence_id"].max() + 1 == len(packing.pack(pieces).toPandas()["sequence_id"].unique())
+    for _, part in got.groupby("sequence_id"):
+        part = part.sort_values("offset")
+        assert list(part["offset"]) == [0, *part["length"].cumsum()[:-1]] and part["length"].sum() <= 1024
+
+
 def test_patterns_place_every_piece():
     histogram = {1024: 3, 700: 5, 512: 2, 300: 9, 100: 4, 1: 50}
     table = packing.packing_patterns(histogram)
@@ -294,6 +317,21 @@ def test_line_passages_go_once(spark, scratch):
     assert {d: got[d]["text"] for d in want} == want and got[2]["removed_lines"] > 0
 
 
+def test_jaccard_where_every_text_stands_twice(spark, scratch):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    for rows in ([(1, a), (1, a), (2, b), (2, b)], [(1, a), (2, a), (3, b), (4, b)]):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs_of(spark, rows).withColumn("own", F.lit("clash")), scratch).collect())
+        assert got == brute_repeated(rows)
+
+
+def test_jaccard_over_many_ranges(spark, scratch):
+    rng = random.Random(3)
+    base = [[f"g{g}w{rng.randint(0, 90)}" for _ in range(50)] for g in range(10)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else "z" for w in base[i % 10]) + f" end{rng.randint(0, 2)}") for i in range(50)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs_of(spark, rows), scratch, per_range=40).collect()}
+    assert got == brute_components(rows)
+
+
 def brute_repeated(rows, percent=75):
     """Components of ids where each row is compared by itself and rows of one id stand together."""
     apart = [(k, t) for k, (_, t) in enumerate(rows)]

@@ -47,13 +47,13 @@ def _least_overlap(n: int | np.ndarray, percent: int):
     return -(-(n * percent) // 100)
 
 
-def own_shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def own_shingles(docs: DataFrame, words: int = WORDS, per_range: int = PER_RANGE) -> DataFrame:
     """``doc_id, own``: shingles in the searched part of the space that no other document holds.
 
     A task first merges what repeats in its own rows, so a frequent shingle
     reaches its range once per batch of rows, not once per document.
     """
-    ranges = max(1, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6 * EIGHTHS / 8 / PER_RANGE) + 1)
+    ranges = max(1, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6 * EIGHTHS / 8 / per_range) + 1)
     width = (EIGHTHS << 61) // ranges + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,11 +73,10 @@ def own_shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 order = np.argsort(part * (len(texts) + 1) + np.where(once, local, len(texts)), kind="stable")
                 gram, local, once, part = gram[order], local[order], once[order], part[order]
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                bounds = np.searchsorted(part, np.arange(ranges + 1))
-                for k in range(ranges):
-                    s = slice(bounds[k], bounds[k + 1])
-                    if s.start == s.stop:
-                        continue
+                # only the ranges that these texts reach, however many there are
+                met, start = np.unique(part, return_index=True)
+                for k, begin, end in zip(met.tolist(), start, [*start[1:], len(part)][: len(start)], strict=True):
+                    s = slice(begin, end)
                     single = once[s]
                     docs_here, times = np.unique(local[s][single], return_counts=True)
                     for column, value in zip(rows, (k, gram[s][single].tobytes(), ids[first + docs_here].tobytes(), times.astype(np.int32).tobytes(), gram[s][~single].tobytes()), strict=True):
@@ -98,6 +97,8 @@ def own_shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             at = np.minimum(np.searchsorted(several, single), len(several) - 1)
             alone &= several[at] != single
         ids, own = np.unique(doc[alone], return_counts=True)
+        if not len(ids):
+            return pd.DataFrame({"bucket": [], "ids": [], "own": []})
         # one row for each bucket of documents, not for each document
         bucket = (scramble(ids.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -111,7 +112,8 @@ def own_shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return pd.DataFrame({"doc_id": ids, "own": np.bincount(at, weights=np.frombuffer(b"".join(pdf["own"]), np.int64)).astype(np.int64)})
 
     dealt = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "part int, single binary, doc binary, times binary, several binary")
-    return dealt.groupBy("part").applyInPandas(count, "bucket long, ids binary, own binary").groupBy("bucket").applyInPandas(total, "doc_id long, own long")
+    # as many tasks as ranges, so that none grows with the data
+    return dealt.repartition(ranges, "part").groupBy("part").applyInPandas(count, "bucket long, ids binary, own binary").groupBy("bucket").applyInPandas(total, "doc_id long, own long")
 
 
 def linkable_sets(docs: DataFrame, own: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -304,25 +306,27 @@ def set_links(sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Data
     return near.union(scratch.save(linked(rest, live, percent), "far"))
 
 
-def jaccard_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT, per_range: int = PER_RANGE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``doc_id, text``.
 
     A component holds the documents that links reach from each other; its id
     is its smallest document. A row without words, or with a null id, links
     with nothing and has its own id. Rows with one id count as one document
     once linked: each of its different texts is compared by itself, and equal
-    rows once. Shingles are compared as 64-bit fingerprints.
+    rows once. Documents of equal sets, and ties of leaders, go to the smaller
+    id and change no component. Other columns are left out; no rows give none.
+    Shingles are compared as 64-bit fingerprints.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
     if known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        sets = scratch.save(linkable_sets(docs, scratch.save(own_shingles(docs, words), "own"), words, percent), "sets")
+        sets = scratch.save(linkable_sets(docs, scratch.save(own_shingles(docs, words, per_range), "own"), words, percent), "sets")
         sizes, links = sets.select("doc_id", "n"), set_links(sets, scratch, percent)
     else:
         # each text of an id under a name of its own, written once so that names stay
         named = scratch.save(known.distinct().withColumn("name", F.monotonically_increasing_id()), "named")
         texts = named.select(F.col("name").alias("doc_id"), "text")
-        sets = scratch.save(linkable_sets(texts, scratch.save(own_shingles(texts, words), "own"), words, percent), "sets")
+        sets = scratch.save(linkable_sets(texts, scratch.save(own_shingles(texts, words, per_range), "own"), words, percent), "sets")
         sizes, links = set_sizes(docs, words), set_links(sets, scratch, percent)
         for end in ("u", "v"):
             ids = named.select(F.col("name").alias(end), F.col("doc_id").alias("_id"))
