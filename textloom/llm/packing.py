@@ -21,10 +21,13 @@ END_ID = 0
 #: Pieces of one length that one window task ranks, about.
 ROWS_PER_RANK_TASK = 200_000
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: The tokenizer's split pattern. Without its look-ahead it splits alike unless
-#: a run of two or more blanks stands before a word, and runs much faster.
+#: The tokenizer's split pattern without its look-ahead, which needs a stack as
+#: deep as a blank run is long. With it, a run of blanks before a word leaves its
+#: last blank to the word; texts are cut there first, so both split alike.
 _SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
-_RUN = re.compile(r"\s\s+\S")
+# The characters of Unicode's White_Space property.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(f"[{_BLANK}](?=[{_BLANK}][^{_BLANK}])")
 
 
 def _encoder(tokenizer: str):
@@ -37,10 +40,13 @@ def _encoder(tokenizer: str):
     with open(public_tokenizers.path(tokenizer.replace(".json", ".tiktoken")), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     simple = tiktoken.Encoding("simple", pat_str=_SIMPLE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    exact = tiktoken.Encoding("exact", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def plain(text: str) -> list[int]:
-        return (exact if _RUN.search(text) else simple)(text)
+        ids, at = [], 0
+        for m in _CUT.finditer(text):
+            ids += simple(text[at : m.end()])
+            at = m.end()
+        return ids + simple(text[at:]) if at else simple(text)
 
     def encode(text: str) -> list[int]:
         if SPECIAL not in text:
@@ -128,10 +134,10 @@ def packing_patterns(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[
     return intervals
 
 
-def rank_within_length(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+def rank_within_length(pieces: DataFrame, rows_per_task: int = ROWS_PER_RANK_TASK) -> DataFrame:
     """Add ``rank``, from 0 within each length, without a task that sees a whole length."""
-    salts = max(1, -(-pieces.count() // ROWS_PER_RANK_TASK))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    salts = max(1, -(-pieces.count() // rows_per_task))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("length", "salt").count()
@@ -140,7 +146,7 @@ def rank_within_length(pieces: DataFrame, scratch: Scratch) -> DataFrame:
     return ranked.join(offsets, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("salt", "before")
 
 
-def pack(pieces: DataFrame, scratch: Scratch, max_len: int = MAX_LEN) -> DataFrame:
+def pack(pieces: DataFrame, max_len: int = MAX_LEN, rows_per_task: int = ROWS_PER_RANK_TASK) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with ``doc_id, start, length, ids_crc32``.
 
     Only the histogram (at most ``max_len`` rows) comes to the driver. Equal
@@ -164,13 +170,17 @@ def pack(pieces: DataFrame, scratch: Scratch, max_len: int = MAX_LEN) -> DataFra
             sequence[at], offset[at] = start[k] + ranks[at] - first[k], off[k]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    ranked = rank_within_length(pieces, scratch)
+    ranked = rank_within_length(pieces, rows_per_task)
     return ranked.withColumn("at", place("length", "rank")).select(*pieces.columns, "at.sequence_id", "at.offset")
 
 
 def pack_documents(docs: DataFrame, scratch: Scratch, max_len: int = MAX_LEN) -> DataFrame:
-    """Tokenize, cut and pack whole documents."""
-    return pack(scratch.save(cut_documents(docs, max_len), "pieces"), scratch, max_len)
+    """Tokenize, cut and pack whole documents.
+
+    Null and empty texts are one piece of one id, rows of one id are packed
+    each by itself, other columns are left out, and no rows give no pieces.
+    """
+    return pack(scratch.save(cut_documents(docs, max_len), "pieces"), max_len)
 
 
 def op4_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
