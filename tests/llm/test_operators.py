@@ -1,5 +1,6 @@
 import hashlib
 import heapq
+import math
 import random
 import zlib
 from array import array
@@ -86,9 +87,7 @@ def test_neighbours_recall_and_bad_vectors(spark, scratch):
     assert embeddings.nearest_neighbours(df.where("false"), df.where("false"), scratch).count() == 0
 
 
-def test_neighbours_in_many_regions_with_equal_vectors(spark, scratch, monkeypatch):
-    monkeypatch.setattr(embeddings, "REGION_ROWS", 64)
-    monkeypatch.setattr(embeddings, "QUERIES_PER_TASK", 10)
+def test_neighbours_in_many_regions_with_equal_vectors(spark, scratch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(900, 12)).astype(np.float32)
     x[::3] = x[0]
@@ -96,7 +95,7 @@ def test_neighbours_in_many_regions_with_equal_vectors(spark, scratch, monkeypat
     x = np.vstack([x, x[1] + np.float32(1e-6) * rng.normal(size=(400, 12)).astype(np.float32)])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     assert sorted(r["vec_id"] for r in embeddings.least_of_equal(df.union(df).where("vec_id % 3 = 0 and vec_id < 900"), 11).collect()) == list(range(0, 33, 3))
-    got = embeddings.nearest_neighbours(df.where("vec_id % 50 = 0"), df, scratch).toPandas()
+    got = embeddings.nearest_neighbours(df.where("vec_id % 50 = 0"), df, scratch, region_values=64 * 12, queries_per_task=10).toPandas()
     data, hits = x.astype(np.float64), 0
     for q, part in got.groupby("query_id"):
         d = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
@@ -108,6 +107,35 @@ def test_neighbours_in_many_regions_with_equal_vectors(spark, scratch, monkeypat
     assert got["query_id"].nunique() == 26 and hits >= 0.9 * 260
 
 
+def test_neighbours_keep_doubles_lengths_and_repeated_rows(spark, scratch):
+    # distances of 1e-9, ties, an id under two vectors, a repeated row, another length
+    rows = [(i, [1.0 + i * 1e-9, 2.0, 3.0]) for i in range(5)] + [(10, [1.0, 2.0, 3.0]), (10, [1.0, 2.0, 3.0]), (20, [5.0, 5.0, 5.0]), (20, [6.0, 5.0, 5.0]), (30, [1.0, 0.0]), (31, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"region": F.lit("clash"), "rank": F.lit("x")})
+    got = embeddings.nearest_neighbours(df.where("vec_id in (0, 20, 30)"), df, scratch, k=4).collect()
+    nearest = lambda q: [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: (r["rank"], r["score"])) if r["query_id"] == q]
+    assert [(a, b) for a, b, _ in nearest(0)] == [(1, 10), (2, 1), (3, 2), (4, 3)]
+    assert [d for *_, d in nearest(0)] == [0.0, *(abs(rows[i][1][0] - 1.0) for i in (1, 2, 3))]
+    assert [(a, b) for a, b, _ in nearest(20)] == [(1, 4), (1, 4), (2, 3), (2, 3), (3, 2), (3, 2), (4, 1), (4, 1)]
+    assert nearest(30) == [(1, 31, 2**0.5)]
+
+
+def test_the_stopping_test_prunes_and_finds():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    x = np.vstack([centres[rng.integers(0, 40, 4000)] + 0.4 * rng.normal(size=(4000, 64)), rng.normal(size=(4000, 64))])
+    ids, points, factor = np.arange(8000), x @ embeddings.projection(64), embeddings.chi_square_quantile(embeddings.CONFIDENCE, embeddings.PROJECTED)
+    tree, hits, verified = embeddings.KdTree(ids, x, points), 0, {True: 0, False: 0}
+    for q in range(0, 8000, 80):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        distance, found, seen = embeddings.search_block(tree, q, x[q], points[q], 10, math.inf, factor)
+        hits += len(set(found) & {i for i in np.argsort(d) if i != q and d[i] <= np.sort(d)[10]})
+        verified[q < 4000] += seen
+        assert np.array_equal(distance, d[found])
+    assert hits >= 0.9 * 10 * 100
+    # of the grouped half, and of vectors that lie nowhere near another
+    assert verified[True] < 0.1 * 50 * 8000 and verified[False] < 0.4 * 50 * 8000
+
+
 def test_quantised_pairs_equal_brute_force():
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -141,16 +140,17 @@ FROM embeddings e LEFT JOIN c ON e.vec_id = c.id LEFT JOIN n ON e.vec_id = n.id
 """
 
 #: Dimensions of the stable projection.
-PROJECTED = 8
+PROJECTED = 32
 #: A neighbour as near as the k-th found lies in the searched part with this probability.
-CONFIDENCE = 0.98
+CONFIDENCE = 0.77
 #: Vectors on which the regions are fitted, at most, by least hash.
 FIT_ROWS = 20_000
-#: Rows of a region, about, and regions, at most; larger regions are dealt over slots.
-REGION_ROWS, MAX_REGIONS = 8192, 4096
+#: Vector components of a region, about, and regions of one vector length, at most; larger regions are dealt over slots.
+REGION_VALUES, MAX_REGIONS = 1 << 20, 4096
 #: Queries that one task takes with a block, about.
 QUERIES_PER_TASK = 100_000
-LEAF = 64
+#: Rows of a leaf, and rows verified between two tests.
+LEAF, STEP = 256, 256
 SEED = 20240229
 
 
@@ -207,61 +207,68 @@ def region_of(tree: list, points: np.ndarray) -> np.ndarray:
 
 
 class KdTree:
-    """Projected points of one block; gives leaves by growing distance from a query."""
-
-    def __init__(self, points: np.ndarray):
-        self.points, self.nodes = points, []
-        self._build(np.arange(len(points)))
-
-    def _build(self, rows: np.ndarray) -> int:
-        part = self.points[rows]
-        low, high = part.min(axis=0), part.max(axis=0)
-        at = len(self.nodes)
-        self.nodes.append([low, high, rows, None, None])
-        if len(rows) > LEAF and (high > low).any():
-            axis = int(np.argmax(high - low))
-            order = np.argpartition(part[:, axis], len(rows) // 2)
-            self.nodes[at][2] = None
-            self.nodes[at][3] = self._build(rows[order[: len(rows) // 2]])
-            self.nodes[at][4] = self._build(rows[order[len(rows) // 2 :]])
-        return at
-
-    def nearest_first(self, query: np.ndarray):
-        """``(least squared distance, rows)`` of the leaves, nearest box first."""
-        def least(node: int) -> float:
-            low, high = self.nodes[node][:2]
-            gap = np.maximum(np.maximum(low - query, query - high), 0.0)
-            return float(gap @ gap)
-
-        heap = [(least(0), 0)]
-        while heap:
-            gap, node = heapq.heappop(heap)
-            rows, left, right = self.nodes[node][2:]
-            if rows is not None:
-                yield gap, rows
-            else:
-                heapq.heappush(heap, (least(left), left))
-                heapq.heappush(heap, (least(right), right))
-
-
-def search_block(tree: KdTree, ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, projected: np.ndarray, k: int, limit: float, factor: float) -> list[tuple[float, int]]:
-    """The k nearest of a block, verified in projected order until the chi-square test stops.
-
-    ``limit``: squared distance of the k-th neighbour known from elsewhere.
-    The test: a vector as near as the k-th would be projected farther than the
-    next leaf with a probability below 1 - ``CONFIDENCE``.
+    """Vectors of one block in the order of the leaves of a kd-tree of their projections."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray):
+        leaves, todo = [], [np.arange(len(points))]
+        while todo:
+            rows = todo.pop()
+            part = points[rows]
+            spread = part.max(axis=0) - part.min(axis=0)
+            if len(rows) <= LEAF or not spread.any():
+                leaves.append(rows)
+                continue
+            order = np.argpartition(part[:, int(np.argmax(spread))], len(rows) // 2)
+            todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+        order = np.concatenate(leaves)
+        self.start = np.cumsum([0, *map(len, leaves)])
+        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
+        self.low = np.minimum.reduceat(self.points, self.start[:-1])
+        self.high = np.maximum.reduceat(self.points, self.start[:-1])
+        self.norms = (self.points * self.points).sum(axis=1)
+
+
+def search_block(tree: KdTree, query_id: int, query: np.ndarray, projected: np.ndarray, k: int, limit: float, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distances and ids of a block's k nearest, verified in projected order until the chi-square test stops.
+
+    ``limit``: distance of the k-th neighbour known from elsewhere. The test:
+    a vector as near as the k-th would be projected farther than what is left
+    with a probability below 1 - confidence. The nearest leaf comes first, then
+    what the test leaves of all others. Also returns how many were verified.
     """
-    best: list[tuple[float, int]] = []
-    for gap, rows in tree.nearest_first(projected):
-        if gap > factor * limit:
+    gap = np.maximum(np.maximum(tree.low - projected, projected - tree.high), 0.0)
+    gap = (gap * gap).sum(axis=1)
+    own = projected @ projected
+    # covers the rounding of differences of squares
+    slack = 1e-13 * (own + tree.norms.max())
+    distance, ids = np.zeros(0), np.zeros(0, np.int64)
+    verified, home = 0, int(np.argmin(gap))
+    for others in (False, True):
+        leaves = np.flatnonzero(gap <= factor * limit * limit + slack) if others else np.array([home])
+        whole = others and 2 * len(leaves) > len(gap)
+        spans = [slice(0, len(tree.ids))] if whole else [slice(tree.start[i], tree.start[i + 1]) for i in leaves if i != home or not others]
+        if not spans:
             break
-        rows = rows[ids[rows] != query_id]
-        distance = ((vectors[rows] - query) ** 2).sum(axis=1)
-        near = np.flatnonzero(distance <= limit)
-        best = sorted(best + list(zip(distance[near].tolist(), ids[rows[near]].tolist(), strict=True)))[:k]
-        if len(best) == k:
-            limit = min(limit, best[-1][0])
-    return best
+        apart = np.concatenate([tree.norms[s] - 2 * (tree.points[s] @ projected) for s in spans]) + own
+        if whole:
+            apart[tree.start[home] : tree.start[home + 1]] = np.inf
+        keep = np.flatnonzero(apart <= min(factor * limit * limit + slack, 1e300))
+        keep = keep[np.argsort(apart[keep], kind="stable")]
+        apart, rows = apart[keep], np.concatenate([np.arange(s.start, s.stop) for s in spans])[keep]
+        rows, apart = rows[tree.ids[rows] != query_id], apart[tree.ids[rows] != query_id]
+        for s in range(0, len(rows), STEP):
+            part = rows[s : s + STEP][apart[s : s + STEP] <= factor * limit * limit + slack]
+            if not len(part):
+                break
+            verified += len(part)
+            found = np.sqrt(((tree.vectors[part] - query) ** 2).sum(axis=1))
+            good = found <= limit
+            distance, ids = np.concatenate([distance, found[good]]), np.concatenate([ids, tree.ids[part[good]]])
+            best = np.lexsort((ids, distance))[:k]
+            distance, ids = distance[best], ids[best]
+            if len(ids) == k:
+                limit = min(limit, float(distance[-1]))
+    return distance, ids, verified
 
 
 def least_of_equal(rows: DataFrame, k: int) -> DataFrame:
@@ -270,91 +277,131 @@ def least_of_equal(rows: DataFrame, k: int) -> DataFrame:
     Tasks keep only so many of a group before the shuffle.
     """
     same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
-    few = rows.withColumn("_r", F.dense_rank().over(same)).where(F.col("_r") <= k)
-    return few.withColumn("_before", F.lag("vec_id").over(same)).where("_before is null or _before <> vec_id").select("vec_id", "embedding")
+    few = rows.select("vec_id", "embedding", F.dense_rank().over(same).alias("r")).where(F.col("r") <= k)
+    return few.withColumn("before", F.lag("vec_id").over(same)).where("before is null or before <> vec_id").select("vec_id", "embedding")
 
 
-def nearest_neighbours(queries: DataFrame, vectors: DataFrame, scratch: Scratch, k: int = 10, confidence: float = CONFIDENCE) -> DataFrame:
+def nearest_neighbours(queries: DataFrame, vectors: DataFrame, scratch: Scratch, k: int = 10, confidence: float = CONFIDENCE, region_values: int = REGION_VALUES, queries_per_task: int = QUERIES_PER_TASK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of ``vectors`` (``vec_id, embedding``) to each query.
 
     All rows are indexed, equal vectors by their k + 1 smallest ids, beyond
-    which none can be among the k nearest: regions of the projected space are fitted on a
-    bounded sample and each block of a region has its own kd-tree. A query is
-    first answered by its home region; then by the regions that the test at
-    its k-th distance cannot rule out. Distances are exact, ties go to the
-    smaller id, a query's own id is left out. Null, zero and non-finite
-    vectors and those of another length than the most common take no part.
+    which none can be among the k nearest: regions of the projected space are
+    fitted on a bounded sample and each block of a region has its own kd-tree.
+    A query is first answered by its home region; then by the regions that
+    the test at its k-th distance cannot rule out. Distances are those of the
+    original vectors in double precision, ties go to the smaller id, rows with
+    the query's own id are left out. Null ids and null, zero and non-finite
+    vectors take no part; vectors of different lengths have no distance and
+    never meet. Rows equal in id and vector count once; an id under several
+    vectors is as many candidates, and each is a query with ranks of its own.
+    Other columns are left out; no rows give none.
     """
-    rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return rows.sparkSession.createDataFrame([], schema)
-    dim = sizes[0]
-    rows = scratch.save(least_of_equal(rows.where(F.size("embedding") == dim), k + 1), "kept")
-    count = rows.count()
-    asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).where(F.size("embedding") == dim).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("query"))
-    matrix, factor = projection(dim), chi_square_quantile(confidence)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toPandas()["embedding"]
-    regions = int(min(MAX_REGIONS, max(1, 2 ** math.ceil(math.log2(max(1, count / REGION_ROWS))))))
-    tree = fit_regions(np.stack(sample).astype(np.float64) @ matrix, regions)
-    slices = max(1, math.ceil(asked.count() / QUERIES_PER_TASK))
+    spark = vectors.sparkSession
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+
+    def sound(table: DataFrame, name: str, vector: str) -> DataFrame:
+        return table.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias(name), F.col("embedding").cast(kind).alias(vector))
+
+    rows = scratch.save(least_of_equal(sound(vectors, "vec_id", "embedding"), k + 1), "kept")
+    asked = scratch.save(sound(queries, "query_id", "query").distinct().withColumn("ask", F.xxhash64("query")), "asked")
+    factor = chi_square_quantile(confidence)
+    slices = max(1, math.ceil(asked.count() / queries_per_task))
+    counts = {r["dim"]: r["count"] for r in rows.groupBy(F.size("embedding").alias("dim")).count().collect()}
+    matrices: dict[int, np.ndarray] = {}
+
+    def project(batch: pd.Series) -> list[np.ndarray]:
+        out: list = [None] * len(batch)
+        sizes = batch.map(len).to_numpy()
+        for dim in np.unique(sizes):
+            if dim not in matrices:
+                matrices[dim] = projection(int(dim))
+            at = np.flatnonzero(sizes == dim)
+            for i, point in zip(at, np.stack(batch.to_numpy()[at]).astype(np.float64) @ matrices[dim], strict=True):
+                out[i] = point
+        return out
+
+    def lower(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"dim": pdf["embedding"].map(len), "low": project(pdf["embedding"])})
+
+    # FIT_ROWS short points, whatever the data
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").mapInPandas(lower, "dim int, low array<double>").toPandas()
+    trees = {}
+    for dim, part in sample.groupby("dim"):
+        regions = 2 ** math.ceil(math.log2(max(1, counts[dim] * dim / region_values)))
+        trees[int(dim)] = fit_regions(np.stack(part["low"]), min(MAX_REGIONS, regions))
 
     def place(batches):
         for pdf in batches:
-            points = np.stack(pdf["embedding"]).astype(np.float64) @ matrix if len(pdf) else np.zeros((0, PROJECTED))
-            yield pdf.assign(region=region_of(tree, points), low=list(points))
-
-    placed = scratch.save(rows.mapInPandas(place, "vec_id long, embedding array<float>, region long, low array<double>"), "placed")
+            if pdf.empty:
+                continue
+            low, dims = project(pdf["embedding"]), pdf["embedding"].map(len).to_numpy()
+            region = np.zeros(len(pdf), np.int64)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                region[at] = region_of(trees.get(int(dim), [0]), np.stack([low[i] for i in at]))
+            yield pdf.assign(dim=dims, region=region, low=low)
+
+    placed = scratch.save(rows.mapInPandas(place, f"vec_id long, embedding {kind}, dim int, region long, low array<double>"), "placed")
     axis = range(PROJECTED)
-    boxes = {r[0]: (np.array(r[2 : 2 + PROJECTED]), np.array(r[2 + PROJECTED :]), r[1]) for r in placed.groupBy("region").agg(F.count("*"), *(F.min(F.col("low")[i]).alias(f"l{i}") for i in axis), *(F.max(F.col("low")[i]).alias(f"h{i}") for i in axis)).collect()}
-    # a region's rows are dealt over slots by its own count; MAX_REGIONS rows at most
-    dealt_over = F.broadcast(rows.sparkSession.createDataFrame([(b, math.ceil(x[2] / (4 * REGION_ROWS))) for b, x in boxes.items()], "region long, slots int"))
-    blocks = placed.drop("low").join(dealt_over, "region").withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.col("slots")).cast("int")).drop("slots")
+    ends = [F.min(F.col("low")[i]).alias(f"l{i}") for i in axis] + [F.max(F.col("low")[i]).alias(f"h{i}") for i in axis]
+    boxes: dict[int, list] = {}
+    deal = []
+    for r in placed.groupBy("dim", "region").agg(F.count("*"), *ends).collect():
+        boxes.setdefault(r[0], []).append((r[1], r[3 : 3 + PROJECTED], r[3 + PROJECTED :]))
+        # a region's rows are dealt over slots by its own count
+        deal.append((r[0], r[1], math.ceil(r[2] * r[0] / (4 * region_values))))
+    corners = {dim: tuple(np.array(c) for c in zip(*rows_, strict=True)) for dim, rows_ in boxes.items()}
+    dealt_over = F.broadcast(spark.createDataFrame(deal, "dim int, region long, slots int"))  # MAX_REGIONS rows for each length
+    blocks = placed.drop("low").join(dealt_over, ["dim", "region"]).withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.col("slots")).cast("int")).drop("slots")
     blocks = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))) if slices > 1 else blocks.withColumn("slice", F.lit(0))
-    box_ids = sorted(boxes)
-    box_low, box_high = np.stack([boxes[b][0] for b in box_ids]), np.stack([boxes[b][1] for b in box_ids])
 
     def route(first: bool):
         def go(batches):
             for pdf in batches:
                 out = []
-                for row in pdf.itertuples(index=False):
-                    point = np.asarray(row.query, np.float64) @ matrix
-                    gap = np.maximum(np.maximum(box_low - point, point - box_high), 0.0)
+                for row, point in zip(pdf.itertuples(index=False), project(pdf["query"]), strict=True):
+                    dim = len(row.query)
+                    if dim not in corners:
+                        continue
+                    names, low, high = corners[dim]
+                    gap = np.maximum(np.maximum(low - point, point - high), 0.0)
                     gap = (gap * gap).sum(axis=1)
                     home = int(np.argmin(gap))
-                    visit = [home] if first else [b for b in np.flatnonzero(gap <= factor * row.limit) if b != home]
-                    out += [(row.query_id, row.query, row.limit, box_ids[b]) for b in visit]
-                yield pd.DataFrame(out, columns=["query_id", "query", "limit", "region"])
+                    visit = [home] if first else [b for b in np.flatnonzero(gap <= factor * row.limit**2 * (1 + 1e-9)) if b != home]
+                    out += [(row.query_id, row.ask, row.query, row.limit, dim, int(names[b])) for b in visit]
+                yield pd.DataFrame(out, columns=["query_id", "ask", "query", "limit", "dim", "region"])
 
         return go
 
     def search(asked_pdf: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked_pdf) and len(block):
-            ids, x = block["vec_id"].to_numpy(), np.stack(block["embedding"]).astype(np.float64)
-            index = KdTree(x @ matrix)
+            x = np.stack(block["embedding"]).astype(np.float64)
+            matrix = projection(x.shape[1])
+            index = KdTree(block["vec_id"].to_numpy(), x, x @ matrix)
             for row in asked_pdf.itertuples(index=False):
                 q = np.asarray(row.query, np.float64)
-                out += [(row.query_id, d, i) for d, i in search_block(index, ids, x, row.query_id, q, q @ matrix, k, row.limit, factor)]
-        return pd.DataFrame(out, columns=["query_id", "distance", "vec_id"])
+                distance, ids, _ = search_block(index, row.query_id, q, q @ matrix, k, row.limit, factor)
+                out += [(row.query_id, row.ask, d, i) for d, i in zip(distance.tolist(), ids.tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["query_id", "ask", "distance", "vec_id"])
 
     def answers(routed: DataFrame) -> DataFrame:
         # each slot of a region answers the query
-        dealt = routed.join(dealt_over, "region").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
-        key = ["region", "slot", "slice"]
-        return dealt.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(search, "query_id long, distance double, vec_id long")
+        dealt = routed.join(dealt_over, ["dim", "region"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots").withColumn("slice", F.pmod(F.xxhash64("query_id", "ask"), F.lit(slices)).cast("int"))
+        key = ["dim", "region", "slot", "slice"]
+        return dealt.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(search, "query_id long, ask long, distance double, vec_id long")
 
-    routed_schema = "query_id long, query array<float>, limit double, region long"
-    start = asked.distinct().withColumn("limit", F.lit(float("inf")))
+    routed_schema = f"query_id long, ask long, query {kind}, limit double, dim int, region long"
+    start = asked.withColumn("limit", F.lit(float("inf")))
     near = scratch.save(answers(start.mapInPandas(route(True), routed_schema)), "near")
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    kth = near.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", F.col("distance").alias("limit"))
-    again = asked.distinct().join(kth, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    order = Window.partitionBy("query_id", "ask").orderBy("distance", "vec_id")
+    kth = near.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", "ask", F.col("distance").alias("limit"))
+    again = asked.join(kth, ["query_id", "ask"], "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
     far = answers(again.mapInPandas(route(False), routed_schema))
-    merged = near.union(far).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("distance").alias("score"))
+    merged = near.union(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("distance").alias("score"))
 
 
 def op2_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
