@@ -65,6 +65,75 @@ def test_html_wrappers_keep_their_article():
     assert html.main_text(f"<body><div class='site has-sidebar'><article><p>{text}</p></article>{comments * 3}</div></body>") == text
 
 
+LONG = "A long paragraph of the article, which says a lot of things. It goes on for a while, and then ends here."
+
+
+def test_html_names_and_forms_keep_their_article():
+    body, want = f"<h1>Title here</h1><p>{LONG}</p><p>{LONG}</p>", f"Title here\n{LONG}\n{LONG}"
+    for page in (
+        f"<article class='post no-comments'>{body}</article>",
+        f"<main class='category-legal'>{body}</main>",
+        f"<main><div class='topic social'>{body}</div></main>",
+        f"<div class='layout has-sidebar'><main>{body}</main></div>",
+        f"<main><section id='search-algorithms search'>{body}</section></main>",
+        f"<form action=x><div>{body}</div><input name=q></form>",
+        f"<form><nav>Menu</nav><main>{body}</main><footer>Imprint</footer></form>",
+        f"<article><h1>Title here</h1><p title='the hidden gem'>{LONG}</p><p>{LONG}</p></article>",
+        f"<div role=main><h1>Title here</h1><p>{LONG}<p>{LONG}<div hidden>{LONG}</div></div><div class=ad><p>{LONG}</p></div>",
+        f"<article><h1>Title here</h1><p>{LONG}</p><div class='ad-box'><p>{LONG}</p></div><p>{LONG}</p><div class=share>Share this</div><section class='reader comments'><p>{LONG}</p></section></article>",
+    ):
+        assert html.main_text(f"<body>{page}</body>") == want, page
+    assert html.main_text("<body><h2>Steps</h2><ul><li>Mix the flour.<li>Bake it.</ul>") == "Steps\nMix the flour.\nBake it."
+
+
+def planted_page(rng):
+    """Blocks of a page without telling elements, each with its label."""
+    line = lambda n: " ".join(rng.choice(["river", "stone", "of", "the", "winter", "light"]) for _ in range(n))
+    menu = [("Topics", 0), *((f"<a href=/{i}>{line(2)}</a>", 0) for i in range(rng.randint(3, 6)))]
+    story = [(f"{line(rng.randint(20, 60))}. {line(9)}.", 1) for _ in range(rng.randint(3, 6))]
+    story.insert(rng.randint(1, len(story) - 1), (f"<a href=/r>{line(4)}</a>", 1))
+    ends = [(f"<a href=/{i}>{line(1)}</a>", 0) for i in range(4)] + [("Imprint", 0)]
+    parts = [("div", menu), ("p", story), ("span", ends)]
+    return "<body>" + "".join(f"<div>{''.join(f'<{'div' if tag == 'span' else tag}>{t}</{'div' if tag == 'span' else tag}>' for t, _ in rows)}</div>" for tag, rows in parts), [label for _, rows in parts for _, label in rows]
+
+
+def test_html_cut_betters_the_signs():
+    rng, wrong = random.Random(6), {"signs": 0, "cut": 0}
+    for _ in range(40):
+        page, truth = planted_page(rng)
+        blocks = html.blocks_of(page)
+        assert len(blocks) == len(truth)
+        gains = [html.log_odds(b) for b in blocks]
+        kept = html.minimum_cut([round(1000 * g) for g in gains], html.smoothness(blocks))
+        wrong["signs"] += sum((g > 0) != bool(t) for g, t in zip(gains, truth, strict=True))
+        wrong["cut"] += sum(k != bool(t) for k, t in zip(kept, truth, strict=True))
+        assert html.main_text(page) == "\n".join(b["text"] for b, k in zip(blocks, kept, strict=True) if k)
+    assert wrong["signs"] >= 80 and wrong["cut"] <= 4, wrong
+
+
+def test_html_labels_of_whole_pages_equal_brute_force():
+    rng = random.Random(7)
+    for _ in range(25):
+        rows = "".join(f"<{e}>{t}</{e}>" for e, t in ((rng.choice(["p", "div", "h2", "li", "section"]), rng.choice([LONG, "Short.", "<a href=/>Link here</a>", "Word", f"<div class=widget>{LONG}</div>"])) for _ in range(rng.randint(1, 9))))
+        page = f"<body>{rng.choice(['', '<nav>N</nav>', '<article>'])}{rows}"
+        blocks = html.blocks_of(page)
+        gains, edges = [round(1000 * html.log_odds(b)) for b in blocks], html.smoothness(blocks)
+
+        def cost(kept, gains=gains, edges=edges):
+            return sum(abs(g) for g, k in zip(gains, kept, strict=True) if (g > 0) != k) + sum(c for a, b, c in edges if kept[a] != kept[b])
+
+        best = min(([bool(m >> i & 1) for i in range(len(blocks))] for m in range(2 ** len(blocks))), key=lambda k: (cost(k), sum(k)))
+        assert html.main_text(page) == "\n".join(b["text"] for b, k in zip(blocks, best, strict=True) if k)
+
+
+def test_html_broken_deep_and_odd_pages(spark):
+    for page, want in (("<div>a b. " * 90_000, "\n".join(["a b."] * 90_000)), ("<a '" * 200_000, ""), ("<!--" * 200_000, ""), ("<" * 100_000, "<" * 100_000), ("<p>one. two. <b", "one. two."), ("<p a='x>Said so. Yes.</p>", "Said so. Yes.")):
+        assert html.main_text(page) == want
+    rows = spark.createDataFrame([(1, "u", f"<p>{LONG}", "x", 7)] * 2 + [(None, None, " ", None, None)], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html.extract(rows).collect()) == [("1", LONG, len(LONG))] * 2 + [("None", "", 0)]
+    assert html.extract(rows.where("false")).count() == 0
+
+
 def test_neighbours_recall_and_bad_vectors(spark, scratch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24)).astype(np.float32)
