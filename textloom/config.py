@@ -45,11 +45,11 @@ class Config:
         """Word cosine that every match needs, whatever the other signals."""
         return float((self.threshold - self.char_weight - self.overlap_weight) / self.word_weight) if self.word_weight else 0.0
 
-    @property
-    def prefix_share(self) -> float:
-        """Least share of a text's squared counts that its shared grams have in a match."""
-        c2, k2 = self.least_word_cosine**2, (math.log(1.5) + 1) ** 2
-        return c2 * k2 / (1 + c2 * (k2 - 1)) if self.least_word_cosine > 0 else 0.0
+    @staticmethod
+    def prefix_share(cosine: float) -> float:
+        """Least share of a text's squared counts that its shared grams have in a pair of that cosine."""
+        c2, k2 = cosine**2, (math.log(1.5) + 1) ** 2
+        return c2 * k2 / (1 + c2 * (k2 - 1)) if cosine > 0 else 0.0
 
     @classmethod
     def from_snapshot(cls, snapshot: dict[str, str]) -> Config:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.config import Config
 from textloom.functions import text as T
 from textloom.operators import similarity as S
+from textloom.tables import keep
 
 
 def eligible_sources(sources: DataFrame, today: Column) -> DataFrame:
@@ -21,12 +22,27 @@ def eligible_sources(sources: DataFrame, today: Column) -> DataFrame:
 
 
 def token_spans(chunks: DataFrame) -> DataFrame:
-    """``id, pos, token, start, end`` of the words of ``id, content``: folded token and code point range."""
-    runs = chunks.select("id", F.posexplode(T.token_runs(F.col("content"))).alias("at", "run"))
-    before = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = runs.withColumn("start", F.coalesce(F.sum(F.length("run")).over(before), F.lit(0))).where(F.col("run").rlike(r"^[\p{L}\p{N}_]"))
-    pos = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
-    return placed.select("id", pos.alias("pos"), F.get(T.words(F.col("run")), F.lit(0)).alias("token"), "start", (F.col("start") + F.length("run")).alias("end"))
+    """``id, runs``: of each row of ``id, content`` its words and what stands between, in order.
+
+    A run has its length in code points and, if it is a word, the folded token.
+    """
+    def run(piece: Column) -> Column:
+        token = F.when(piece.rlike(r"^[\p{L}\p{N}_]"), F.get(T.words(piece), F.lit(0)))
+        return F.struct(F.length(piece).alias("length"), token.alias("token"))
+
+    return chunks.select("id", F.transform(T.token_runs(F.col("content")), run).alias("runs"))
+
+
+def _tokens(runs) -> tuple[list[str], list[int], list[int]]:
+    """Tokens of a chunk with where each starts and ends."""
+    tokens, starts, ends, at = [], [], [], 0
+    for run in runs:
+        if run["token"] is not None:
+            tokens.append(run["token"])
+            starts.append(at)
+            ends.append(at + run["length"])
+        at += run["length"]
+    return tokens, starts, ends
 
 
 def token_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -34,27 +50,24 @@ def token_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
 
     Offsets are code points inside the two contents. Within a pair the blocks
     come longest first, then around it, which is sequential; pairs are
-    independent rows.
+    independent rows. Only chunks that occur in a pair are cut into tokens.
     """
     def spans(chunks: DataFrame, name: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("pos", "token", "start", "end")))
-        return token_spans(chunks).groupBy(F.col("id").alias(name)).agg(ordered.alias(f"{name}_tokens"))
-
-    ls = spans(left.join(pairs.select(F.col("l").alias("id")).distinct(), "id", "left_semi"), "l")
-    rs = spans(right.join(pairs.select(F.col("r").alias("id")).distinct(), "id", "left_semi"), "r")
+        met = chunks.join(S.small(pairs.select(F.col(name).alias("id")).distinct()), "id", "left_semi")
+        return token_spans(met).select(F.col("id").alias(name), F.col("runs").alias(f"{name}_runs"))
 
     def blocks(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                a, b = list(row.l_tokens), list(row.r_tokens)
-                found = SequenceMatcher(None, [t["token"] for t in a], [t["token"] for t in b], autojunk=False).get_matching_blocks()
-                out += [(row.l, row.r, a[m.a]["start"], a[m.a + m.size - 1]["end"], b[m.b]["start"], b[m.b + m.size - 1]["end"], m.size) for m in found if m.size]
+                (a, a0, a1), (b, b0, b1) = _tokens(row.l_runs), _tokens(row.r_runs)
+                found = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+                out += [(row.l, row.r, a0[m.a], a1[m.a + m.size - 1], b0[m.b], b1[m.b + m.size - 1], m.size) for m in found if m.size]
             yield pd.DataFrame(out, columns=["l", "r", "doc_from", "doc_to", "src_from", "src_to", "tokens"])
 
     kinds = dict(pairs.dtypes)
     schema = f"l {kinds['l']}, r {kinds['r']}, doc_from long, doc_to long, src_from long, src_to long, tokens long"
-    return pairs.select("l", "r").join(ls, "l").join(rs, "r").mapInPandas(blocks, schema)
+    return pairs.select("l", "r").join(spans(left, "l"), "l").join(spans(right, "r"), "r").mapInPandas(blocks, schema)
 
 
 def match_evidence(documents: DataFrame, sources: DataFrame, config: Config = Config(), today: Column | None = None) -> DataFrame:
@@ -65,7 +78,8 @@ def match_evidence(documents: DataFrame, sources: DataFrame, config: Config = Co
     """
     sources = sources if today is None else eligible_sources(sources, today)
     left, right = (x.select("id", F.col("content").alias("text")) for x in (documents, sources))
-    scored = S.match_pairs(left, right, config)
+    # read by both sides' tokens and by the last join
+    scored = keep(S.match_pairs(left, right, config), "matches")
     found = token_blocks(scored, documents.select("id", "content"), sources.select("id", "content"))
     d = documents.select(F.col("id").alias("l"), F.col("doc_id").alias("document_id"), F.col("char_start").alias("d0"))
     s = sources.select(F.col("id").alias("r"), F.col("doc_id").alias("source_id"), F.col("char_start").alias("s0"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import Config
 from textloom.functions import text as T
+from textloom.tables import keep
 
 K2 = (math.log(1.5) + 1) ** 2
 #: Vectors that a small side may have and still be sent to every task.
@@ -27,8 +28,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def gram_counts(texts: DataFrame, grams: Column) -> DataFrame:
-    """``id, gram, tf, norm2``: counts of each text's grams and their sum of squares."""
-    counts = texts.select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").cast("double").alias("tf"))
+    """``id, gram, tf, norm2``: counts of each text's grams and their sum of squares.
+
+    The texts are dealt by id before they are cut, so the grams, many times
+    the text, need no shuffle to be counted and summed.
+    """
+    counts = texts.repartition("id").select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").cast("double").alias("tf"))
     return counts.withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
 
 
@@ -66,49 +71,71 @@ def corpus_tfidf(fit_on: DataFrame, transform: DataFrame) -> tuple[DataFrame, Da
     return vocabulary.select("gram", "idx", "df", "idf"), weighted.select("id", "idx", (F.col("w") / norm).alias("weight"))
 
 
-def prefixes(counts: DataFrame, frequency: DataFrame, config: Config) -> DataFrame:
-    """``id, gram`` of each text's rare grams, without the frequent tail that no match can live on."""
+def prefixes(counts: DataFrame, frequent: DataFrame, share: float) -> DataFrame:
+    """``id, gram`` of each text's rare grams, without the frequent tail that no match can live on.
+
+    Any order that both sides follow is lossless. Here grams go from those
+    outside the bounded list ``frequent`` (``gram, df``) to the most frequent.
+    """
     tail = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(frequency, "gram").withColumn("below", F.sum(F.col("tf") * F.col("tf")).over(tail))
+    placed = counts.join(F.broadcast(frequent), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    ranked = placed.withColumn("below", F.sum(F.col("tf") * F.col("tf")).over(tail))
     # the slack keeps a text whose tail sum meets the bound but for rounding
-    return ranked.where(F.col("below") >= config.prefix_share * F.col("norm2") * (1 - 1e-9)).select("id", "gram")
+    return ranked.where(F.col("below") >= share * F.col("norm2") * (1 - 1e-9)).select("id", "gram")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, config: Config = Config()) -> DataFrame:
+def candidate_pairs(left: DataFrame, right: DataFrame, config: Config = Config(), chars: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``l, r``: pairs of word counts that may reach the threshold; no match is missing.
 
-    If a match needs no common word, pairs that share any gram stand in; with
-    a threshold of 0 every pair matches and the caller has to cross join.
+    If a match needs a word cosine, only rare grams are joined; if it needs
+    just a common word, any gram. If the threshold is no more than the weight
+    of characters, a match may have no common word at all: then ``chars``,
+    the character counts of both sides, bring those by their rare grams.
     """
     if config.threshold == 0:
         raise ValueError("every pair matches at threshold 0; there is nothing to prune")
-    if config.least_word_cosine <= 0:
-        a, b = left, right
-    else:
-        frequency = document_frequency(left.select("id", "gram").union(right.select("id", "gram")))
-        a, b = prefixes(left, frequency, config), prefixes(right, frequency, config)
-    a, b = a.select(F.col("id").alias("l"), "gram"), b.select(F.col("id").alias("r"), "gram")
-    return a.join(small(b), "gram").select("l", "r").distinct()
+
+    def met(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
+        if share > 0:
+            # the right side's most frequent grams; of a small side all, so that the others join with nothing
+            frequent = keep(document_frequency(b).orderBy(F.desc("df"), "gram").limit(BROADCAST_ROWS), "frequent")
+            a, b = prefixes(a, frequent, share), keep(prefixes(b, frequent, share), "prefixes")
+        a, b = a.select(F.col("id").alias("l"), "gram"), b.select(F.col("id").alias("r"), "gram")
+        return a.join(small(b), "gram").select("l", "r")
+
+    pairs = met(left, right, config.prefix_share(config.least_word_cosine))
+    if config.threshold <= config.char_weight:
+        if chars is None:
+            raise ValueError("a threshold within the weight of characters needs the character counts")
+        pairs = pairs.union(met(*chars, config.prefix_share(float(config.threshold / config.char_weight))))
+    return pairs.distinct()
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``l, r, shared, total, score``: pairs of ``id, text`` rows with word Jaccard at or above the threshold (> 0).
 
-    Words go from rare to frequent; two such sets share one of their first
-    n - ceil(threshold * n) + 1 words, so only those are joined.
+    Words go from those outside a bounded list to the most frequent of the
+    right side; two such sets share one of their first
+    n - ceil(threshold * n) + 1 words, and neither is larger than the other
+    by more than the threshold allows, so only such sets meet.
     """
     def sets(texts: DataFrame) -> DataFrame:
         return texts.select("id", F.array_distinct(T.words(F.col("text"))).alias("words")).where(F.size("words") > 0)
 
     a, b = sets(left), sets(right)
-    frequency = a.union(b).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    each = b.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    frequent = keep(each.orderBy(F.desc("df"), "word").limit(BROADCAST_ROWS), "frequent")
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
-        rows = side.select("id", F.size("words").alias("n"), F.explode("words").alias("word")).join(frequency, "word")
+        # dealt by id before they are cut, so ranking needs no further shuffle
+        rows = side.repartition("id").select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+        rows = rows.join(F.broadcast(frequent), "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
         place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-        return rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(F.col("id").alias(name), "word")
+        first = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+        return first.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), "word")
 
-    pairs = prefix(a, "l").join(small(prefix(b, "r")), "word").select("l", "r").distinct()
+    alike = (F.col("nl") >= F.col("nr") * threshold - 1e-9) & (F.col("nr") >= F.col("nl") * threshold - 1e-9)
+    pairs = prefix(a, "l").join(small(keep(prefix(b, "r"), "prefixes")), "word").where(alike).select("l", "r").distinct()
     both = pairs.join(a.select(F.col("id").alias("l"), F.col("words").alias("wl")), "l").join(b.select(F.col("id").alias("r"), F.col("words").alias("wr")), "r")
     found = both.select("l", "r", word_overlap(F.col("wl"), F.col("wr")).alias("x"))
     return found.select("l", "r", F.col("x.shared").cast("long").alias("shared"), F.col("x.total").cast("long").alias("total"), F.col("x.score").alias("score")).where(F.col("score") >= threshold)
@@ -163,24 +190,29 @@ def score_components(word: Column, char: Column, overlap: Column, config: Config
     return F.struct(F.lit("chunk_pair").alias("scope"), F.lit(config.version).alias("algorithm_version"), signal(word, config.word_weight).alias("word_tfidf"), signal(char, config.char_weight).alias("character_tfidf"), signal(overlap, config.overlap_weight).alias("word_overlap"))
 
 
-def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config = Config(), prune: bool = True, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config = Config(), prune: bool = True) -> DataFrame:
     """``l, r, word, char, overlap, score`` of pairs of ``id, text`` rows.
 
-    With ``prune``, pairs that cannot reach the threshold are dropped before
-    the character grams, the dearest signal, are counted. ``counts``: word
-    counts of both sides, if they are at hand.
+    Grams are counted only for the texts that occur in a pair. With ``prune``,
+    pairs that cannot reach the threshold are dropped before the character
+    grams, the dearest signal, are counted.
     """
-    lw, rw = counts or (word_counts(left, config), word_counts(right, config))
-    scored = pair_cosine(pairs, lw, rw, "word")
-    a = left.select(F.col("id").alias("l"), F.array_distinct(T.words(F.col("text"))).alias("wl"))
-    b = right.select(F.col("id").alias("r"), F.array_distinct(T.words(F.col("text"))).alias("wr"))
+    pairs = keep(pairs.select("l", "r"), "pairs")
+
+    def met(texts: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+        return texts.join(small(pairs.select(F.col(side).alias("id")).distinct()), "id", "left_semi")
+
+    a, b = met(left, pairs, "l"), met(right, pairs, "r")
+    scored = pair_cosine(pairs, word_counts(a, config), word_counts(b, config), "word")
+    a = a.select(F.col("id").alias("l"), F.array_distinct(T.words(F.col("text"))).alias("wl"))
+    b = b.select(F.col("id").alias("r"), F.array_distinct(T.words(F.col("text"))).alias("wr"))
     scored = scored.join(a, "l").join(b, "r").withColumn("overlap", word_overlap(F.col("wl"), F.col("wr"))["score"]).drop("wl", "wr")
     if prune:
         best = hybrid_score(F.col("word"), F.lit(1.0), F.col("overlap"), config)
         scored = scored.where(best >= F.lit(config.threshold))
-    scored = scored.persist()
-    lives = scored.select("l", "r")
-    chars = pair_cosine(lives, char_counts(left.join(lives.select(F.col("l").alias("id")).distinct(), "id", "left_semi"), config), char_counts(right.join(lives.select(F.col("r").alias("id")).distinct(), "id", "left_semi"), config), "char")
+    scored = keep(scored, "scored")
+    a, b = met(left, scored, "l"), met(right, scored, "r")
+    chars = pair_cosine(scored.select("l", "r"), char_counts(a, config), char_counts(b, config), "char")
     scored = scored.join(chars, ["l", "r"])
     return scored.select("l", "r", "word", "char", "overlap", hybrid_score(F.col("word"), F.col("char"), F.col("overlap"), config).alias("score"))
 
@@ -188,9 +220,12 @@ def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Con
 def match_pairs(left: DataFrame, right: DataFrame, config: Config = Config()) -> DataFrame:
     """Scored pairs at or above the threshold, unrounded and inclusive.
 
-    The gram counts, used for candidates and for scores, are computed once
-    and kept on the executors, on disk beyond their memory.
+    At a threshold of 0 every pair is a match, so all are listed; at any other
+    only candidates are.
     """
-    counts = word_counts(left, config).persist(), word_counts(right, config).persist()
-    pairs = candidate_pairs(*counts, config)
-    return score_pairs(pairs, left, right, config, counts=counts).where(F.col("score") >= F.lit(config.threshold))
+    if config.threshold == 0:
+        pairs = left.select(F.col("id").alias("l")).crossJoin(right.select(F.col("id").alias("r")))
+    else:
+        chars = (char_counts(left, config), char_counts(right, config)) if config.threshold <= config.char_weight else None
+        pairs = candidate_pairs(word_counts(left, config), word_counts(right, config), config, chars)
+    return score_pairs(pairs, left, right, config).where(F.col("score") >= F.lit(config.threshold))

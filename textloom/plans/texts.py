@@ -9,6 +9,7 @@ from textloom.config import Config
 from textloom.functions import text as T
 from textloom.operators import chunks, evidence, report
 from textloom.operators import similarity as S
+from textloom.tables import keep
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,8 +28,8 @@ def chunked(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks of both sides, cut once and kept for the several joins of a query."""
-    return chunked(spark, sf_dir, "documents", "doc_id").persist(), chunked(spark, sf_dir, "benchmark", "item_id").persist()
+    """Chunks of both sides, cut once for the several joins of a query."""
+    return keep(chunked(spark, sf_dir, "documents", "doc_id"), "chunks"), keep(chunked(spark, sf_dir, "benchmark", "item_id"), "chunks")
 
 
 def as_text(rows: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def coverage(spark, sf_dir):
 def _matched_chunks(spark, sf_dir):
     left, right = sides(spark, sf_dir)
     found = S.match_pairs(as_text(left), as_text(right))
-    return found.join(left.select(F.col("id").alias("l"), "doc_id", "char_start", "char_end", "content"), "l").select("doc_id", F.col("l").alias("chunk"), F.expr("floor(r / 1000000)").cast("long").alias("source_id"), F.concat_ws("-", "l", "r").alias("match_id"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), T.score_round(F.col("score")).cast("double").alias("score"), F.lit(None).cast("int").alias("page_number"))
+    return found.join(left.select(F.col("id").alias("l"), "doc_id", "char_start", "char_end", "content"), "l").select("doc_id", F.col("l").alias("chunk"), F.expr("r div 1000000").alias("source_id"), F.concat_ws("-", "l", "r").alias("match_id"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), T.score_round(F.col("score")).cast("double").alias("score"), F.lit(None).cast("int").alias("page_number"))
 
 
 def chunk_coverage(spark, sf_dir):
