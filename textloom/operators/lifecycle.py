@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 MAX_BYTES, SAMPLE_BYTES, CONTROL_SHARE = 20 * 1024 * 1024, 8192, 0.02
-# Allowed edges of a document's status, and failure codes.
+# Allowed edges of a document's status, failure codes and which of them may be retried.
 EDGES = (("uploaded", "queued"), ("queued", "extracting"), ("queued", "failed"), ("extracting", "analyzing"), ("extracting", "failed"), ("analyzing", "completed"), ("analyzing", "failed"), ("failed", "queued"))
 PUBLIC_CODES = ("processing_timeout", "ocr_required", "invalid_pdf", "invalid_docx", "no_extractable_text", "stored_document_changed", "missing_document_chunks", "missing_algorithm_snapshot", "unsupported_algorithm_version")
 RETRYABLE = ("processing_failed", "processing_timeout")
+# Names of diagnostic fields, stages and methods.
 SENSITIVE = ("email", "ip", "name", "phone", "password", "cookie", "token", "content", "body", "text", "document_text", "storage_key", "headers", "params")
 UUID_FIELDS = ("document_id", "analysis_id", "task_id")
 STAGES = ("extract", "analyze", "dispatch", "retention_cleanup")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.lifecycle import owned
 
 
 def islands(ranges: DataFrame, key: str, start: str = "start", end: str = "end", merge_adjacent: bool = True) -> DataFrame:
@@ -67,6 +68,38 @@ def evidence_page(matches: DataFrame, offset: int = 0, limit: int = 20) -> DataF
     return matches.orderBy(F.desc("score"), "start", "match_id").offset(offset).limit(limit)
 
 
+def evidence_join(matches: DataFrame, analyses: DataFrame, documents: DataFrame, document_chunks: DataFrame, source_chunks: DataFrame, sources: DataFrame, owner: Column) -> DataFrame:
+    """Matches of an owner's documents with their chunks and sources.
+
+    ``matches``: ``match_id, analysis_id, document_chunk_id, source_chunk_id``;
+    ``analyses``: ``analysis_id, document_id``; ``documents``: ``id, owner_id,
+    status``; chunks: their id, ``document_id`` or ``source_id`` and content.
+    A match whose chunk is of another document than its analysis is left out.
+    Documents are filtered first, so the owner's share alone is joined.
+    """
+    runs = owned_analyses(analyses, documents, owner).select("analysis_id", "document_id")
+    rows = matches.join(runs, "analysis_id").join(document_chunks, ["document_chunk_id", "document_id"])
+    return rows.join(source_chunks, "source_chunk_id").join(sources, "source_id")
+
+
+def owned_analyses(analyses: DataFrame, documents: DataFrame, owner: Column) -> DataFrame:
+    """Analyses of an owner's documents that are not deleted."""
+    return analyses.join(owned(documents, owner).select(F.col("id").alias("document_id"), F.col("status").alias("document_status")), "document_id")
+
+
+def evidence_report(rows: DataFrame, source_id: int | None = None, minimum: float = 0.0, offset: int = 0, limit: int = 20) -> DataFrame:
+    """One page of joined evidence with its texts and the counts of the whole report.
+
+    ``rows`` as of ``evidence_join`` with ``score``, the range ``start, end``
+    in the document and ``chunk_start, content`` of its chunk.
+    """
+    kept = filter_matches(rows, source_id, minimum)
+    totals = rows.agg(F.count("*").alias("total")).crossJoin(kept.agg(F.count("*").alias("filtered"), F.count_distinct("source_id").alias("sources")))
+    text = T.text_slice(F.col("content"), F.col("chunk_start"), F.col("start"), F.col("end"))
+    page = evidence_page(kept, offset, limit).withColumns({"evidence": text, "level": T.score_level(F.col("score"))})
+    return page.crossJoin(totals)  # one row
+
+
 def report_sources(matches: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per source of a report with its matches and best score; see ``by_title`` for the order."""
     best = matches.groupBy("source_id").agg(F.count("*").alias("matches"), F.max("score").alias("best_score"))

@@ -51,7 +51,8 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add the place of each row in the whole order, from 0: a range sort, then one offset per partition."""
-    placed = df.orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}).persist()
+    placed = df.orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    placed = keep(placed, "placed")
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first")).select("_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_first", "_before")

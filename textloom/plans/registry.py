@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from textloom.plans import tables, texts
+from textloom.plans import corpus, tables, texts
 
 FLAGSHIP = "coverage"
-QUERIES: dict = {**texts.QUERIES, **tables.QUERIES}
-SQL: dict = {**texts.SQL, **tables.SQL}
+QUERIES: dict = {**texts.QUERIES, **tables.QUERIES, **corpus.QUERIES}
+SQL: dict = {**texts.SQL, **tables.SQL, **corpus.SQL}
