@@ -13,8 +13,8 @@ from textloom.llm.common import Scratch, connected_components, read
 
 #: Cosine from which two vectors of one label link.
 THRESHOLD = 0.93
-#: Distinct vectors of one label in a tile, about.
-TILE = 1500
+#: Vector components of a tile of one label, about, and vectors of either side that are multiplied at once.
+TILE_VALUES, BLOCK = 1 << 20, 1500
 #: Covers the rounding of double products and sums in a bound.
 SLACK = 1e-9
 
@@ -25,9 +25,8 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest position that links a[i]-b[i] reach from each of n positions."""
-    root = np.arange(n)
+def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest position that each one reaches by earlier links, kept in ``root``, and the links a[i]-b[i]."""
     while len(a):
         low = np.minimum(root[a], root[b])
         after = root.copy()
@@ -40,6 +39,15 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _quantised(v: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unit vectors, their scales and int8 codes, and the norms of what the codes give and miss."""
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scale = np.abs(unit).max(axis=1) / 127
+    code = np.rint(unit / scale[:, None]).astype(np.int8)
+    kept = code * scale[:, None]
+    return unit, scale, code, np.linalg.norm(kept, axis=1), np.linalg.norm(unit - kept, axis=1)
+
+
 def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows i, j with cosine at or above the threshold.
 
@@ -47,16 +55,7 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndar
     differs from the cosine by no more than the error norms allow. Only pairs
     whose bounds enclose the threshold are computed in double precision.
     """
-
-    def quantised(v: np.ndarray) -> tuple:
-        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-        scale = np.abs(unit).max(axis=1) / 127
-        code = np.rint(unit / scale[:, None]).astype(np.int8)
-        kept = code * scale[:, None]
-        return unit, scale, code, np.linalg.norm(kept, axis=1), np.linalg.norm(unit - kept, axis=1)
-
-    ux, sx, qx, nx, ex = quantised(x)
-    uy, sy, qy, ny, ey = quantised(y)
+    (ux, sx, qx, nx, ex), (uy, sy, qy, ny, ey) = _quantised(x), _quantised(y)
     # whole numbers below 2**24 are exact in single precision
     about = (qx.astype(np.float32) @ qy.astype(np.float32).T) * sx[:, None] * sy[None, :]
     error = nx[:, None] * ey[None, :] + ex[:, None] * (ny + ey)[None, :] + SLACK
@@ -70,21 +69,23 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndar
     return np.concatenate([si, i[hit]]), np.concatenate([sj, j[hit]])
 
 
-def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, tile_values: int = TILE_VALUES, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vec_id, embedding, label``.
 
     Only vectors of one label and length are compared. Exact copies are one
     class, compared once and counted as often as they occur. A tile task gives
     each vector's number of links and one link to its group's smallest
-    member, never the pairs. Rows with a null id, label or unusable vector
-    have no links and their own id.
+    member, never the pairs, of which it holds those of one block at a time.
+    Rows with a null id, label or unusable vector have no links and their own
+    id. Rows of one id are compared and counted each by itself, but reach what
+    any of them links with. Other columns are left out; no rows give none.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding"))
-    classes = scratch.save(rows.where(fit).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = scratch.save(rows.where(fit).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("cls", F.monotonically_increasing_id()), "classes")
     sized = classes.withColumn("dim", F.size("embedding"))
-    count = sized.groupBy("label", "dim").count().select("label", "dim", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    tiled = sized.join(count, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    count = sized.groupBy("label", "dim").count().select("label", "dim", F.ceil(F.col("count") * F.col("dim") / tile_values).cast("int").alias("tiles"))
+    tiled = sized.join(count, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     met = tiled.withColumn("other", other).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
 
@@ -94,19 +95,30 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = THR
         rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         at_a, at_b = np.flatnonzero(first), np.flatnonzero((pdf["tile"] == pdf["j"]).to_numpy())
-        links = np.zeros(len(rep), np.int64)
-        a, b = close_pairs(x[at_a], x[at_b], threshold) if len(at_a) and len(at_b) else (at_a[:0], at_b[:0])
-        a, b = at_a[a], at_b[b]
-        a, b = (a[a < b], b[a < b]) if pdf["i"].iloc[0] == pdf["j"].iloc[0] else (a, b)
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        for s in range(0, len(at_a), block):
+            for t in range(s if same else 0, len(at_b), block):
+                rows, columns = at_a[s : s + block], at_b[t : t + block]
+                a, b = close_pairs(x[rows], x[columns], threshold)
+                a, b = rows[a], columns[b]
+                a, b = (a[a < b], b[a < b]) if same else (a, b)
+                np.add.at(links, a, copies[b])
+                np.add.at(links, b, copies[a])
+                root = _roots(root, a, b)
         some = np.flatnonzero(links)
-        return pd.DataFrame({"rep": rep[some], "links": links[some], "root": rep[_roots(len(rep), a, b)[some]]})
-
-    found = scratch.save(met.select("label", "dim", "i", "j", "tile", "rep", "copies", "embedding").groupBy("label", "dim", "i", "j").applyInPandas(compare, "rep long, links long, root long"), "found")
-    component = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.join(links, "rep", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
+        return pd.DataFrame({"cls": pdf["cls"].to_numpy()[some], "rep": rep[some], "links": links[some], "root": rep[root[some]]})
+
+    found = scratch.save(met.select("label", "dim", "i", "j", "tile", "cls", "rep", "copies", "embedding").groupBy("label", "dim", "i", "j").applyInPandas(compare, "cls long, rep long, links long, root long"), "found")
+    edges = found.select(F.col("rep").alias("u"), F.col("root").alias("v"))
+    repeated = scratch.save(rows.where(fit).groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated")
+    if not repeated.isEmpty():
+        # an id under several vectors ties their classes together
+        own = rows.where(fit).join(repeated, "vec_id", "left_semi").join(classes.select("label", "embedding", "rep"), ["label", "embedding"])
+        edges = edges.union(own.select(F.col("vec_id").alias("u"), F.col("rep").alias("v")))
+    component = connected_components(edges, scratch)
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    known = classes.join(links, "cls", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     keyed = known.withColumn("key", F.xxhash64("label", "embedding"))
     out = rows.withColumn("key", F.when(fit, F.xxhash64("label", "embedding"))).alias("a").join(
