@@ -14,8 +14,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Sources, with their totals, that the driver holds; more are refused.
 MAX_SOURCES = 100_000
-#: Hexadecimal digits of the document hash that make one bucket of a source.
-BUCKET_DIGITS = 3
+#: Documents of a source that one bucket of their hashes holds, about, and hexadecimal digits of it, at most.
+BUCKET_ROWS, MOST_DIGITS = 50_000, 6
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -65,21 +65,27 @@ def entropy_balance(cells: DataFrame, targets: dict, tolerance: float = 1e-11, m
     return {s: float(np.exp(tilt[s])) if s in tilt else 0.0 for s in total}
 
 
-def mix(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``size, source_size, target, copies`` to documents with ``doc_id, source, text``.
 
     A document's rate is its source's; the whole part is copied outright and
     the fraction rounded by systematic choice: in the order of the document
     id's hash, documents get one more copy until their words meet the rest of
-    the target. Only the rows of one small hash bucket of each source are
-    ordered. Rows with the same id share their fate. A null text has size 0.
-    Columns of ``docs`` with the added names are replaced.
+    the target, so one last hash tells each source's documents apart. Words
+    are summed by buckets of hashes, and only the bucket in which the rest is
+    met is ordered, without its texts. Rows with the same id share their fate,
+    null ids as one. A null text has size 0 and no copies, a null source is a
+    source. Columns of ``docs`` with the added names are replaced; no rows
+    give none.
     """
+    spark = docs.sparkSession
     docs = docs.drop("size", "source_size", "target", "copies")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    sized = docs.withColumn("size", size).withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
-    cells = scratch.save(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("words")), "cells")
+    largest = docs.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    digits = next(d for d in range(1, MOST_DIGITS + 1) if largest <= bucket_rows * 16**d or d == MOST_DIGITS)
+    keyed = docs.select("source", key.alias("key"), F.substring(key, 1, digits).alias("bucket"), "text")
+    cells = scratch.save(keyed.groupBy("source", "bucket").agg(F.sum(size).alias("words")), "cells")
     n_sources = cells.select("source").distinct().count()
     if n_sources > MAX_SOURCES:
         raise ValueError(f"{n_sources} sources; at most {MAX_SOURCES} can be mixed at once")
@@ -87,25 +93,27 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, most: int =
     targets = source_targets(list(sums.items()), weights, most)
     rates = {s: round(r, 9) for s, r in entropy_balance(cells, targets).items()}
     rows = [(s, sums[s], targets[s], int(rates[s]), (rates[s] - int(rates[s])) * sums[s]) for s in sums]
-    plan = docs.sparkSession.createDataFrame(rows, "source string, source_size long, target double, _whole long, _rest double")
-    # the bucket in which the rest of a source's target is met
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    run = cells.withColumn("_before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    a, b = run.alias("a"), F.broadcast(plan).alias("b")
-    met = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).where("a._before < b._rest")
-    met = met.groupBy("b.source").agg(F.max(F.struct("a._bucket", "a._before")).alias("x")).select("source", F.col("x._bucket").alias("_cut"), F.col("x._before").alias("_start"))
-    a, b = plan.alias("a"), met.alias("b")
-    plan = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", F.coalesce("b._cut", F.lit("")).alias("_cut"), F.coalesce("b._start", F.lit(0)).alias("_start"))
-    a, b = sized.alias("a"), F.broadcast(scratch.save(plan, "plan")).alias("b")
-    joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", *(f"b.{c}" for c in ("source_size", "target", "_whole", "_rest", "_cut", "_start")))
-    near = F.col("_bucket") == F.col("_cut")
-    upto = Window.partitionBy("source", "_bucket").orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
-    tied = Window.partitionBy("source", "_bucket", "_key")
-    middle = F.col("_start") + F.sum("size").over(upto) - F.sum("size").over(tied) / 2
-    edge = joined.where(near).withColumn("_more", (middle < F.col("_rest")).cast("long"))
-    clear = joined.where(~near).withColumn("_more", (F.col("_bucket") < F.col("_cut")).cast("long"))
-    copies = F.when(F.col("size") > 0, F.col("_whole") + F.col("_more")).otherwise(0)
-    return clear.unionByName(edge).withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies")
+    plan = spark.createDataFrame(rows, "source string, source_size long, target double, whole long, rest double")
+
+    def of_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        # at most MAX_SOURCES rows
+        return left.alias("a").join(F.broadcast(right.alias("b")), F.col("a.source").eqNullSafe(F.col("b.source")), how)
+
+    # the bucket in which the rest of a source's target is met, and the words before it
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    run = cells.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    met = of_source(run, plan).where("a.before < b.rest").groupBy("b.source").agg(F.max(F.struct("a.bucket", "a.before")).alias("x"), F.first("b.rest").alias("rest"))
+    met = scratch.save(met.select("source", "x.bucket", "x.before", "rest"), "met")
+    # its last hash whose middle lies before the rest; without any, all earlier buckets
+    near = of_source(keyed, met).where("a.bucket = b.bucket").groupBy("b.source", "a.key").agg(F.sum(F.coalesce(F.regexp_count("a.text", F.lit(WORD)), F.lit(0))).cast("long").alias("words"), F.first("b.before").alias("before"), F.first("b.rest").alias("rest"))
+    upto = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("before") + F.sum("words").over(upto) - F.col("words") / 2
+    last = near.withColumn("middle", middle).where("middle < rest").groupBy("source").agg(F.max("key").alias("last"))
+    ends = of_source(met.select("source", "bucket"), last, "left").select("a.source", F.coalesce("b.last", "a.bucket").alias("last"))
+    plan = scratch.save(of_source(plan, ends, "left").select("a.*", F.coalesce("b.last", F.lit("")).alias("last")), "plan")
+    more = F.when(key <= F.col("b.last"), 1).otherwise(0)
+    copies = F.when(size > 0, F.col("b.whole") + more).otherwise(0).cast("long")
+    return of_source(docs, plan).select(*(F.col(f"a.`{c}`") for c in docs.columns), size.alias("size"), F.col("b.source_size"), F.col("b.target"), copies.alias("copies"))
 
 
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
