@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, Scratch, read
+from textloom.llm.common import WORD, Scratch, fresh, read
 
 #: Lines over which the hash rolls, one border in so many windows, and fewest lines of a chunk that can go.
 WINDOW, ONE_IN, LEAST_LINES = 2, 2, 2
+#: Repeats of one chunk that meet its first occurrence in one group, about.
+REPEATS_PER_GROUP = 10_000
 #: Base and modulus of the rolling hash of 28-bit line hashes.
 BASE, MODULUS = 1_000_003, (1 << 31) - 1
 #: Words above which a single line is a passage.
@@ -92,20 +94,21 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
         for batch in batches:
             rows = []
             for d, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                which = {w["chunk"]: w["digest"] for w in wanted}
-                rows += [(d, k, which[k], c) for k, _, c in _chunks(t.as_py()) if k in which]
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=["doc_id", "chunk", "digest", "body"])
+                which = {w["chunk"]: w for w in wanted}
+                rows += [(d, k, which[k]["digest"], which[k]["head"], which[k]["salts"], c) for k, _, c in _chunks(t.as_py()) if k in which]
+            columns = zip(*rows, strict=True) if rows else ([],) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "chunk", "digest", "head", "salts", "body"])
 
     found = scratch.save(texts.mapInArrow(digests, "doc_id long, chunk int, digest binary"), "digests")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    first = scratch.save(first.select("digest", "first"), "first")
-    repeated = found.join(first, "digest").select("doc_id", "chunk", "digest")
-    wanted = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("chunk", "digest")).alias("wanted"))
-    compared = scratch.save(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(bodies, "doc_id long, chunk int, digest binary, body string").distinct(), "bodies")
-    heads = compared.join(first, "digest").where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("chunk") == F.col("first.chunk"))).select("digest", F.col("body").alias("head"))
-    same = compared.join(first, "digest").join(heads, "digest").where(F.col("body") == F.col("head"))
-    return same.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("chunk") != F.col("first.chunk"))).select("doc_id", "chunk")
+    # a first occurrence stands once for so many of its repeats, which then meet it in as many groups
+    first = scratch.save(first.select("digest", "first", F.ceil(F.col("times") / REPEATS_PER_GROUP).cast("int").alias("salts")), "first")
+    repeated = found.join(first, "digest").select("doc_id", "chunk", "digest", (F.struct("doc_id", "chunk") == F.col("first")).alias("head"), "salts")
+    wanted = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("chunk", "digest", "head", "salts")).alias("wanted"))
+    compared = scratch.save(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(bodies, "doc_id long, chunk int, digest binary, head boolean, salts int, body string"), "bodies")
+    heads = compared.where("head").select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("body").alias("first_body"))
+    others = compared.where("not head").withColumn("salt", F.pmod(F.xxhash64("doc_id", "chunk"), F.col("salts")).cast("int"))
+    return others.join(heads, ["digest", "salt"]).where(F.col("body") == F.col("first_body")).select("doc_id", "chunk")
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -117,7 +120,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     replaced.
     """
     docs = docs.drop("removed_chunks", "removed_lines")
-    gone = scratch.save(repeated_chunks(docs, scratch), "gone").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("chunk").alias("_gone"))
+    of_id, of_gone = fresh("_id", docs.columns), fresh("_gone", docs.columns)
+    gone = scratch.save(repeated_chunks(docs, scratch), "gone").groupBy(F.col("doc_id").alias(of_id)).agg(F.collect_set("chunk").alias(of_gone))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +135,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(chunks, pa.int64()), pa.array(lines, pa.int64())], names=[*batch.schema.names[:-1], "removed_chunks", "removed_lines"])
 
     # what is removed grows with the corpus: never a broadcast
-    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col(of_id), "left").drop(of_id)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_chunks long, removed_lines long"
     return joined.mapInArrow(clean, schema)
 
@@ -201,7 +205,8 @@ def dedup_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.drop("removed_lines")
     mark = F.xxhash64("text")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text")
-    gone = scratch.save(repeated_windows(texts, scratch), "gone").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("start", "end")).alias("_gone"))
+    of_id, of_mark, of_gone = (fresh(n, docs.columns) for n in ("_id", "_mark", "_gone"))
+    gone = scratch.save(repeated_windows(texts, scratch), "gone").groupBy(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark)).agg(F.collect_set(F.struct("start", "end")).alias(of_gone))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +222,7 @@ def dedup_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(dropped, pa.int64())], names=[*batch.schema.names[:-1], "removed_lines"])
 
     # what is removed grows with the corpus: never a broadcast
-    joined = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (mark == F.col("_mark")), "left").drop("_id", "_mark")
+    joined = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col(of_id)) & (mark == F.col(of_mark)), "left").drop(of_id, of_mark)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_lines long"
     return joined.mapInArrow(clean, schema)
 
