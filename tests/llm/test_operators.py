@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import chat, embeddings, fixity, html, jaccard, lines, mixing, packing, toxicity
+from brute_force import brute_components, brute_passages
 from textloom.llm.common import Scratch, connected_components
 
 
@@ -214,6 +215,31 @@ def test_quantised_pairs_equal_brute_force():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(unit @ unit.T >= 0.93)), strict=True))
 
 
+def test_vector_components_over_many_tiles(spark, scratch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(25, 8))
+    x = np.vstack([base[rng.integers(0, 25, 260)] + 0.12 * rng.normal(size=(260, 8)), np.repeat(base[:1], 130, axis=0)])
+    # ids repeat here and there, and so do whole rows
+    rows = [(int(i - (i % 40 == 1)), v.tolist(), int(i % 2)) for i, v in enumerate(x)] + [(0, x[0].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"tile": F.lit("clash"), "rep": F.lit("x")})
+    small = embeddings.near_duplicates(df, scratch, tile_values=30 * 8, block=13).collect()
+    ids, labels, v = np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None, :])
+    links = near.sum(axis=1) - 1
+    comp = ids.copy()
+    for _ in range(60):
+        low = np.array([comp[near[k]].min() for k in range(len(ids))])
+        for i in np.unique(ids):
+            low[ids == i] = low[ids == i].min()
+        if np.array_equal(low, comp):
+            break
+        comp = low
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in small)
+    assert got == sorted((i, n, c, i == c) for i, n, c in zip(ids.tolist(), links.tolist(), comp.tolist(), strict=True))
+    assert embeddings.near_duplicates(df.where("false"), scratch).count() == 0
+
+
 def test_vector_components(spark, scratch):
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.1], 1), (4, [1.0, 0.0], 2), (5, [0.0, 0.0], 1), (6, None, 1), (7, [1.0, 0.0], None), (8, [0.0, 1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("copies", F.lit("x"))
@@ -331,6 +357,17 @@ def test_mix_meets_targets(spark, scratch):
     assert mixing.mix(df.where("false"), scratch).count() == 0
 
 
+def test_mix_is_alike_with_any_buckets(spark, scratch):
+    rows = [(i // 2 if i % 5 == 0 else i, "hot" if i % 3 else "b", "w " * (i % 9)) for i in range(500)] + [(None, "hot", "a b c")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"_key": F.lit("k"), "last": F.lit("l"), "rest": F.lit(0)})
+    one, many = (sorted((str(r["doc_id"]), r["source"], r["size"], r["copies"], r["_key"], r["last"]) for r in mixing.mix(df, scratch, bucket_rows=n).collect()) for n in (50_000, 3))
+    assert one == many and len(one) == 540
+    by = {}
+    for _, source, size, copies, *_ in one:
+        by.setdefault(source, []).append(size * copies)
+    assert sum(map(sum, by.values())) == pytest.approx(sum(len(r[2].split()) for r in rows), abs=130)
+
+
 def test_targets_are_shared_anew():
     got = mixing.source_targets([("a", 10), ("b", 10), (None, 80)])
     assert got["a"] == 30 and got["b"] == 30 and got[None] == pytest.approx(40)
@@ -356,29 +393,6 @@ def test_best_branches(spark, scratch):
     assert "late" in got[1] and "bad" in got[1] and "good" in got[2] and len(got) == 2
 
 
-def brute_components(rows, percent=75):
-    def shingles(t):
-        w = (t or "").encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = {d: shingles(t) for d, t in rows if d is not None}
-    root = {d: d for d in sets}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d)) for d in ids}
-
-
 def test_jaccard_equals_brute_force(spark, scratch):
     rng = random.Random(11)
     word = lambda: "w%d" % rng.randint(0, 400)
@@ -429,6 +443,19 @@ def test_jaccard_over_many_ranges(spark, scratch):
     assert got == brute_components(rows)
 
 
+def test_chunks_of_hot_passages_go_in_groups(spark, scratch, monkeypatch):
+    monkeypatch.setattr(lines, "REPEATS_PER_GROUP", 7)
+    passage = "\n".join(f"hot line {i}" for i in range(9))
+    rows = [(i, f"own {i}\n{passage}\nend {i}") for i in range(60)] + [(5, f"own 5\n{passage}\nend 5")] * 2
+    got = lines.dedup_lines(docs_of(spark, rows).withColumns({"_id": F.lit("kept"), "_gone": F.lit("too")}), scratch).collect()
+    assert len(got) == 62 and all((r["_id"], r["_gone"]) == ("kept", "too") for r in got)
+    kept = {r["doc_id"]: r["text"] for r in got}
+    assert kept[0] == rows[0][1] and all(r["removed_chunks"] > 0 for r in got if r["doc_id"])
+    inner = [tuple(passage.split("\n")[s - 1 : e - 1]) for s, e in lines.chunk_lines(rows[1][1].split("\n")) if s > 1 and e <= 10 and e - s > 1]
+    assert inner and not any("\n".join(c) in t for d, t in kept.items() if d for c in inner)
+    assert lines.dedup_lines(docs_of(spark, []), scratch).count() == lines.dedup_passages(docs_of(spark, []), scratch).count() == 0
+
+
 def brute_repeated(rows, percent=75):
     """Components of ids where each row is compared by itself and rows of one id stand together."""
     apart = [(k, t) for k, (_, t) in enumerate(rows)]
@@ -460,27 +487,6 @@ def test_jaccard_with_repeated_ids(spark, scratch):
     assert [(r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None] == [(46, None)] and len(got) == len(with_null)
 
 
-def brute_passages(rows):
-    """Texts without the maximal common runs of several lines or over 50 words that stand earlier."""
-    docs = [(d, t.split("\n")) for d, t in sorted(rows) if t is not None]
-    gone = {d: set() for d, _ in docs}
-    for x, (d, own) in enumerate(docs):
-        for y, (_, other) in enumerate(docs[: x + 1]):
-            for shift in range(1 - len(other), len(own)):
-                if y == x and shift < 1:
-                    continue
-                run = []
-                for i in range(len(own) + 1):
-                    if i < len(own) and 0 <= i - shift < len(other) and own[i] == other[i - shift]:
-                        run.append(i)
-                        continue
-                    several = len(run) > 1 and any(own[k].strip() for k in run)
-                    if several or sum(len(own[k].split()) for k in run) > 50:
-                        gone[d].update(run)
-                    run = []
-    return {d: ("\n".join(line for i, line in enumerate(own) if i not in gone[d]), len(gone[d])) for d, own in docs}
-
-
 def passage_rows():
     rng = random.Random(9)
     serial = iter(range(10**6))

@@ -332,6 +332,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, pe
             ids = named.select(F.col("name").alias(end), F.col("doc_id").alias("_id"))
             links = links.join(ids.hint("merge"), end).drop(end).withColumnRenamed("_id", end)
     final = connected_components(links, scratch, "all")
+    scratch.drop("own", "typical", "large", "rest", "far", "named")
     return sizes.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
