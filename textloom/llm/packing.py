@@ -71,23 +71,24 @@ def cut_documents(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str = "byt
     """
     kind = dict(docs.dtypes)["doc_id"]
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "")
+            rows: list[tuple] = []
+            owners: list[int] = []
+            for i, text in enumerate(batch.column(1)):
+                # four bytes an id, and none of them held once they are counted
+                ids = array("I", encode(text.as_py() or ""))
                 ids.append(END_ID)
                 for start in range(0, len(ids), max_len):
                     piece = ids[start : start + max_len]
-                    crc = zlib.crc32(array("I", piece))
-                    for column, value in zip(out, (doc_id, start, len(piece), crc, len(ids), piece), strict=True):
-                        column.append(value)
-            arrays = [pa.array(out[0], batch.schema.field(0).type), *(pa.array(x, pa.int64()) for x in out[1:5])]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if keep_ids:
-                arrays, names = [*arrays, pa.array(out[5], pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    owners.append(i)
+                    rows.append((start, len(piece), zlib.crc32(piece), len(ids), piece if keep_ids else None))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            arrays = [batch.column(0).take(pa.array(owners, pa.int64())), *(pa.array(x, pa.int64()) for x in columns[:4])]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array([list(x) for x in columns[4]], pa.list_(pa.int32()))] * keep_ids, names=names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
