@@ -88,7 +88,9 @@ def cut_documents(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str = "byt
                     rows.append((start, len(piece), zlib.crc32(piece), len(ids), piece if keep_ids else None))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             arrays = [batch.column(0).take(pa.array(owners, pa.int64())), *(pa.array(x, pa.int64()) for x in columns[:4])]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array([list(x) for x in columns[4]], pa.list_(pa.int32()))] * keep_ids, names=names)
+            if keep_ids:
+                arrays.append(pa.array([list(x) for x in columns[4]], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
