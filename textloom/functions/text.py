@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,8 +25,22 @@ _MANY = {c: f for c, f in FOLDED.items() if len(f) > 1}
 
 #: No character below U+0300 and none of the common punctuation changes under NFC.
 MAYBE_NOT_NFC = r"[\x{300}-\x{200f}\x{2028}-\x{10ffff}]"
-#: Covers every key of ``_MANY`` with few ranges, which Java tests fast.
-_MAYBE_MANY = "[ßŉǰ\u0370-\uffff]"
+
+
+def _covering(chars: Iterable[str], gap: int = 64) -> str:
+    """A character class of few ranges, which Java tests fast, that covers ``chars``."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and c - ranges[-1][1] <= gap:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
+_MAYBE_ONE, _MAYBE_MANY = _covering(_ONE), _covering(_MANY.keys() - {"ß"})
+#: Covers both, and is tested faster still; no letter of Turkish is among them.
+_MAYBE_EITHER = "[µŉ\\x{160}-\\x{10ffff}]"
 
 
 def nfc(df: DataFrame, column: str) -> DataFrame:
@@ -43,18 +57,33 @@ def normalize_text(text: Column) -> Column:
     """One kind of line end and blank, no control characters, stripped lines and text. Expects NFC."""
     text = F.regexp_replace(text, r"\r\n?", "\n")
     text = F.regexp_replace(text, r"[\p{C}&&[^\n]]", " ")
-    text = F.regexp_replace(text, r"(?U)[^\S\n]+", " ")
-    text = F.regexp_replace(text, r"(?m)^ | $", "")
+    # single spaces, nearly all blanks, are left alone
+    text = F.regexp_replace(text, r"(?U)[^\S\n ][^\S\n]*+| [^\S\n]++", " ")
+    text = F.regexp_replace(text, r" (?:(?<![^\n] )|(?![^\n]))", "")
     return F.regexp_replace(text, r"^\n+|\n+$", "")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Turkish case folding: dotted and dotless i, then full case folding."""
-    low = F.lower(F.translate(text, "Iİ", "ıi"))
-    low = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+    low = F.lower(F.replace(F.replace(text, F.lit("I"), F.lit("ı")), F.lit("İ"), F.lit("i")))
+    # the only frequent letter that becomes two
+    low = F.replace(low, F.lit("ß"), F.lit("ss"))
     longer = F.create_map(*(F.lit(x) for pair in _MANY.items() for x in pair))
-    full = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(longer[c], c)), "")
-    return F.when(low.rlike(_MAYBE_MANY), full).otherwise(low)
+
+    def full(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(longer[c], c)), "")
+
+    def further(t: Column) -> Column:
+        one = F.when(t.rlike(_MAYBE_ONE), F.translate(t, "".join(_ONE), "".join(_ONE.values()))).otherwise(t)
+        return _once(one, lambda t: F.when(t.rlike(_MAYBE_MANY), full(t)).otherwise(t))
+
+    # few texts hold what lower case leaves to fold; the rest is only looked through
+    return _once(low, lambda t: F.when(t.rlike(_MAYBE_EITHER), further(t)).otherwise(t))
 
 
 def words(text: Column) -> Column:
@@ -62,11 +91,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(1))
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once a row, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ngrams(items: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` items, joined by U+0001, by size, then place."""
     def runs(w: Column, n: int) -> Column:
@@ -90,8 +114,8 @@ def char_ngrams(stream: Column, low: int, high: int) -> Column:
     return _once(stream, lambda t: F.concat(*(runs(t, n) for n in range(low, high + 1))))
 
 
-#: Zero-width place after a sentence end that no abbreviation explains.
-SENTENCE_END = r"(?iU)(?<!(?:^|\s)(?:" + "|".join(re.escape(a[:-1]) for a in ABBREVIATIONS) + r"|[\p{L}&&[^İßẞŉǰΐΰևẖẗẘẙẚ]])\.)(?<=[.!?…])(?=\s|$)"
+#: Zero-width place after a sentence end that no abbreviation explains; what few places meet is tested first.
+SENTENCE_END = r"(?iU)(?<=[.!?…])(?=\s|$)(?<!(?:^|\s)(?:" + "|".join(re.escape(a[:-1]) for a in ABBREVIATIONS) + r"|[\p{L}&&[^İßẞŉǰΐΰևẖẗẘẙẚ]])\.)"
 
 
 def sentence_pieces(text: Column) -> Column:
@@ -99,6 +123,10 @@ def sentence_pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(text, SENTENCE_END, "\x01"), r"\x01|(?<=\n)")
 
 
+#: The characters of Unicode's White_Space property, as the patterns' blanks.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(1))).cast("long")
 

@@ -30,8 +30,8 @@ def chunk_corpus(parts: DataFrame) -> DataFrame:
     placed = place_parts(parts.withColumn("text", F.coalesce("text", F.lit(""))))
     cut = placed.select("doc_id", "part_no", "page_number", "part_start", F.posexplode(T.sentence_pieces(F.col("text"))).alias("at", "piece"))
     before = Window.partitionBy("doc_id", "part_no").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    lead = F.length("piece") - F.length(F.regexp_replace("piece", r"^(?U)\s+", ""))
-    content = F.regexp_replace("piece", r"^(?U)\s+|(?U)\s+$", "")
+    lead = F.length("piece") - F.length(F.ltrim("piece", F.lit(T.BLANKS)))
+    content = F.btrim("piece", F.lit(T.BLANKS))
     cut = cut.withColumn("start", F.col("part_start") + F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + lead).withColumn("content", content).where("content <> ''")
     index = Window.partitionBy("doc_id").orderBy("part_no", "at")
     return cut.select(

@@ -16,14 +16,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def normalized(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
-    rows = read(spark, sf_dir, table).select(F.col(key).alias("doc_id"), "text")
-    return T.nfc(rows, "text").withColumn("text", T.normalize_text(F.col("text")))
+def normalized(spark: SparkSession, sf_dir: str, table: str, key: str, dealt: bool = False) -> DataFrame:
+    """``doc_id`` and normalized text; dealt by id first if what follows needs that anyway, so that few large row groups keep all tasks busy."""
+    rows = T.nfc(read(spark, sf_dir, table).select(F.col(key).alias("doc_id"), "text"), "text")
+    rows = rows.repartition("doc_id") if dealt else rows
+    return rows.withColumn("text", T.normalize_text(F.col("text")))
 
 
 def chunked(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
     """Sentence chunks of a table with one number per chunk."""
-    parts = normalized(spark, sf_dir, table, key).withColumns({"part_no": F.lit(0), "page_number": F.lit(None).cast("int")})
+    parts = normalized(spark, sf_dir, table, key, dealt=True).withColumns({"part_no": F.lit(0), "page_number": F.lit(None).cast("int")})
     return chunks.chunk_corpus(parts).withColumn("id", F.col("doc_id") * 1_000_000 + F.col("chunk_index"))
 
 
