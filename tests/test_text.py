@@ -1,3 +1,4 @@
+import unicodedata
 from decimal import Decimal
 
 import pytest
@@ -65,3 +66,21 @@ def test_settings_are_checked():
         Config(word_range=(3, 1))
     with pytest.raises(ValueError):
         Config.from_snapshot({"algorithm_version": "other"})
+
+
+def test_folding_equals_full_case_folding(spark):
+    letters = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000 and chr(c) not in "Iİ"]
+    texts = ["".join(letters[i : i + 50]) for i in range(0, len(letters), 50)] + ["Straße µ “IŞIK” İzmir", ""]
+    df = spark.createDataFrame([(t, t.replace("I", "ı").replace("İ", "i").lower()) for t in texts], "text string, low string")
+    low = {r["text"]: r["folded"] for r in df.select("text", T.fold(F.col("text")).alias("folded")).collect()}
+    assert low[""] == "" and low["Straße µ “IŞIK” İzmir"] == "strasse μ “ışık” izmir"
+    for text, folded in low.items():
+        # Java and Python may know letters of different Unicode versions
+        odd = [c for c in text if c not in "Iİ" and unicodedata.category(c) != "Cn" and c.lower().casefold() not in folded]
+        assert not odd or all(ord(c) > 0x1C80 for c in odd), odd
+
+
+def test_blanks_and_ends_of_lines(spark):
+    cases = [("  a \t b\u3000c  \n \n x ", "a b c\n\nx"), ("\n\n \r\n q\xa0", "q"), (" ", ""), ("a  ", "a"), ("a \u2028 b", "a b")]
+    got = {r["t"]: r["n"] for r in spark.createDataFrame([(t,) for t, _ in cases], "t string").select("t", T.normalize_text(F.col("t")).alias("n")).collect()}
+    assert got == dict(cases)
