@@ -38,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Every row stays, with a null text or id as it was, with an empty text if
     all of it stands earlier.
     """
-    docs, columns = _set_aside(docs, ("removed_lines",))
+    docs, columns = _set_aside(docs, ("removed_chunks", "removed_lines"))
     cleaned = dedup_passages(docs, Scratch(spark, "stage-lines"))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
