@@ -550,3 +550,24 @@ def test_toxicity_learns_words_and_beginnings(spark, scratch):
     assert sum(got[i] == (i % 5 == 0) for i in range(450, 600)) >= 145 and not got[9000] and not got[9001]
     none = toxicity.toxicity(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"), scratch)
     assert none.where("rejected").count() == 0 and none.count() == len(rows)
+
+
+def test_passages_grow_from_chunks(spark, scratch):
+    # few different lines: chunks repeat often, next to other chunks and to blank lines, within documents too
+    rng = random.Random(21)
+    rows = [(i, "\n".join(rng.choice([*(f"line {k}" for k in range(25)), "", " "]) for _ in range(rng.randint(1, 14)))) for i in range(70)]
+    rows += [(70 + i, rows[i][1]) for i in range(5)] + [(80 + i, f"new {i}\n{rows[8][1]}\nend {i}") for i in range(5)]
+    got = {r["doc_id"]: r for r in lines.dedup_passages(docs_of(spark, rows), scratch).collect()}
+    assert {d: (r["text"], r["removed_lines"]) for d, r in got.items()} == brute_passages(rows)
+    chunks = {r["doc_id"]: r["removed_chunks"] for r in lines.dedup_lines(docs_of(spark, rows), scratch).collect()}
+    assert {d: r["removed_chunks"] for d, r in got.items()} == chunks and sum(chunks.values()) > 20
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark, scratch):
+    passage = "\n".join(f"line {k}" for k in range(9))
+    rows = [(1, f"a\n{passage}")] * 3 + [(1, f"b\n{passage}\nc")]
+    for dedup in (lines.dedup_lines, lines.dedup_passages):
+        got = [r["text"] for r in dedup(docs_of(spark, rows), scratch).collect()]
+        assert len(got) == 4 and len(set(got)) == 2
+    # whichever of the two texts counts as the earlier one keeps the passage
+    assert sorted(passage in t for t in set(got)) == [False, True]

@@ -1,11 +1,15 @@
-"""Removal of passages of several lines that repeat, by content-defined chunks of lines.
+"""Removal of passages that repeat, by content-defined chunks of lines.
 
 A rolling hash over the hashes of neighbouring lines picks the chunk borders,
 so that a passage falls into the same chunks wherever it stands. Chunks of two
-or more lines that occur again are removed, all but their first occurrence.
-
-``dedup_passages`` needs no borders: of every run of lines that stands earlier
-too, it removes all that has several lines or a line of many words.
+or more lines that occur again are removed, all but their first occurrence,
+once their bytes have been compared (``dedup_lines``).
+
+A passage's first and last lines share chunks with whatever stands around it,
+and short passages hold no whole chunk. ``dedup_passages`` goes on from the
+chunks to whole passages: of every run of lines that stands earlier too, it
+removes all that has several lines or a line of many words. Only lines outside
+the repeated chunks are looked at for that.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +29,8 @@ from textloom.llm.common import WORD, Scratch, fresh, read
 WINDOW, ONE_IN, LEAST_LINES = 2, 2, 2
 #: Repeats of one chunk that meet its first occurrence in one group, about.
 REPEATS_PER_GROUP = 10_000
+#: Rows of one record batch that tasks hand on.
+ROWS_PER_BATCH = 5_000
 #: Base and modulus of the rolling hash of 28-bit line hashes.
 BASE, MODULUS = 1_000_003, (1 << 31) - 1
 #: Words above which a single line is a passage.
@@ -55,89 +62,18 @@ def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _chunks(text: str) -> Iterator[tuple[int, int, str]]:
-    """``(number, lines, text)`` of the chunks that could go: several lines, not all blank."""
-    lines = text.split("\n")
-    for k, (start, end) in enumerate(chunk_lines(lines)):
+def _could_go(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Line ranges of the chunks that could go: several lines, not all blank."""
+    for start, end in chunk_lines(lines):
         if end - start >= LEAST_LINES and any(line.strip() for line in lines[start:end]):
-            yield k, end - start, "\n".join(lines[start:end])
-
-
-def _without(text: str, gone: set[int]) -> tuple[str, int]:
-    lines = text.split("\n")
-    kept: list[str] = []
-    dropped = 0
-    for k, (start, end) in enumerate(chunk_lines(lines)):
-        if k in gone:
-            dropped += end - start
-        else:
-            kept += lines[start:end]
-    return "\n".join(kept), dropped
-
-
-def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id, chunk``: chunks equal, byte for byte, to one that stands earlier.
-
-    Earlier is in a smaller document, or further up in the same. Only digests
-    of the chunks are grouped; the texts of repeated ones alone are compared,
-    each with its first occurrence.
-    """
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            yield start, end
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, k, hashlib.md5(c.encode()).digest()) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, _, c in _chunks(t.as_py())]
-            columns = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "chunk", "digest"])
-
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for d, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                which = {w["chunk"]: w for w in wanted}
-                rows += [(d, k, which[k]["digest"], which[k]["head"], which[k]["salts"], c) for k, _, c in _chunks(t.as_py()) if k in which]
-            columns = zip(*rows, strict=True) if rows else ([],) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "chunk", "digest", "head", "salts", "body"])
-
-    found = scratch.save(texts.mapInArrow(digests, "doc_id long, chunk int, digest binary"), "digests")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    # a first occurrence stands once for so many of its repeats, which then meet it in as many groups
-    first = scratch.save(first.select("digest", "first", F.ceil(F.col("times") / REPEATS_PER_GROUP).cast("int").alias("salts")), "first")
-    repeated = found.join(first, "digest").select("doc_id", "chunk", "digest", (F.struct("doc_id", "chunk") == F.col("first")).alias("head"), "salts")
-    wanted = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("chunk", "digest", "head", "salts")).alias("wanted"))
-    compared = scratch.save(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(bodies, "doc_id long, chunk int, digest binary, head boolean, salts int, body string"), "bodies")
-    heads = compared.where("head").select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("body").alias("first_body"))
-    others = compared.where("not head").withColumn("salt", F.pmod(F.xxhash64("doc_id", "chunk"), F.col("salts")).cast("int"))
-    return others.join(heads, ["digest", "salt"]).where(F.col("body") == F.col("first_body")).select("doc_id", "chunk")
 
-
-def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """All columns of ``docs``, ``text`` without the passages that repeat, plus ``removed_chunks`` and ``removed_lines``.
-
-    Every row stays, even if nothing of its text does. Rows with a null id or
-    text are unchanged; rows with one id count as one document, whose first
-    occurrences are kept in each of them. Columns with the added names are
-    replaced.
-    """
-    docs = docs.drop("removed_chunks", "removed_lines")
-    of_id, of_gone = fresh("_id", docs.columns), fresh("_gone", docs.columns)
-    gone = scratch.save(repeated_chunks(docs, scratch), "gone").groupBy(F.col("doc_id").alias(of_id)).agg(F.collect_set("chunk").alias(of_gone))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, chunks, lines = [], [], []
-            for text, drop in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                kept, dropped = _without(text.as_py(), set(drop)) if drop else (text.as_py(), 0)
-                texts.append(kept)
-                chunks.append(len(drop or ()))
-                lines.append(dropped)
-            arrays = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)][:-1]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(chunks, pa.int64()), pa.array(lines, pa.int64())], names=[*batch.schema.names[:-1], "removed_chunks", "removed_lines"])
-
-    # what is removed grows with the corpus: never a broadcast
-    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col(of_id), "left").drop(of_id)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_chunks long, removed_lines long"
-    return joined.mapInArrow(clean, schema)
+def _batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of bounded size."""
+    schema = pa.schema(kinds.items())
+    while held := list(islice(rows, ROWS_PER_BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def passage_windows(lines: list[str]) -> Iterator[tuple[int, int, bytes]]:
@@ -176,67 +112,126 @@ def passage_windows(lines: list[str]) -> Iterator[tuple[int, int, bytes]]:
                 yield k, i + 1, back.digest()
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id, mark, start, end``: windows of ``doc_id, mark, text`` that stand earlier, by document, mark and line."""
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, m, *w) for d, m, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) for w in passage_windows(t.as_py().split("\n"))]
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "mark", "start", "end", "digest"])
+def repeated_ranges(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
+    """``doc_id, mark, start, end, chunk``: line ranges of ``doc_id, mark, text`` equal to ones that stand earlier.
 
-    found = scratch.save(docs.mapInArrow(digests, "doc_id long, mark long, start int, end int, digest binary"), "windows")
+    Earlier is by document, mark and line. Chunks are equal byte for byte:
+    only their digests are grouped, and the texts of repeated ones alone are
+    compared, each with its first occurrence. With ``whole``, the smallest
+    passages that no repeated chunk holds follow, compared by SHA-256. What
+    such a chunk holds stands in the chunk's first occurrence as well, so the
+    first occurrence of any passage is always among those looked at.
+    """
     place = F.struct("doc_id", "mark", "start")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    first = scratch.save(first.select("digest", "first"), "first")
-    return found.join(first, "digest").where(place != F.col("first")).select("doc_id", "mark", "start", "end")
+    key = {"doc_id": pa.int64(), "mark": pa.int64(), "start": pa.int32(), "end": pa.int32(), "digest": pa.binary()}
+    parts = key | {"head": pa.bool_(), "salts": pa.int32(), "body": pa.string()}
 
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for d, m, t in zip(*batch.columns, strict=True):
+                    lines = t.as_py().split("\n")
+                    for start, end in _could_go(lines):
+                        yield d.as_py(), m.as_py(), start, end, hashlib.sha256("\n".join(lines[start:end]).encode()).digest()
 
-def dedup_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """All columns of ``docs``, ``text`` without the passages that stand earlier, plus ``removed_lines``.
+        return _batches(rows(), key)
 
-    A passage is a run of several lines, not all blank, or a line of more than
-    ``LONE_WORDS`` words. Earlier is in a smaller document, or further up in
-    the same; the first occurrence of any line stays. Every row stays, even if
-    nothing of its text does. Rows with a null id or text are unchanged; equal
-    rows of one id count as one document. A column with the added name is
-    replaced.
-    """
-    docs = docs.drop("removed_lines")
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for d, m, t, w in zip(*batch.columns, strict=True):
+                    d, m, lines, wanted = d.as_py(), m.as_py(), t.as_py().split("\n"), w.as_py() or ()
+                    chunk_of = {}
+                    for c in wanted:
+                        yield d, m, c["start"], c["end"], c["digest"], c["head"], c["salts"], "\n".join(lines[c["start"] : c["end"]])
+                        if not c["head"]:
+                            chunk_of.update(dict.fromkeys(range(c["start"], c["end"]), c["start"]))
+                    for start, end, digest in passage_windows(lines) if whole else ():
+                        if start not in chunk_of or chunk_of[start] != chunk_of.get(end - 1):
+                            yield d, m, start, end, digest, None, None, None
+
+        return _batches(rows(), parts)
+
+    columns = "doc_id long, mark long, start int, end int, digest binary"
+    found = scratch.save(docs.mapInArrow(digests, columns), "digests")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    # a first occurrence stands once for so many of its repeats, which then meet it in as many groups
+    first = scratch.save(first.select("digest", "first", F.ceil(F.col("times") / REPEATS_PER_GROUP).cast("int").alias("salts")), "first")
+    repeated = found.join(first, "digest").select("doc_id", "mark", "start", "end", "digest", (place == F.col("first")).alias("head"), "salts")
+    wanted = repeated.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "end", "digest", "head", "salts")).alias("wanted"))
+    joined = docs.join(wanted.hint("merge"), ["doc_id", "mark"], "left" if whole else "inner").select("doc_id", "mark", "text", "wanted")
+    compared = scratch.save(joined.mapInArrow(bodies, columns + ", head boolean, salts int, body string"), "parts")
+    heads = compared.where("head").select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "body")
+    heads = heads.groupBy("digest", "salt").agg(F.min("body").alias("first_body"))
+    others = compared.where("not head").withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark", "start"), F.col("salts")).cast("int"))
+    chunks = others.join(heads, ["digest", "salt"]).where(F.col("body") == F.col("first_body")).select("doc_id", "mark", "start", "end", F.lit(True).alias("chunk"))
+    if not whole:
+        return chunks
+    windows = compared.where("head is null").select("doc_id", "mark", "start", "end", "digest")
+    first = windows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    first = scratch.save(first.select("digest", "first"), "first-windows")
+    later = windows.join(first, "digest").where(place != F.col("first"))
+    return chunks.union(later.select("doc_id", "mark", "start", "end", F.lit(False)))
+
+
+def _without_repeats(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
+    docs = docs.drop("removed_chunks", "removed_lines")
     mark = F.xxhash64("text")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text")
     of_id, of_mark, of_gone = (fresh(n, docs.columns) for n in ("_id", "_mark", "_gone"))
-    gone = scratch.save(repeated_windows(texts, scratch), "gone").groupBy(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark)).agg(F.collect_set(F.struct("start", "end")).alias(of_gone))
+    gone = scratch.save(repeated_ranges(texts, scratch, whole), "gone").groupBy(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark)).agg(F.collect_set(F.struct("start", "end", "chunk")).alias(of_gone))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, dropped = [], []
+            texts, chunks, dropped = [], [], []
             for text, drop in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                text = text.as_py()
-                out: set[int] = set()
-                for w in drop or ():
-                    out.update(range(w["start"], w["end"]))
+                text, out = text.as_py(), {i for w in drop or () for i in range(w["start"], w["end"])}
                 texts.append("\n".join(line for i, line in enumerate(text.split("\n")) if i not in out) if out else text)
+                chunks.append(sum(w["chunk"] for w in drop or ()))
                 dropped.append(len(out))
             arrays = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)][:-1]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(dropped, pa.int64())], names=[*batch.schema.names[:-1], "removed_lines"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(chunks, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[:-1], "removed_chunks", "removed_lines"])
 
     # what is removed grows with the corpus: never a broadcast
     joined = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col(of_id)) & (mark == F.col(of_mark)), "left").drop(of_id, of_mark)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_lines long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_chunks long, removed_lines long"
     return joined.mapInArrow(clean, schema)
 
 
+def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """All columns of ``docs``, ``text`` without the chunks that repeat, plus ``removed_chunks`` and ``removed_lines``.
+
+    Earlier is in a smaller document, or further up in the same. Every row
+    stays, even if nothing of its text does. Rows with a null id or text are
+    unchanged; equal rows of one id count as one document, other texts of that
+    id as documents of their own. Columns with the added names are replaced.
+    """
+    return _without_repeats(docs, scratch, whole=False)
+
+
+def dedup_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """As ``dedup_lines``, but passages go whole, at their ends and short ones too.
+
+    A passage is a run of several lines, not all blank, or a line of more than
+    ``LONE_WORDS`` words; the first occurrence of any line stays.
+    ``removed_chunks`` counts the repeated chunks among what goes.
+    """
+    return _without_repeats(docs, scratch, whole=True)
+
+
 def op9_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without repeated multi-line passages."""
+    """Every document without the passages that stand earlier."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, Scratch(spark, "op9")).select("doc_id", "text", "removed_chunks", "removed_lines")
+    return dedup_passages(docs, Scratch(spark, "op9")).select("doc_id", "text", "removed_chunks", "removed_lines")
 
 
+#: Chunks are numbered as above for the count of repeated ones. Passages are stated by themselves: two lines
+#: with text, or one and blank lines next to it, or a long one; all lines of one that stands earlier go.
 OP9_SQL = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
-  FROM documents WHERE text IS NOT NULL
+WITH t AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+), l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM t
 ), h AS (
   SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l
 ), e AS (
@@ -248,8 +243,21 @@ WITH l AS (
   SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, k
 ), g AS (
   SELECT *, n >= 2 AND regexp_matches(body, '\S') AND row_number() OVER (PARTITION BY body, n >= 2 ORDER BY doc_id, k) > 1 AS gone FROM b
+), x AS (
+  SELECT doc_id, i, line, lag(i) OVER w AS back, lead(i) OVER w AS forth FROM l WHERE regexp_matches(line, '\S')
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), p AS (
+  SELECT doc_id, i AS a, unnest(range(i + 1, CASE WHEN forth = i + 1 THEN i + 2 ELSE coalesce(forth, len(ls) + 1) END)) AS z FROM x JOIN t USING (doc_id)
+  UNION ALL SELECT doc_id, unnest(range(coalesce(back, 0) + 1, i)), i FROM x
+  UNION ALL SELECT doc_id, i, i FROM x WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50
+), q AS (
+  SELECT doc_id, a, z, row_number() OVER (PARTITION BY array_to_string(ls[a:z], chr(10)) ORDER BY doc_id, a) > 1 AS gone FROM p JOIN t USING (doc_id)
+), r AS (
+  SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM q WHERE gone
+), s AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE r.i IS NULL) AS text, count(r.i) AS removed FROM l LEFT JOIN r USING (doc_id, i) GROUP BY l.doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') END AS text,
-  count(*) FILTER (WHERE gone) AS removed_chunks, CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines
-FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id, d.text
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.text, '') END AS text,
+  (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id AND gone) AS removed_chunks, coalesce(s.removed, 0) AS removed_lines
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
 """
