@@ -43,3 +43,19 @@ def brute_passages(rows):
                         gone[d].update(run)
                     run = []
     return {d: ("\n".join(line for i, line in enumerate(own) if i not in gone[d]), len(gone[d])) for d, own in docs}
+
+
+def brute_runs(words):
+    """``(start, length, period)`` of all runs of six words and four periods or more, period by period."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            run = words[i : j + q]
+            if len(run) >= max(6, 4 * q) and not any(run[d:] == run[: len(run) - d] for d in range(1, q)):
+                out.append((i, len(run), q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))

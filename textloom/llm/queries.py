@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from textloom.llm import chat, embeddings, fixity, html, jaccard, lines, mixing, packing, toxicity
+from textloom.llm import chat, clusters, embeddings, fixity, html, jaccard, lines, mixing, packing, runs, toxicity, urls
 
 QUERIES = {
     "op1_mincut_html": html.op1_mincut_html,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_vertical_jaccard_join": jaccard.op8_vertical_jaccard_join,
     "op9_line_chunk_dedup": lines.op9_line_chunk_dedup,
     "op10_toxicity_chain": toxicity.op10_toxicity_chain,
+    "op11_lyndon_runs": runs.op11_lyndon_runs,
+    "op12_rare_token_rules": urls.op12_rare_token_rules,
+    "op13_bit_plane_clusters": clusters.op13_bit_plane_clusters,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +29,6 @@ SQL = {
     "op7_reply_tree_chat": chat.OP7_SQL,
     "op8_vertical_jaccard_join": jaccard.OP8_SQL,
     "op9_line_chunk_dedup": lines.OP9_SQL,
+    "op12_rare_token_rules": urls.OP12_SQL,
+    "op13_bit_plane_clusters": clusters.OP13_SQL,
 }
