@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.config import Config
 from textloom.functions import text as T
 from textloom.operators import similarity as S
+from textloom.operators.blocks import token_blocks
 from textloom.tables import keep
 
 
@@ -21,55 +19,6 @@ def eligible_sources(sources: DataFrame, today: Column) -> DataFrame:
     return sources.where((F.col("status") == "ready") & (F.col("license_status") == "approved") & begun & open_)
 
 
-def token_spans(chunks: DataFrame) -> DataFrame:
-    """``id, runs``: of each row of ``id, content`` its words and what stands between, in order.
-
-    A run has its length in code points and, if it is a word, the folded token.
-    """
-    def run(piece: Column) -> Column:
-        token = F.when(piece.rlike(r"^[\p{L}\p{N}_]"), F.get(T.words(piece), F.lit(0)))
-        return F.struct(F.length(piece).alias("length"), token.alias("token"))
-
-    return chunks.select("id", F.transform(T.token_runs(F.col("content")), run).alias("runs"))
-
-
-def _tokens(runs) -> tuple[list[str], list[int], list[int]]:
-    """Tokens of a chunk with where each starts and ends."""
-    tokens, starts, ends, at = [], [], [], 0
-    for run in runs:
-        if run["token"] is not None:
-            tokens.append(run["token"])
-            starts.append(at)
-            ends.append(at + run["length"])
-        at += run["length"]
-    return tokens, starts, ends
-
-
-def token_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """``l, r, doc_from, doc_to, src_from, src_to, tokens``: contiguous equal token runs of matched pairs.
-
-    Offsets are code points inside the two contents. Within a pair the blocks
-    come longest first, then around it, which is sequential; pairs are
-    independent rows. Only chunks that occur in a pair are cut into tokens.
-    """
-    def spans(chunks: DataFrame, name: str) -> DataFrame:
-        met = chunks.join(S.small(pairs.select(F.col(name).alias("id")).distinct()), "id", "left_semi")
-        return token_spans(met).select(F.col("id").alias(name), F.col("runs").alias(f"{name}_runs"))
-
-    def blocks(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                (a, a0, a1), (b, b0, b1) = _tokens(row.l_runs), _tokens(row.r_runs)
-                found = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-                out += [(row.l, row.r, a0[m.a], a1[m.a + m.size - 1], b0[m.b], b1[m.b + m.size - 1], m.size) for m in found if m.size]
-            yield pd.DataFrame(out, columns=["l", "r", "doc_from", "doc_to", "src_from", "src_to", "tokens"])
-
-    kinds = dict(pairs.dtypes)
-    schema = f"l {kinds['l']}, r {kinds['r']}, doc_from long, doc_to long, src_from long, src_to long, tokens long"
-    return pairs.select("l", "r").join(spans(left, "l"), "l").join(spans(right, "r"), "r").mapInPandas(blocks, schema)
-
-
 def match_evidence(documents: DataFrame, sources: DataFrame, config: Config = Config(), today: Column | None = None) -> DataFrame:
     """Evidence rows of document chunks against eligible source chunks.
 

@@ -256,6 +256,47 @@ mc AS (
     d.char_start AS start, d.char_end AS stop, d.content, round(m.score, 4) AS score FROM m JOIN d ON d.id = m.l)"""
 )
 
+
+
+def _spans(name: str, chunks: str, side: str) -> str:
+    """Tokens of the matched chunks, numbered, with their ranges."""
+    return rf"""{name}_w AS (
+  SELECT id, regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+') AS w, regexp_split_to_array(content, '[\p{{L}}\p{{N}}_]+') AS s FROM {chunks} WHERE id IN (SELECT {side} FROM m)),
+{name}_u AS (SELECT id, unnest(w) AS w, unnest(s[1:len(w)]) AS s, unnest(range(0, len(w))) AS k FROM {name}_w),
+{name} AS (
+  SELECT id, k, regexp_extract({_FOLD.format("w")}, '[\p{{L}}\p{{N}}_]+') AS token, sum(length(s) + length(w)) OVER (PARTITION BY id ORDER BY k) AS stop,
+    sum(length(s) + length(w)) OVER (PARTITION BY id ORDER BY k) - length(w) AS start FROM {name}_u)"""
+
+
+#: Windows are split by their longest run until none holds any, all pairs at a time.
+_CLIPPED = """SELECT w.*, greatest(0, alo - i, blo - j) AS late, least(size, ahi - i, bhi - j) - greatest(0, alo - i, blo - j) AS n, i + greatest(0, alo - i, blo - j) AS bi, j + greatest(0, alo - i, blo - j) AS bj
+  FROM w JOIN runs ON runs.l = w.l AND runs.r = w.r WHERE least(size, ahi - i, bhi - j) > greatest(0, alo - i, blo - j)"""
+_BEST = f"SELECT l, r, alo, ahi, blo, bhi, max({{'n': n, 'i': -bi, 'j': -bj}}) AS x FROM ({_CLIPPED}) GROUP BY l, r, alo, ahi, blo, bhi"
+_BLOCKS = (
+    "RECURSIVE "
+    + _MATCHES
+    + ",\n"
+    + _spans("ds", "d", "l")
+    + ",\n"
+    + _spans("bs", "b", "r")
+    + f""",
+cells AS (SELECT m.l, m.r, a.k AS i, z.k AS j FROM m JOIN ds a ON a.id = m.l JOIN bs z ON z.id = m.r AND z.token = a.token),
+marked AS (SELECT *, i - row_number() OVER (PARTITION BY l, r, i - j ORDER BY i) AS island FROM cells),
+runs AS (SELECT l, r, min(i) AS i, min(j) AS j, count(*) AS size FROM marked GROUP BY l, r, i - j, island),
+w AS (
+  SELECT l, r, CAST(0 AS BIGINT) AS alo, (SELECT count(*) FROM ds WHERE ds.id = l) AS ahi, CAST(0 AS BIGINT) AS blo, (SELECT count(*) FROM bs WHERE bs.id = r) AS bhi FROM m
+  UNION ALL
+  SELECT l, r, unnest([alo, x.n - x.i]), unnest([-x.i, ahi]), unnest([blo, x.n - x.j]), unnest([-x.j, bhi]) FROM ({_BEST})),
+blocks AS (SELECT l, r, -x.i AS i, -x.j AS j, x.n AS n FROM ({_BEST})),
+ev AS (
+  SELECT d.doc_id AS document_id, b.doc_id AS source_id, CAST(k.l AS BIGINT) AS document_chunk_id, CAST(k.r AS BIGINT) AS source_chunk_id, round(m.score, 4) AS similarity_score,
+    CAST(d.char_start + a0.start AS BIGINT) AS document_match_start, CAST(d.char_start + a1.stop AS BIGINT) AS document_match_end,
+    CAST(b.char_start + z0.start AS BIGINT) AS source_match_start, CAST(b.char_start + z1.stop AS BIGINT) AS source_match_end, k.n AS matched_token_count
+  FROM blocks k JOIN m ON m.l = k.l AND m.r = k.r JOIN d ON d.id = k.l JOIN b ON b.id = k.r
+  JOIN ds a0 ON a0.id = k.l AND a0.k = k.i JOIN ds a1 ON a1.id = k.l AND a1.k = k.i + k.n - 1
+  JOIN bs z0 ON z0.id = k.r AND z0.k = k.j JOIN bs z1 ON z1.id = k.r AND z1.k = k.j + k.n - 1)"""
+)
+
 SQL = {
     "normalize_text": "WITH " + _norm("n", "documents", "doc_id") + " SELECT doc_id, text, CAST(length(text) AS BIGINT) AS chars FROM n",
     "sentence_chunks": "WITH " + _chunks("d", "documents", "doc_id") + r" SELECT doc_id, chunk_index, content, char_start, char_end, CAST(len(regexp_extract_all(content, '[\p{L}\p{N}_]+')) AS BIGINT) AS token_count, sha256(content) AS content_sha256 FROM d",
@@ -279,6 +320,18 @@ SELECT l, r, shared, total, shared / total AS score FROM p WHERE shared / total
     "score_components": "WITH " + _MATCHES + " SELECT l, r, round(word * 0.5, 8) AS word_tfidf, round(char * 0.25, 8) AS character_tfidf, round(overlap * 0.25, 8) AS word_overlap FROM m",
     "snapshot_replay": "WITH " + _MATCHES + " SELECT l, r, round(round(0.5 * word + 0.3 * char + 0.2 * overlap, 12), 4) AS score FROM m WHERE round(0.5 * word + 0.3 * char + 0.2 * overlap, 12) >= 0.8",
     "chunk_coverage": "WITH " + _MATCHES + ", u AS (SELECT doc_id, sum(stop - start) AS covered FROM (SELECT DISTINCT doc_id, start, stop FROM mc) GROUP BY doc_id), c AS (SELECT doc_id, count(*) AS n FROM mc GROUP BY doc_id) SELECT d_n.doc_id, CAST(coalesce(covered, 0) AS BIGINT) AS covered, CAST(length(text) AS BIGINT) AS length, round(CASE WHEN length(text) > 0 THEN coalesce(covered, 0) / length(text) ELSE 0 END, 9) AS ratio, coalesce(n, 0) AS raw_count FROM d_n LEFT JOIN u USING (doc_id) LEFT JOIN c USING (doc_id)",
+    "token_blocks": "WITH " + _BLOCKS + " SELECT * FROM ev",
+    "coverage": "WITH " + _BLOCKS + """, o AS (
+  SELECT document_id AS doc_id, document_match_start AS s, document_match_end AS e,
+    document_match_start > max(document_match_end) OVER (PARTITION BY document_id ORDER BY document_match_start, document_match_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opens
+  FROM (SELECT DISTINCT document_id, document_match_start, document_match_end FROM ev)),
+g AS (SELECT *, sum(CASE WHEN coalesce(opens, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o),
+u AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM g GROUP BY doc_id, island),
+c AS (SELECT doc_id, sum(e - s) AS covered, count(*) AS ranges FROM u GROUP BY doc_id),
+q AS (SELECT document_id AS doc_id, count(*) AS raw_count FROM ev GROUP BY 1)
+SELECT doc_id, CAST(coalesce(covered, 0) AS BIGINT) AS covered, CAST(length(text) AS BIGINT) AS length, CASE WHEN length(text) > 0 THEN coalesce(covered, 0) / length(text) ELSE 0 END AS ratio,
+  coalesce(raw_count, 0) AS raw_count, CAST(coalesce(ranges, 0) AS INTEGER) AS ranges
+FROM d_n LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id)""",
     "evidence_page": "WITH " + _MATCHES + ' SELECT match_id, doc_id, source_id, start, stop AS "end", score FROM mc ORDER BY score DESC, start, match_id LIMIT 20',
     "report_sources": "WITH " + _MATCHES + " SELECT source_id, count(*) AS matches, max(score) AS best_score, 'Kaynak ' || source_id AS title FROM mc GROUP BY source_id",
     "report_texts": "WITH " + _MATCHES + ' SELECT doc_id, start, stop AS "end", max(score) AS score, CASE WHEN max(score) >= 0.8 THEN \'high\' ELSE \'medium\' END AS level, content AS section_text, count(*) AS members FROM mc GROUP BY doc_id, start, stop, content',
