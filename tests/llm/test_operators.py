@@ -87,6 +87,25 @@ def test_html_names_and_forms_keep_their_article():
     assert html.main_text("<body><h2>Steps</h2><ul><li>Mix the flour.<li>Bake it.</ul>") == "Steps\nMix the flour.\nBake it."
 
 
+def test_html_hyphenated_wrappers_inside_main_keep_their_article():
+    body, want = f"<h1>Title here</h1><p>{LONG}</p><p>{LONG}</p>", f"Title here\n{LONG}\n{LONG}"
+    beside = "<div class='sidebar-box'><p>Buy this now. It is good, and cheap too.</p></div><div class=notice><p>We use cookies here. Accept them all.</p></div>"
+    names = ("layout sidebar-right", "two-col sidebar-left-layout", "ad-free-content", "share-wrapper", "menu-page", "copyright-law", "story-with-banner", "promo-article", "newsletter-issue body", "notice", "sidebar")
+    for named in names:
+        for outer in ("main", "article"):
+            for extra in ("", beside):
+                assert html.main_text(f"<body><nav>Home</nav><{outer}><div class='{named}'>{body}</div>{extra}</{outer}></body>") == want, (named, outer, extra)
+        twice = f"<main><div class='{named}'><div id='{named}'>{body}</div></div></main>"
+        assert html.main_text(f"<body>{twice}</body>") == want, named
+        if named not in ("notice", "sidebar"):
+            assert html.main_text(f"<body><div>{LONG}</div><div class='{named}'>{body * 3}</div></body>") == "\n".join([LONG, *[want] * 3]), named
+    # what readers wrote, and lists of links, stay out however long they are
+    for named in ("comments", "comment-list", "user-comments"):
+        assert html.main_text(f"<body><main>{body}<div class='{named}'>{f'<p>{LONG}</p>' * 9}</div></main></body>") == want
+    links = f"<div class=related>{f'<p><a href=/>{LONG}</a></p>' * 9}</div>"
+    assert html.main_text(f"<body><main>{body}{links}</main></body>") == want
+
+
 def planted_page(rng):
     """Blocks of a page without telling elements, each with its label."""
     line = lambda n: " ".join(rng.choice(["river", "stone", "of", "the", "winter", "light"]) for _ in range(n))

@@ -33,11 +33,11 @@ CONTENT = frozenset("article main".split())
 
 
 def _parts(names: str) -> re.Pattern:
-    """Matches class and id names, or hyphenated parts of them."""
+    """Matches class and id names, or hyphenated parts of them; a whole name alone, too."""
     return re.compile(rf"(?:^|[\s_-])(?:{'|'.join(names.split())})(?:$|[\s_-])", re.I)
 
 
-#: Names that boilerplate has, and those that articles have too.
+#: Names that boilerplate has, and those that articles have too. As one part of a hyphenated name the first say less.
 STRONG = _parts(
     "ads? adverts? advertisement advertising banner sponsor(?:ed)? promo nav navbar navigation menu breadcrumbs? footer (?:site|page|global|top)-?header masthead topbar sidebar aside "
     "cookies? consent gdpr notice popup modal newsletter subscribe subscription signup share sharing related recommended comments? commentlist disqus replies respond pagination pager toolbar copyright"
@@ -47,12 +47,13 @@ READERS = _parts("comments? commentlist disqus replies respond discussion")
 GOOD = _parts("article content main post entry story body text")
 #: Class names of a page's state or subject, which say nothing of the element: has-sidebar, comments-open, tag-popular.
 STATE = re.compile(r"(?<![\w-])(?:(?:has|have|with|without|no|not|is|tag|category|format|type|status)[_-][\w-]*|[\w-]*[_-](?:open|opened|closed|enabled|disabled|on|off))(?![\w-])", re.I)
+SEVERITY = ("", "weak", "part", "strong")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 
 #: Log-odds of content over boilerplate that each mark of a block adds. What a
 #: text says of itself is worth up to 6, so structure decides clear cases and
 #: the rest is left to the text and its neighbours.
-WEIGHTS = {"bias": 0.2, "article": 3.0, "outside": -3.0, "good": 0.8, "boilerplate": -16.0, "strong": -16.0, "weak": -8.0, "page_header": -12.0, "links": -4.0, "words": 0.9, "stops": 0.6, "heading": 1.0, "paragraph": 0.8, "rights": -4.0}
+WEIGHTS = {"bias": 0.2, "article": 3.0, "outside": -3.0, "good": 0.8, "boilerplate": -16.0, "strong": -16.0, "part": -13.0, "weak": -8.0, "page_header": -12.0, "links": -4.0, "words": 0.9, "stops": 0.6, "heading": 1.0, "paragraph": 0.8, "rights": -4.0}
 #: Capacity of the edge between neighbours with one parent; it halves with every two steps more in the tree.
 SMOOTH = 2.0
 #: Blocks up to which a block is tied to later ones of the same parent.
@@ -108,7 +109,8 @@ def _named(e: _Element, attributes: str) -> tuple[str, str]:
             telling = STATE.sub(" ", names)
             e.readers = e.readers or bool(READERS.search(telling))
             if not kind:
-                hint = hint or ("strong" if STRONG.search(telling) else "weak" if WEAK.search(telling) else "")
+                whole = any(STRONG.fullmatch(name) for name in telling.split())
+                hint = hint or ("strong" if whole else "part" if STRONG.search(telling) else "weak" if WEAK.search(telling) else "")
         e.good = e.good or bool(GOOD.search(names))
         style = values.get("style", "").replace(" ", "").lower()
         e.unseen = e.unseen or "hidden" in values or "display:none" in style or "visibility:hidden" in style or values.get("aria-hidden", "").lower() == "true"
@@ -119,17 +121,18 @@ def blocks_of(page: str) -> list[dict]:
     """The text blocks of a page in order: text, link characters, and the marks of their ancestors.
 
     An element with a name of boilerplate is none if it holds the first main
-    element or, without one, the first article; if its name is a weak sign and
-    it holds most of the article's text; or if nothing like an article would
-    be left on a page without either element. So with a form. An unclosed
-    quote ends with its tag; an unclosed tag, comment or script with the page.
+    element or, without one, the first article; if it holds most of the
+    article's text outside links and is not its readers' (on a page without
+    either element only if its name is no strong sign); or if nothing like an
+    article would be left on such a page. So with a form. An unclosed quote
+    ends with its tag; an unclosed tag, comment or script with the page.
     """
     out: list[dict] = []
     stack = [_Element("", None)]
     last = page.rfind(">")
     open_at: dict[str, list[int]] = {}
-    # named elements: the weight of the name, and the named element around
-    hints: dict[int, tuple[str, int]] = {}
+    # named elements: the weight of the name, the named element around, and whether it is the readers'
+    hints: dict[int, tuple[str, int, bool]] = {}
     forms: set[int] = set()
     # named elements around the first main and the first article
     around: dict[str, set[int]] = {}
@@ -218,7 +221,7 @@ def blocks_of(page: str) -> list[dict]:
         above, e = stack[-1], _Element(name, stack[-1])
         kind, hint = _named(e, m[3])
         if hint:
-            hints[serial], e.hint = (hint, above.hint), serial
+            hints[serial], e.hint = (hint, above.hint, e.readers), serial
             if name == "form":
                 forms.add(serial)
         open_at.setdefault(name, []).append(len(stack))
@@ -231,32 +234,35 @@ def blocks_of(page: str) -> list[dict]:
                 k = hints[k][1]
     flush()
 
-    # text of the article, or of the page, in and outside each named element
+    # text of the article, or of the page, in and outside each named element, and what of it is outside links
     main = "main" in around or "article" in around
     spared = around.get("main", around.get("article", set()))
     inside = [b for b in out if not b["at"].bad and (b["at"].article or not main)]
     held: dict[int, int] = {}
+    told: dict[int, int] = {}
     whole = plain = 0
     for block in inside:
         size = len(block["text"])
-        whole += size
+        own = max(0, size - block["links"])
+        whole += own
         k = block["at"].hint
         if k:
-            held[k] = held.get(k, 0) + size
+            held[k], told[k] = held.get(k, 0) + size, told.get(k, 0) + own
         while k and (k in spared or hints[k][0] == "weak"):
             k = hints[k][1]
         plain += 0 if k else size
     for k in sorted(hints, reverse=True):
-        if hints[k][1]:
-            held[hints[k][1]] = held.get(hints[k][1], 0) + held.get(k, 0)
-    spared = spared | {k for k, n in held.items() if hints[k][0] == "weak" and 2 * n > whole}
+        up = hints[k][1]
+        if up:
+            held[up], told[up] = held.get(up, 0) + held.get(k, 0), told.get(up, 0) + told.get(k, 0)
+    spared = spared | {k for k, n in told.items() if 2 * n > whole and not hints[k][2] and (main or hints[k][0] != "strong")}
     if plain < LEAST_ARTICLE:
         most = max((n for k, n in held.items() if not main or k in forms), default=0)
         spared |= {k for k, n in held.items() if n == most > plain and (not main or k in forms)}
     level: dict[int, str] = {0: ""}
     for k in sorted(hints):
-        own, up = hints[k]
-        level[k] = level[up] if k in spared or level[up] == "strong" else own
+        own, up, _ = hints[k]
+        level[k] = level[up] if k in spared else max(own, level[up], key=SEVERITY.index)
     for block in out:
         block["hint"] = level[block["at"].hint]
         block["outside"] = main and not block["at"].article
