@@ -2,6 +2,7 @@ import hashlib
 import heapq
 import math
 import random
+import time
 import zlib
 from array import array
 
@@ -582,6 +583,26 @@ def test_passages_go_whole(spark, scratch):
     assert all(left.count("\n".join(p)) == 1 for p in planted[:4]) and left.count("short one") > 1
 
 
+def test_blank_runs_go_as_far_as_they_repeat(spark, scratch):
+    rng = random.Random(11)
+    rows = []
+    for d in range(40):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            text += [rng.choice(["x", "y", f"own {d}"])] + rng.choice([[""], [" "]]) * rng.randint(0, 5) + [""] * rng.randint(0, 3)
+        rows.append((d, "\n".join(text)))
+    rows += [(100, "x" + "\n" * 9), (101, "x" + "\n" * 12), (102, "x" + "\n" * 7), (103, "\n" * 5 + "x"), (104, "\n" * 8 + "x"), (105, "\n" * 3)]
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in lines.dedup_passages(docs_of(spark, rows), scratch).collect()}
+    assert got == brute_passages(rows)
+
+
+def test_a_megabyte_of_line_ends(spark, scratch):
+    rows = [(i, "x" + "\n" * 1_000_000 + f"own {i}") for i in range(2)]
+    began = time.time()
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in lines.dedup_passages(docs_of(spark, rows), scratch).collect()}
+    assert got[0] == (rows[0][1], 0) and got[1] == ("own 1", 1_000_000) and time.time() - began < 60
+
+
 def test_pipeline_stage_removes_passages(spark):
     import corpus_pipeline
 

@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import WORD, Scratch, fresh, read
@@ -38,10 +40,17 @@ LONE_WORDS = 50
 _WORD = re.compile(WORD)
 
 
-def line_hash(line: str) -> int:
+def _hash(line: str) -> int:
     return int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
 
 
+_short_hash = lru_cache(1 << 14)(_hash)
+
+
+def line_hash(line: str) -> int:
+    return _short_hash(line) if len(line) < 40 else _hash(line)
+
+
 def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
     """Half-open line ranges of the chunks.
 
@@ -76,40 +85,54 @@ def _batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def passage_windows(lines: list[str]) -> Iterator[tuple[int, int, bytes]]:
-    """``(start, end, digest)`` of the smallest passages, as half-open line ranges.
+def passage_windows(lines: list[str]) -> Iterator[tuple[int, int, int, bytes]]:
+    """``(start, end, blanks, digest)`` of the smallest passages, as half-open line ranges.
 
-    These are two neighbouring lines, a line with the blank ones next to it on
-    one side, and a line of more than ``LONE_WORDS`` words. Every run of
-    several lines, not all blank, is made of such windows alone, so a run that
-    occurs again is found whole by its windows, at any length and between any
-    lines. Digests are SHA-256 of the lines' bytes.
+    These are two neighbouring lines with text, a line of more than
+    ``LONE_WORDS`` words, and a line with the blank ones next to it on one
+    side. Every run of several lines, not all blank, is made of such windows
+    alone, so a run that occurs again is found whole by its windows, at any
+    length and between any lines. Digests are SHA-256 of the lines' bytes.
+
+    Of equal blank lines in a row, ``blanks`` of them, only the longest window
+    is named: its digest is that of what goes before them and of one of them,
+    so that windows of fewer are found by grouping. ``blanks`` is 0 for other
+    windows, and negative if the blank lines come first.
     """
 
     def grown(kind: bytes, line: str):
         return hashlib.sha256(kind + line.encode())
 
     blank = [not line.strip() for line in lines]
-    # of the last line with text, and the blank ones after it
-    at, forth = -1, None
+    # where a row of equal blank lines ends, and begins
+    last, first = list(range(len(lines))), list(range(len(lines)))
+    for i in range(1, len(lines)):
+        if blank[i] and lines[i] == lines[i - 1]:
+            first[i] = first[i - 1]
+    for i in range(len(lines) - 2, -1, -1):
+        if blank[i] and lines[i] == lines[i + 1]:
+            last[i] = last[i + 1]
     for i, line in enumerate(lines):
         if blank[i]:
-            if forth is not None:
-                forth.update(b"\n" + line.encode())
-                yield at, i + 1, forth.digest()
             continue
         if i and not blank[i - 1]:
-            yield i - 1, i + 1, grown(b"2", lines[i - 1] + "\n" + line).digest()
+            yield i - 1, i + 1, 0, grown(b"2", lines[i - 1] + "\n" + line).digest()
         if len(line) > 2 * LONE_WORDS and len(_WORD.findall(line)) > LONE_WORDS:
-            yield i, i + 1, grown(b"1", line).digest()
-        at, forth = i, grown(b">", line) if i + 1 < len(lines) and blank[i + 1] else None
+            yield i, i + 1, 0, grown(b"1", line).digest()
+        if i + 1 < len(lines) and blank[i + 1]:
+            forth, k = grown(b">", line), i + 1
+            while k < len(lines) and blank[k]:
+                forth.update(b"\n" + lines[k].encode())
+                yield i, last[k] + 1, last[k] + 1 - k, forth.digest()
+                forth.update(b" %d" % (last[k] + 1 - k))
+                k = last[k] + 1
         if i and blank[i - 1]:
-            back = grown(b"<", line)
-            for k in range(i - 1, -1, -1):
-                if not blank[k]:
-                    break
+            back, k = grown(b"<", line), i - 1
+            while k >= 0 and blank[k]:
                 back.update(b"\n" + lines[k].encode())
-                yield k, i + 1, back.digest()
+                yield first[k], i + 1, first[k] - 1 - k, back.digest()
+                back.update(b" %d" % (k + 1 - first[k]))
+                k = first[k] - 1
 
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
@@ -124,7 +147,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame
     """
     place = F.struct("doc_id", "mark", "start")
     key = {"doc_id": pa.int64(), "mark": pa.int64(), "start": pa.int32(), "end": pa.int32(), "digest": pa.binary()}
-    parts = key | {"head": pa.bool_(), "salts": pa.int32(), "body": pa.string()}
+    parts = key | {"head": pa.bool_(), "salts": pa.int32(), "body": pa.string(), "blanks": pa.int32()}
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -141,14 +164,16 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame
             for batch in batches:
                 for d, m, t, w in zip(*batch.columns, strict=True):
                     d, m, lines, wanted = d.as_py(), m.as_py(), t.as_py().split("\n"), w.as_py() or ()
-                    chunk_of = {}
+                    held = []
                     for c in wanted:
-                        yield d, m, c["start"], c["end"], c["digest"], c["head"], c["salts"], "\n".join(lines[c["start"] : c["end"]])
+                        yield d, m, c["start"], c["end"], c["digest"], c["head"], c["salts"], "\n".join(lines[c["start"] : c["end"]]), None
                         if not c["head"]:
-                            chunk_of.update(dict.fromkeys(range(c["start"], c["end"]), c["start"]))
-                    for start, end, digest in passage_windows(lines) if whole else ():
-                        if start not in chunk_of or chunk_of[start] != chunk_of.get(end - 1):
-                            yield d, m, start, end, digest, None, None, None
+                            held.append((c["start"], c["end"]))
+                    held.sort()
+                    for start, end, blanks, digest in passage_windows(lines) if whole else ():
+                        k = bisect_right(held, (start, len(lines) + 1)) - 1
+                        if k < 0 or held[k][1] < end:
+                            yield d, m, start, end, digest, None, None, None, blanks
 
         return _batches(rows(), parts)
 
@@ -160,18 +185,41 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame
     repeated = found.join(first, "digest").select("doc_id", "mark", "start", "end", "digest", (place == F.col("first")).alias("head"), "salts")
     wanted = repeated.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "end", "digest", "head", "salts")).alias("wanted"))
     joined = docs.join(wanted.hint("merge"), ["doc_id", "mark"], "left" if whole else "inner").select("doc_id", "mark", "text", "wanted")
-    compared = scratch.save(joined.mapInArrow(bodies, columns + ", head boolean, salts int, body string"), "parts")
+    compared = scratch.save(joined.mapInArrow(bodies, columns + ", head boolean, salts int, body string, blanks int"), "parts")
     heads = compared.where("head").select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "body")
     heads = heads.groupBy("digest", "salt").agg(F.min("body").alias("first_body"))
     others = compared.where("not head").withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark", "start"), F.col("salts")).cast("int"))
     chunks = others.join(heads, ["digest", "salt"]).where(F.col("body") == F.col("first_body")).select("doc_id", "mark", "start", "end", F.lit(True).alias("chunk"))
     if not whole:
         return chunks
-    windows = compared.where("head is null").select("doc_id", "mark", "start", "end", "digest")
-    first = windows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    windows = compared.where("head is null").select("doc_id", "mark", "start", "end", "digest", F.abs("blanks").alias("blanks"), (F.col("blanks") < 0).alias("back"))
+    plain, rows = windows.where("blanks = 0"), windows.where("blanks > 0")
+    first = plain.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     first = scratch.save(first.select("digest", "first"), "first-windows")
-    later = windows.join(first, "digest").where(place != F.col("first"))
-    return chunks.union(later.select("doc_id", "mark", "start", "end", F.lit(False)))
+    later = plain.join(first, "digest").where(place != F.col("first")).select("doc_id", "mark", "start", "end", F.lit(False))
+    # a window of so many blank lines is also one of fewer: its first occurrence is the least of all with as many or more
+    counted = rows.groupBy("digest", "blanks").agg(F.min(place).alias("place"), F.max(place).alias("last"))
+    counted = counted.withColumns({"first": F.min("place").over(Window.partitionBy("digest").orderBy(F.desc("blanks"))), "sorts": F.count("*").over(Window.partitionBy("digest"))}).where("place <> last or sorts > 1")
+    # what is first with so many may be a later one with fewer
+    levels = counted.groupBy("digest", "first").agg(F.max("blanks").alias("reach"))
+    levels = levels.withColumn("fewer", F.lag("reach").over(Window.partitionBy("digest").orderBy("reach"))).drop("reach")
+    first = scratch.save(counted.select("digest", "blanks", "first").join(levels, ["digest", "first"]), "first-blanks")
+    spare = F.when(place == F.col("first"), F.col("blanks") - F.col("fewer")).otherwise(F.lit(0))
+    met = rows.join(first, ["digest", "blanks"]).withColumn("spare", spare).where("spare is not null")
+    start = F.when(F.col("back"), F.col("start") + F.col("spare")).otherwise(F.col("start"))
+    end = F.when(F.col("back"), F.col("end")).otherwise(F.col("end") - F.col("spare"))
+    return chunks.union(later).union(met.select("doc_id", "mark", start.cast("int"), end.cast("int"), F.lit(False)))
+
+
+def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open ranges joined where they overlap or touch, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(ranges):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
 
 
 def _without_repeats(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
@@ -185,10 +233,16 @@ def _without_repeats(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFram
         for batch in batches:
             texts, chunks, dropped = [], [], []
             for text, drop in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                text, out = text.as_py(), {i for w in drop or () for i in range(w["start"], w["end"])}
-                texts.append("\n".join(line for i, line in enumerate(text.split("\n")) if i not in out) if out else text)
+                text, out = text.as_py(), merged((w["start"], w["end"]) for w in drop or ())
+                if out:
+                    lines, kept, at = text.split("\n"), [], 0
+                    for start, end in out:
+                        kept += lines[at:start]
+                        at = end
+                    text = "\n".join(kept + lines[at:])
+                texts.append(text)
                 chunks.append(sum(w["chunk"] for w in drop or ()))
-                dropped.append(len(out))
+                dropped.append(sum(end - start for start, end in out))
             arrays = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)][:-1]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(chunks, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[:-1], "removed_chunks", "removed_lines"])
 
