@@ -48,16 +48,3 @@ def test_admission_and_partition_replace(spark, tmp_path):
     files.replace_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, x string"), path, "doc_id")
     files.replace_partitions(spark.createDataFrame([(2, "c")], "doc_id int, x string"), path, "doc_id")
     assert {(r["doc_id"], r["x"]) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c")}
-
-
-def test_arrivals_are_analysed_once(spark, tmp_path):
-    from textloom.operators import chunks
-    from textloom.streaming import jobs
-
-    text = "Bu uzun cümle iki belgede aynen durur ve bulunmalıdır."
-    spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
-    source = chunks.chunk_corpus(spark.createDataFrame([(9, 0, None, text)], "doc_id long, part_no int, page_number int, text string")).withColumn("id", F.lit("s"))
-    out = str(tmp_path / "out")
-    jobs.analyse_arrivals(spark, str(tmp_path / "in"), "doc_id long, text string", source, lambda df, n: df.drop("score_components").write.mode("overwrite").parquet(f"{out}/{n}"), str(tmp_path / "cp"), every=None).awaitTermination(120)
-    rows = spark.read.parquet(f"{out}/0").collect()
-    assert [(r["document_id"], r["source_id"], r["matched_token_count"]) for r in rows] == [(1, 9, 9)]

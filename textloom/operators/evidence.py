@@ -19,16 +19,19 @@ def eligible_sources(sources: DataFrame, today: Column) -> DataFrame:
     return sources.where((F.col("status") == "ready") & (F.col("license_status") == "approved") & begun & open_)
 
 
-def match_evidence(documents: DataFrame, sources: DataFrame, config: Config = Config(), today: Column | None = None) -> DataFrame:
+def match_evidence(documents: DataFrame, sources: DataFrame, config: Config = Config(), today: Column | None = None, scored: DataFrame | None = None) -> DataFrame:
     """Evidence rows of document chunks against eligible source chunks.
 
     Both inputs: ``id, doc_id, content, char_start``; sources also carry the
     license columns if ``today`` is given. Offsets are of the whole texts.
+    ``scored``: the matches, where they are known already, as of an index.
     """
     sources = sources if today is None else eligible_sources(sources, today)
-    left, right = (x.select("id", F.col("content").alias("text")) for x in (documents, sources))
+    if scored is None:
+        left, right = (x.select("id", F.col("content").alias("text")) for x in (documents, sources))
+        scored = S.match_pairs(left, right, config)
     # read by both sides' tokens and by the last join
-    scored = keep(S.match_pairs(left, right, config), "matches")
+    scored = keep(scored, "matches")
     found = token_blocks(scored, documents.select("id", "content"), sources.select("id", "content"))
     d = documents.select(F.col("id").alias("l"), F.col("doc_id").alias("document_id"), F.col("char_start").alias("d0"))
     s = sources.select(F.col("id").alias("r"), F.col("doc_id").alias("source_id"), F.col("char_start").alias("s0"))

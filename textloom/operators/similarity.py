@@ -9,6 +9,7 @@ of squared counts are all that a pair needs.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from textloom.tables import keep
 K2 = (math.log(1.5) + 1) ** 2
 #: Vectors that a small side may have and still be sent to every task.
 BROADCAST_ROWS = 200_000
+#: Cells of each row of a frequency sketch, which every task gets, and its rows.
+CELLS, SKETCH_ROWS = 1 << 17, 2
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -72,20 +75,48 @@ def corpus_tfidf(fit_on: DataFrame, transform: DataFrame) -> tuple[DataFrame, Da
     return vocabulary.select("gram", "idx", "df", "idf"), weighted.select("id", "idx", (F.col("w") / norm).alias("weight"))
 
 
-def prefixes(counts: DataFrame, frequent: DataFrame, share: float) -> DataFrame:
+def _cell(row: int, gram: Column, cells: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(row), gram), F.lit(cells)).cast("int")
+
+
+def sketch(counts: DataFrame, cells: int = CELLS) -> DataFrame:
+    """``row, cell, n, cells``: how many texts hold the grams of each cell; of one size however many grams there are.
+
+    Sketches of parts of a corpus are merged by adding them up cell by cell.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("row"), _cell(r, F.col("gram"), cells).alias("cell")) for r in range(SKETCH_ROWS)))).alias("x")
+    return counts.select(each).groupBy("x.row", "x.cell").agg(F.count("*").alias("n")).withColumn("cells", F.lit(cells))
+
+
+def merge_sketches(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.union, parts).groupBy("row", "cell", "cells").agg(F.sum("n").alias("n")).select("row", "cell", "n", "cells")
+
+
+def with_frequency(rows: DataFrame, order: DataFrame, gram: str = "gram") -> DataFrame:
+    """Add ``df``, an upper bound of how many texts hold the gram: the least of its cells in the sketch, 0 if it is in none."""
+    size = order.select("cells").first()
+    if size is None:
+        return rows.withColumn("df", F.lit(0).cast("long"))
+    for r in range(SKETCH_ROWS):
+        row = F.broadcast(order.where(F.col("row") == r).select(F.col("cell").alias(f"_c{r}"), F.col("n").alias(f"_n{r}")))
+        rows = rows.withColumn("_c", _cell(r, F.col(gram), size[0])).join(row, F.col("_c") == F.col(f"_c{r}"), "left").drop("_c", f"_c{r}")
+    known = [F.coalesce(f"_n{r}", F.lit(0)) for r in range(SKETCH_ROWS)]
+    return rows.withColumn("df", F.least(*known)).drop(*(f"_n{r}" for r in range(SKETCH_ROWS)))
+
+
+def prefixes(counts: DataFrame, order: DataFrame, share: float) -> DataFrame:
     """``id, gram`` of each text's rare grams, without the frequent tail that no match can live on.
 
-    Any order that both sides follow is lossless. Here grams go from those
-    outside the bounded list ``frequent`` (``gram, df``) to the most frequent.
+    Any order that both sides follow is lossless. Here grams go by their
+    frequency in the sketch ``order``, then by value, so each has its place.
     """
     tail = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.join(F.broadcast(frequent), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ranked = placed.withColumn("below", F.sum(F.col("tf") * F.col("tf")).over(tail))
+    ranked = with_frequency(counts, order).withColumn("below", F.sum(F.col("tf") * F.col("tf")).over(tail))
     # the slack keeps a text whose tail sum meets the bound but for rounding
     return ranked.where(F.col("below") >= share * F.col("norm2") * (1 - 1e-9)).select("id", "gram")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, config: Config = Config(), chars: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def candidate_pairs(left: DataFrame, right: DataFrame, config: Config = Config(), chars: tuple[DataFrame, DataFrame] | None = None, cells: int = CELLS) -> DataFrame:
     """``l, r``: pairs of word counts that may reach the threshold; no match is missing.
 
     If a match needs a word cosine, only rare grams are joined; if it needs
@@ -98,9 +129,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, config: Config = Config()
 
     def met(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
         if share > 0:
-            # the right side's most frequent grams; of a small side all, so that the others join with nothing
-            frequent = keep(document_frequency(b).orderBy(F.desc("df"), "gram").limit(BROADCAST_ROWS), "frequent")
-            a, b = prefixes(a, frequent, share), keep(prefixes(b, frequent, share), "prefixes")
+            # the right side's frequencies: what it does not hold comes first and joins with nothing
+            order = keep(sketch(b, cells), "order")
+            a, b = prefixes(a, order, share), keep(prefixes(b, order, share), "prefixes")
         a, b = a.select(F.col("id").alias("l"), "gram"), b.select(F.col("id").alias("r"), "gram")
         return a.join(small(b), "gram").select("l", "r")
 
@@ -115,8 +146,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, config: Config = Config()
 def overlap_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``l, r, shared, total, score``: pairs of ``id, text`` rows with word Jaccard at or above the threshold (> 0).
 
-    Words go from those outside a bounded list to the most frequent of the
-    right side; two such sets share one of their first
+    Words go by their frequency on the right side; two such sets share one of their first
     n - ceil(threshold * n) + 1 words, and neither is larger than the other
     by more than the threshold allows, so only such sets meet.
     """
@@ -124,13 +154,12 @@ def overlap_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
         return texts.select("id", F.array_distinct(T.words(F.col("text"))).alias("words")).where(F.size("words") > 0)
 
     a, b = sets(left), sets(right)
-    each = b.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    frequent = keep(each.orderBy(F.desc("df"), "word").limit(BROADCAST_ROWS), "frequent")
+    order = keep(sketch(b.select(F.explode("words").alias("gram"))), "order")
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
         # dealt by id before they are cut, so ranking needs no further shuffle
         rows = side.repartition("id").select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
-        rows = rows.join(F.broadcast(frequent), "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        rows = with_frequency(rows, order, "word")
         place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
         first = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
         return first.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), "word")

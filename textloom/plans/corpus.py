@@ -6,6 +6,7 @@ from ids, for users' documents; ``benchmark`` is the licensed corpus.
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import corpus, evaluate, lifecycle, report
 from textloom.operators import similarity as S
+from textloom.operators.index import SourceIndex
 from textloom.plans import tables, texts
 from textloom.plans.texts import read
+from textloom.tables import shared_folder
 
 
 def _joined(spark, sf_dir):
@@ -86,7 +89,20 @@ def retention_sweep(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-QUERIES = {f.__name__: f for f in (evidence_join, evidence_report, ingest_sources, reindex_sources, corpus_cosine, threshold_decisions, retention_sweep)}
+def indexed_matches(spark, sf_dir):
+    """Matches with a stored index of sources: some come later, some are corrected, some taken out."""
+    left, right = texts.sides(spark, sf_dir)
+    chunks = right.withColumnRenamed("doc_id", "source_id")
+    index = SourceIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", buckets=8)
+    wrong = F.when(F.col("source_id") % 4 == 0, F.reverse("content")).otherwise(F.col("content"))
+    index.create(chunks.where("source_id % 2 = 0").withColumn("content", wrong))
+    index.merge(chunks.where("source_id % 2 = 1 OR source_id % 4 = 0"), chunks.where("source_id % 14 = 0").select("source_id").distinct())
+    index.merge(gone=chunks.where("source_id % 7 = 0").select("source_id").distinct())
+    found, _ = index.match(left)
+    return found.select("l", "r", T.score_round(F.col("score")).cast("double").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (indexed_matches, evidence_join, evidence_report, ingest_sources, reindex_sources, corpus_cosine, threshold_decisions, retention_sweep)}
 
 _J = (
     texts._MATCHES
@@ -98,6 +114,7 @@ _NC = texts._chunks("d", "documents", "doc_id") + ", n AS (SELECT doc_id, count(
 _DONE = "CASE WHEN code IS NULL THEN coalesce(chunks, 0) END AS chunks, coalesce(code, CASE WHEN coalesce(chunks, 0) = 0 THEN 'no_extractable_text' END) AS code, CASE WHEN code IS NOT NULL THEN 'refused' WHEN coalesce(chunks, 0) = 0 THEN 'failed' ELSE 'ready' END AS status"
 
 SQL = {
+    "indexed_matches": "WITH " + texts._MATCHES + " SELECT m.l, m.r, round(score, 4) AS score FROM m JOIN b ON b.id = m.r WHERE b.doc_id % 7 <> 0",
     "evidence_join": "WITH " + _J + " SELECT match_id, analysis_id, document_id, source_id, 'Kaynak ' || source_id AS title, score FROM j",
     "evidence_report": "WITH " + _J + """ SELECT match_id, source_id, score, 'high' AS level, start, stop AS "end", evidence, (SELECT count(*) FROM j) AS total,
   (SELECT count(*) FROM j WHERE score >= 0.8) AS filtered, (SELECT count(DISTINCT source_id) FROM j WHERE score >= 0.8) AS sources

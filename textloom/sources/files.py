@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import codecs
+import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,48 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/matches").join(done, ["analysis_id", "attempt"], "left_semi")
 
 
+def publish(rows: DataFrame, path: str, query: str, batch: int) -> bool:
+    """Add the rows of a stream's micro-batch to a sink, once however often the batch is run.
+
+    Each try writes below an attempt of its own; one row of the ledger, written
+    last, makes it visible. A batch that the ledger holds is left alone, so
+    whatever breaks, before or after that row, a new run changes nothing that
+    readers have seen. Returns whether rows were written.
+    """
+    spark = rows.sparkSession
+    known = _ledger(spark, path)
+    if known is not None and not known.where((F.col("query") == query) & (F.col("batch") == batch)).isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
+    marked = rows.withColumns({"query": F.lit(query), "batch": F.lit(batch).cast("long"), "attempt": F.lit(attempt)})
+    marked.write.mode("append").partitionBy("query", "batch", "attempt").parquet(f"{path}/rows")
+    row = spark.createDataFrame([(query, batch, attempt)], "query string, batch long, attempt string").withColumn("committed_at", F.current_timestamp())
+    row.coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+    return True
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("query string, batch long, attempt string, committed_at timestamp").parquet(f"{path}/ledger")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_published(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a sink with ``query``, ``batch`` and ``attempt``: of each batch the attempt that was committed first.
+
+    ``schema`` is that of the rows, so that a sink without any can be read.
+    """
+    known = _ledger(spark, path)
+    schema = f"{schema}, query string, batch long, attempt string"
+    if known is None:
+        return spark.createDataFrame([], schema)
+    first = known.groupBy("query", "batch").agg(F.min_by("attempt", F.struct("committed_at", "attempt")).alias("attempt"))
+    return spark.read.schema(schema).parquet(f"{path}/rows").join(first, ["query", "batch", "attempt"], "left_semi")
+
+
 def manifest(files: DataFrame) -> DataFrame:
     """``path, size_bytes, sha256`` of each file."""
     return files.select("path", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
