@@ -262,6 +262,15 @@ def decoded_texts(spark, sf_dir):
     return files.decode_text(rows).select("doc_id", "text", "decode_error")
 
 
+def legacy_texts(spark, sf_dir):
+    """Documents as bytes of a Western encoding, and digests as noise, decoded."""
+    docs = read(spark, sf_dir, "documents")
+    # letters that Windows-1254 has in their places, and those signs of Latin-1 that it has others for
+    latin = docs.where(~F.col("text").rlike(r"[^\x00-\x7F\xA0-\xFF]|[ÐÝÞðýþ]")).select("doc_id", F.lit("text").alias("kind"), F.encode("text", "ISO-8859-1").alias("content"))
+    noise = F.unhex(F.concat(*(F.sha2(F.concat_ws("-", F.lit(str(k)), "doc_id"), 512) for k in range(4))))
+    return files.decode_text(latin.union(docs.select("doc_id", F.lit("noise"), noise))).select("doc_id", "kind", "text", "decode_error")
+
+
 def checksum_faults(spark, sf_dir):
     body = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     rows = read(spark, sf_dir, "documents").select("doc_id", F.encode(body, "UTF-8").alias("content"), F.octet_length("text").alias("size_bytes"), F.sha2("text", 256).alias("sha256"))
@@ -277,7 +286,7 @@ def report_dates(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", T.local_date(F.col("ts")).alias("local"))
 
 
-QUERIES = {f.__name__: f for f in (interval_union, range_coverage, report_sections, invalid_ranges, filtered_matches, report_header, repeated_evidence, threshold_sweep, confusion_matrix, class_margins, label_faults, score_faults, golden_drift, weight_calibration, run_summary, transition_audit, latest_run, retry_decision, run_counts, due_work, expiry_candidates, cascade_keep, cleanup_counts, owned_documents, document_list, failure_codes, redaction, audit_validation, status_backfill, admission, source_dedup, seed_antijoin, eligible_sources, ingest_status, fixed_window_quota, quota_keys, retry_backoff, corpus_manifest, decoded_texts, checksum_faults, page_links, report_dates)}
+QUERIES = {f.__name__: f for f in (interval_union, range_coverage, report_sections, invalid_ranges, filtered_matches, report_header, repeated_evidence, threshold_sweep, confusion_matrix, class_margins, label_faults, score_faults, golden_drift, weight_calibration, run_summary, transition_audit, latest_run, retry_decision, run_counts, due_work, expiry_candidates, cascade_keep, cleanup_counts, owned_documents, document_list, failure_codes, redaction, audit_validation, status_backfill, admission, source_dedup, seed_antijoin, eligible_sources, ingest_status, fixed_window_quota, quota_keys, retry_backoff, corpus_manifest, decoded_texts, legacy_texts, checksum_faults, page_links, report_dates)}
 
 _R = """r AS (SELECT user_id AS doc_id, event_id AS match_id, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS s,
   CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 + CAST(ceil(value * 40) AS BIGINT) + 1 AS e, round(value / 500, 4) AS score, event_id % 5 + 1 AS page FROM events)"""
@@ -347,6 +356,8 @@ CASE WHEN event_type = 'error' THEN 'not_allow_listed' WHEN (event_id % 2 = 0) <
     "retry_backoff": "SELECT event_id, CAST(least(10 * power(2, event_id % 8), 120) AS DOUBLE) AS seconds FROM events",
     "corpus_manifest": "SELECT 'documents/' || doc_id || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(text) AS sha256 FROM documents",
     "decoded_texts": "SELECT doc_id, text, CASE WHEN text = '' THEN 'empty' END AS decode_error FROM documents",
+    "legacy_texts": r"""SELECT doc_id, 'text' AS kind, text, CASE WHEN text = '' THEN 'empty' END AS decode_error FROM documents WHERE NOT regexp_matches(text, '[^\x{00}-\x{7F}\x{A0}-\x{FF}]') AND NOT regexp_matches(text, '[ÐÝÞðýþ]')
+UNION ALL SELECT doc_id, 'noise', NULL, 'undecodable' FROM documents""",
     "checksum_faults": "SELECT doc_id FROM documents WHERE doc_id % 9 = 0",
     "page_links": "SELECT page_id, CASE WHEN page_id % 4 > 0 AND regexp_matches(url, '^https?:') THEN url END AS url, regexp_extract(split_part(url, '?', 1), '([^/]*)$', 1) AS filename FROM pages",
     "report_dates": "SELECT event_id, strftime(ts + INTERVAL 3 HOUR, '%d.%m.%Y %H:%M') AS local FROM events",
