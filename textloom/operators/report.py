@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators.lifecycle import owned
+from textloom.operators.similarity import small
+from textloom.tables import keep
 
+#: Ranges of one key that one task merges at most.
+HEAVY = 1 << 20
+#: Rows of a file of a stored report, about.
+REPORT_ROWS = 1 << 18
 
-def islands(ranges: DataFrame, key: str, start: str = "start", end: str = "end", merge_adjacent: bool = True) -> DataFrame:
+
+def islands(ranges: DataFrame, key: str, start: str = "start", end: str = "end", merge_adjacent: bool = True, heavy: int = HEAVY) -> DataFrame:
     """Add ``island``: number, within ``key``, of the group of overlapping ranges.
 
     With ``merge_adjacent`` ranges that only touch are one group (coverage),
-    else they stay apart (report sections).
+    else they stay apart (report sections). A key of more than ``heavy``
+    ranges is cut into segments in order, which tasks of their own merge.
     """
+    ranges = keep(ranges, "ranges")
+    large = ranges.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > heavy)
+    cut = large.agg(F.sum(F.ceil(F.col("count") / heavy))).first()[0]
+    if not cut:
+        return _whole_islands(ranges, key, start, end, merge_adjacent)
+    keys = small(large.select(key))
+    few = _whole_islands(ranges.join(keys, key, "left_anti"), key, start, end, merge_adjacent)
+    return few.unionByName(_cut_islands(ranges.join(keys, key, "left_semi"), key, start, end, merge_adjacent, int(cut)))
+
+
+def _opens(start: str, reach: Column, merge_adjacent: bool) -> Column:
+    return F.coalesce((F.col(start) > reach) if merge_adjacent else (F.col(start) >= reach), F.lit(True)).cast("int")
+
+
+def _whole_islands(ranges: DataFrame, key: str, start: str, end: str, merge_adjacent: bool) -> DataFrame:
     order = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce((F.col(start) > reach) if merge_adjacent else (F.col(start) >= reach), F.lit(True))
-    return ranges.withColumn("_opens", opens.cast("int")).withColumn("island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+    return ranges.withColumn("_opens", _opens(start, reach, merge_adjacent)).withColumn("island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+
+
+def _cut_islands(ranges: DataFrame, key: str, start: str, end: str, merge_adjacent: bool, segments: int) -> DataFrame:
+    """As ``_whole_islands``, by range partitions: what a segment's ranges must pass is carried over from those before."""
+    placed = keep(ranges.repartitionByRange(segments, key, start, end).withColumn("_p", F.spark_partition_id()), "placed")
+    earlier = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(key, "_p").orderBy(start, end)
+    # a row for each segment of a key
+    ends = placed.groupBy(key, "_p").agg(F.max(end).alias("_end")).select(key, "_p", F.max("_end").over(earlier).alias("_carried"))
+    reach = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_carried")
+    marked = placed.join(small(ends), [key, "_p"]).withColumn("_opens", _opens(start, reach, merge_adjacent))
+    marked = keep(marked.withColumn("_local", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))), "marked")
+    opened = marked.groupBy(key, "_p").agg(F.sum("_opens").alias("_n")).select(key, "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return marked.join(small(opened), [key, "_p"]).withColumn("island", F.col("_local") + F.col("_before")).select(*ranges.columns, "island")
 
 
 def interval_union(ranges: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -68,6 +104,59 @@ def evidence_page(matches: DataFrame, offset: int = 0, limit: int = 20) -> DataF
     return matches.orderBy(F.desc("score"), "start", "match_id").offset(offset).limit(limit)
 
 
+def _place(row: tuple | None = None) -> Column:
+    """What pages are ordered by: of a row's columns, or of a key's values."""
+    score, start, match_id = map(F.lit, row) if row else map(F.col, ("score", "start", "match_id"))
+    return F.struct((-score.cast("double")).alias("score"), start.cast("long").alias("start"), match_id.cast("string").alias("match_id"))
+
+
+def store_report(matches: DataFrame, path: str, rows: int = REPORT_ROWS) -> None:
+    """Write evidence in the order of its pages, with the bounds of every file.
+
+    The list of files is written last. ``matches``: ``match_id, source_id,
+    score, start, ...``; match ids are unique.
+    """
+    matches = keep(matches, "report")
+    order = [F.desc("score"), "start", "match_id"]
+    sorted_rows = matches.repartitionByRange(max(1, -(-matches.count() // rows)), *order).sortWithinPartitions(*order)
+    sorted_rows.write.mode("overwrite").parquet(f"{path}/rows")
+    stored = matches.sparkSession.read.schema(matches.schema).parquet(f"{path}/rows")
+    bounds = stored.groupBy(F.input_file_name().alias("file")).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.count("*").alias("n"))
+    bounds.coalesce(1).write.mode("overwrite").parquet(f"{path}/files")
+
+
+def next_page(spark: SparkSession, path: str, after: tuple | None = None, limit: int = 20, source_id: int | None = None, minimum: float = 0.0) -> DataFrame:
+    """The page of a stored report that follows the row of key ``after`` (``score, start, match_id``), the first without.
+
+    Rows are as of ``evidence_page`` on the filtered matches. Only files that
+    can hold them are read: those from the key on whose rows fill the page,
+    more where a filter leaves too few.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be 1 to 100")
+    files = spark.read.parquet(f"{path}/files").where(F.col("first.score") <= -minimum)
+    beyond = F.lit(True)
+    if after is not None:
+        key = _place(after)
+        files, beyond = files.where(F.col("last") > key), _place() > key
+    # every file has a row: of the files from the key on, so many fill any page without a filter
+    wanted, page = limit + 1, None
+    while True:
+        listed = files.orderBy("first").limit(wanted).collect()
+        if not listed:
+            schema = spark.read.parquet(f"{path}/rows").schema
+            return spark.createDataFrame([], schema)
+        take, held = 1, 0
+        while take < len(listed) and (held < limit or source_id is not None):
+            held += listed[take]["n"]
+            take += 1
+        read = spark.read.parquet(*(r["file"] for r in listed[:take])).where(beyond)
+        page = filter_matches(read, source_id, minimum).orderBy(F.desc("score"), "start", "match_id").limit(limit)
+        if source_id is None or len(listed) < wanted or page.count() == limit:
+            return page
+        wanted *= 4
+
+
 def evidence_join(matches: DataFrame, analyses: DataFrame, documents: DataFrame, document_chunks: DataFrame, source_chunks: DataFrame, sources: DataFrame, owner: Column) -> DataFrame:
     """Matches of an owner's documents with their chunks and sources.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from textloom.config import Config
 from textloom.functions import text as T
 from textloom.operators import chunks, evidence, report
 from textloom.operators import similarity as S
-from textloom.tables import keep
+from textloom.tables import keep, shared_folder
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -152,6 +154,17 @@ def evidence_page(spark, sf_dir):
     return report.evidence_page(_matched_chunks(spark, sf_dir), 0, 20).select("match_id", "doc_id", "source_id", "start", "end", "score")
 
 
+def next_page(spark, sf_dir):
+    """The third page of a stored report, by the key of the second one's last row."""
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    report.store_report(_matched_chunks(spark, sf_dir), path, rows=50)
+    after = None
+    for _ in range(2):
+        last = report.next_page(spark, path, after).collect()[-1]
+        after = last["score"], last["start"], last["match_id"]
+    return report.next_page(spark, path, after).select("match_id", "doc_id", "source_id", "start", "end", "score")
+
+
 def report_sources(spark, sf_dir):
     titles = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), F.concat(F.lit("Kaynak "), F.col("item_id").cast("string")).alias("title"))
     return report.report_sources(_matched_chunks(spark, sf_dir), titles)
@@ -171,7 +184,7 @@ def best_scores(spark, sf_dir):
     return out.select("doc_id", F.coalesce("best", F.lit(0.0)).alias("best"), F.when(F.col("best").isNull(), "no_match").otherwise("match").alias("decision"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, sentence_chunks, chunk_stats, chunk_audit, part_offsets, joined_parts, word_ngrams, char_ngrams, corpus_tfidf, word_overlap, candidate_pairs, word_cosine, hybrid_scores, score_components, snapshot_replay, token_blocks, coverage, chunk_coverage, evidence_page, report_sources, report_texts, best_scores)}
+QUERIES = {f.__name__: f for f in (normalize_text, sentence_chunks, chunk_stats, chunk_audit, part_offsets, joined_parts, word_ngrams, char_ngrams, corpus_tfidf, word_overlap, candidate_pairs, word_cosine, hybrid_scores, score_components, snapshot_replay, token_blocks, coverage, chunk_coverage, evidence_page, next_page, report_sources, report_texts, best_scores)}
 
 
 def _norm(name: str, table: str, key: str) -> str:
@@ -333,6 +346,7 @@ SELECT doc_id, CAST(coalesce(covered, 0) AS BIGINT) AS covered, CAST(length(text
   coalesce(raw_count, 0) AS raw_count, CAST(coalesce(ranges, 0) AS INTEGER) AS ranges
 FROM d_n LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id)""",
     "evidence_page": "WITH " + _MATCHES + ' SELECT match_id, doc_id, source_id, start, stop AS "end", score FROM mc ORDER BY score DESC, start, match_id LIMIT 20',
+    "next_page": "WITH " + _MATCHES + ' SELECT match_id, doc_id, source_id, start, stop AS "end", score FROM mc ORDER BY score DESC, start, match_id LIMIT 20 OFFSET 40',
     "report_sources": "WITH " + _MATCHES + " SELECT source_id, count(*) AS matches, max(score) AS best_score, 'Kaynak ' || source_id AS title FROM mc GROUP BY source_id",
     "report_texts": "WITH " + _MATCHES + ' SELECT doc_id, start, stop AS "end", max(score) AS score, CASE WHEN max(score) >= 0.8 THEN \'high\' ELSE \'medium\' END AS level, content AS section_text, count(*) AS members FROM mc GROUP BY doc_id, start, stop, content',
     "best_scores": "WITH " + _MATCHES + ", x AS (SELECT doc_id, max(score) AS best FROM mc GROUP BY doc_id) SELECT doc_id, coalesce(best, 0) AS best, CASE WHEN best IS NULL THEN 'no_match' ELSE 'match' END AS decision FROM documents LEFT JOIN x USING (doc_id)",
