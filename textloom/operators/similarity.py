@@ -19,15 +19,19 @@ from textloom.functions import text as T
 from textloom.tables import keep
 
 K2 = (math.log(1.5) + 1) ** 2
-#: Vectors that a small side may have and still be sent to every task.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of text in them, that a small side may have and still be sent to every task.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Cells of each row of a frequency sketch, which every task gets, and its rows.
 CELLS, SKETCH_ROWS = 1 << 17, 2
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the side has at most ``rows`` rows; else it stays a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the side has at most ``rows`` rows of plain columns and ``size`` bytes of text; else it stays a shuffle join."""
+    if any("<" in kind for _, kind in df.dtypes):
+        return df
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in df.dtypes if kind in ("string", "binary")]
+    held = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(reduce(Column.__add__, texts, F.lit(0))).alias("size")).first()
+    return F.broadcast(df) if held["n"] <= rows and (held["size"] or 0) <= size else df
 
 
 def gram_counts(texts: DataFrame, grams: Column) -> DataFrame:
