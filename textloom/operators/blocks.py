@@ -19,7 +19,7 @@ from textloom.tables import keep
 #: Token pairs of a window that one row may compare by itself; larger windows go by joins.
 CELLS = 1 << 16
 #: Times that a row's windows are split between two written tables.
-ROUNDS = 6
+ROUNDS = 3
 _WINDOW = "array<struct<alo:int,ahi:int,blo:int,bhi:int>>"
 _BLOCK = "array<struct<i:int,j:int,size:int>>"
 
