@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.tables import keep
+from textloom.tables import dealt, keep
 
 #: Token pairs of a window that one row may compare by itself; larger windows go by joins.
 CELLS = 1 << 16
@@ -34,7 +34,7 @@ def token_spans(chunks: DataFrame) -> DataFrame:
         token = F.when(piece.rlike(r"^[\p{L}\p{N}_]"), F.get(T.words(piece), F.lit(0)))
         return F.struct(F.length(piece).alias("length"), token.alias("token"))
 
-    runs = chunks.repartition("id").select("id", F.posexplode(F.transform(T.token_runs(F.col("content")), run)).alias("at", "run"))
+    runs = dealt(chunks, "id").select("id", F.posexplode(F.transform(T.token_runs(F.col("content")), run)).alias("at", "run"))
     end = F.sum("run.length").over(Window.partitionBy("id").orderBy("at"))
     words = runs.withColumn("end", end).where("run.token is not null")
     span = F.struct("at", (F.col("end") - F.col("run.length")).alias("from"), F.col("end").alias("to"), F.col("run.token").alias("token"))

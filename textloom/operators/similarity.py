@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import Config
 from textloom.functions import text as T
-from textloom.tables import keep
+from textloom.tables import dealt, keep
 
 K2 = (math.log(1.5) + 1) ** 2
 #: Rows, and bytes of text in them, that a small side may have and still be sent to every task.
@@ -40,7 +40,7 @@ def gram_counts(texts: DataFrame, grams: Column) -> DataFrame:
     The texts are dealt by id before they are cut, so the grams, many times
     the text, need no shuffle to be counted and summed.
     """
-    counts = texts.repartition("id").select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").cast("double").alias("tf"))
+    counts = dealt(texts, "id").select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").cast("double").alias("tf"))
     return counts.withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
 
 
@@ -108,14 +108,17 @@ def with_frequency(rows: DataFrame, order: DataFrame, gram: str = "gram") -> Dat
     return rows.withColumn("df", F.least(*known)).drop(*(f"_n{r}" for r in range(SKETCH_ROWS)))
 
 
-def prefixes(counts: DataFrame, order: DataFrame, share: float) -> DataFrame:
+def prefixes(counts: DataFrame, order: DataFrame, share: float, held: bool = False) -> DataFrame:
     """``id, gram`` of each text's rare grams, without the frequent tail that no match can live on.
 
     Any order that both sides follow is lossless. Here grams go by their
     frequency in the sketch ``order``, then by value, so each has its place.
+    With ``held``, grams that the sketch does not hold are left out before
+    they are ranked: they come first, so no other gram's tail changes.
     """
     tail = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = with_frequency(counts, order).withColumn("below", F.sum(F.col("tf") * F.col("tf")).over(tail))
+    known = with_frequency(counts, order)
+    ranked = (known.where("df > 0") if held else known).withColumn("below", F.sum(F.col("tf") * F.col("tf")).over(tail))
     # the slack keeps a text whose tail sum meets the bound but for rounding
     return ranked.where(F.col("below") >= share * F.col("norm2") * (1 - 1e-9)).select("id", "gram")
 
@@ -133,9 +136,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, config: Config = Config()
 
     def met(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
         if share > 0:
-            # the right side's frequencies: what it does not hold comes first and joins with nothing
+            # the right side's frequencies: what it does not hold joins with nothing
             order = keep(sketch(b, cells), "order")
-            a, b = prefixes(a, order, share), keep(prefixes(b, order, share), "prefixes")
+            a, b = prefixes(a, order, share, held=True), keep(prefixes(b, order, share), "prefixes")
         a, b = a.select(F.col("id").alias("l"), "gram"), b.select(F.col("id").alias("r"), "gram")
         return a.join(small(b), "gram").select("l", "r")
 
@@ -162,7 +165,7 @@ def overlap_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
         # dealt by id before they are cut, so ranking needs no further shuffle
-        rows = side.repartition("id").select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+        rows = dealt(side, "id").select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
         rows = with_frequency(rows, order, "word")
         place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
         first = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)

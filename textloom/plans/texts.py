@@ -11,6 +11,7 @@ from textloom.config import Config
 from textloom.functions import text as T
 from textloom.operators import chunks, evidence, report
 from textloom.operators import similarity as S
+from textloom.tables import dealt as deal
 from textloom.tables import keep, shared_folder
 
 
@@ -21,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def normalized(spark: SparkSession, sf_dir: str, table: str, key: str, dealt: bool = False) -> DataFrame:
     """``doc_id`` and normalized text; dealt by id first if what follows needs that anyway, so that few large row groups keep all tasks busy."""
     rows = T.nfc(read(spark, sf_dir, table).select(F.col(key).alias("doc_id"), "text"), "text")
-    rows = rows.repartition("doc_id") if dealt else rows
+    rows = deal(rows, "doc_id") if dealt else rows
     return rows.withColumn("text", T.normalize_text(F.col("text")))
 
 

@@ -27,3 +27,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` over all shuffle partitions.
+
+    For rows that are cut into many times their size next: adaptive merging
+    by the size of what is shuffled would leave them to a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
