@@ -1,8 +1,9 @@
 """Merkle fixity audit of replicas of WARC files.
 
 Records are hashed, then ordered ranges of offsets, then ranges of files, up
-to one root. Where two replicas' roots differ, only the branches that differ
-are followed down to the damaged records.
+to one root, and a second one for the files of records without an id. Where
+two replicas' roots differ, only the branches that differ are followed down to
+the damaged records.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from textloom.llm.common import Scratch, read
 
 #: Page ids of one WARC file, bytes of the least offset range, and children of a node.
 IDS_PER_FILE, RANGE_BYTES, FAN_OUT = 1000, 1 << 16, 16
+#: Hexadecimal digits of the digest that deal records without a page id over files -1, -2, ...
+NO_ID_DIGITS = 3
 
 
 def warc_record(url: Column, page_id: Column, body: Column) -> Column:
@@ -34,23 +37,25 @@ def warc_record(url: Column, page_id: Column, body: Column) -> Column:
 def warc_records(pages: DataFrame) -> DataFrame:
     """``file, offset, size, page_id, digest``: the records of ``page_id, url, html`` laid out in files.
 
-    A file holds ``IDS_PER_FILE`` page ids in order; rows without an id share
-    file -1; a null url or html is empty. Rows with one id follow by url, then
-    digest, and equal ones share their offset's order by chance, which is
-    alike in any replica.
+    A file holds ``IDS_PER_FILE`` page ids in order; rows without an id are
+    dealt by digest over 16^``NO_ID_DIGITS`` files with negative numbers; a
+    null url or html is empty. Rows with one id follow by url, then digest;
+    equal ones, in whatever order, give equal records at the same offsets. No
+    pages give no records; other columns are left out.
     """
     record = warc_record(F.col("url"), F.col("page_id"), F.coalesce("html", F.lit("")))
     rows = pages.select("page_id", "url", F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("long").alias("size"))
-    rows = rows.withColumn("file", F.coalesce(F.expr(f"floor(page_id / {IDS_PER_FILE})"), F.lit(-1)).cast("long"))
+    dealt = -1 - F.conv(F.substring("digest", 1, NO_ID_DIGITS), 16, 10).cast("long")
+    rows = rows.withColumn("file", F.coalesce(F.expr(f"floor(page_id / {IDS_PER_FILE})").cast("long"), dealt))
     end = F.expr("sum(size) OVER (PARTITION BY file ORDER BY page_id, url, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     return rows.select("file", (end - F.col("size")).alias("offset"), "size", "page_id", "digest")
 
 
 def _parents(level: int, ranges: int) -> tuple[Column, Column]:
-    """Key of a level's nodes: file and offset range, above the ranges groups of files; -1 joins the first group."""
+    """Key of a level's nodes: file and offset range, above the ranges groups of files; negative files stay apart."""
     if level <= ranges:
         return F.col("file"), F.floor(F.col("place") / F.lit(RANGE_BYTES if level == 1 else FAN_OUT)).cast("long")
-    return F.greatest(F.floor(F.col("file") / FAN_OUT).cast("long"), F.lit(0)), F.lit(0).cast("long")
+    return F.floor(F.col("file") / FAN_OUT).cast("long"), F.lit(0).cast("long")
 
 
 def merkle_tree(records: DataFrame, ranges: int, groups: int, scratch: Scratch, name: str) -> list[DataFrame]:
@@ -58,7 +63,8 @@ def merkle_tree(records: DataFrame, ranges: int, groups: int, scratch: Scratch,
 
     A node's digest covers its children's places and digests in order; each
     level is one grouping of at most ``FAN_OUT`` children, or of the records
-    of a range.
+    of a range. Of the records' columns only ``page_id`` may be null. No
+    records give empty levels.
     """
     level = records.select("file", F.col("offset").alias("place"), "digest", "page_id")
     out = []
@@ -84,8 +90,9 @@ def audit(first: DataFrame, second: DataFrame, scratch: Scratch) -> DataFrame:
     ranges, groups = 1, 0
     while top_offset and RANGE_BYTES * FAN_OUT ** (ranges - 1) <= top_offset:
         ranges += 1
-    while high is not None and low != high:
-        low, high = max(low // FAN_OUT, 0), max(high // FAN_OUT, 0)
+    # two roots at most: -1 above the negative files, 0 above the others
+    while high is not None and low != high and (low, high) != (-1, 0):
+        low, high = low // FAN_OUT, high // FAN_OUT
         groups += 1
     trees = [merkle_tree(records, ranges, groups, scratch, name) for records, name in ((first, "a"), (second, "b"))]
     suspects = None
@@ -117,7 +124,10 @@ def damaged(pages: DataFrame, records: DataFrame) -> DataFrame:
     """A second replica's records as a bad disk would give them, by the hash of the page id.
 
     One record in 256 has its body's first character overwritten, one is
-    lost, and one stands twice, a byte further on.
+    lost, and one stands twice, a byte further on. Rows without an id are
+    never overwritten and otherwise share the fate of an empty one. Rows of
+    one id that repeats are told apart by no more than their place, so each
+    is overwritten by each. No pages give no records.
     """
     fate = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
     body = F.coalesce("html", F.lit(""))
@@ -139,7 +149,7 @@ def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH r AS (
   SELECT page_id, url, coalesce(html, '') AS html, substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS fate,
-    CAST(coalesce(floor(page_id / 1000), -1) AS BIGINT) AS file FROM pages
+    CAST(floor(page_id / 1000) AS BIGINT) AS id_file FROM pages
 ), t AS (
   SELECT *, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
     || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none') || '>' || chr(13) || chr(10) || 'Content-Length: ' AS head,
@@ -147,10 +157,12 @@ WITH r AS (
 ), d AS (
   SELECT *, head || CAST(octet_length(encode(html)) AS VARCHAR) || gap || html || gap AS rec,
     head || CAST(octet_length(encode('#' || substr(html, 2))) AS VARCHAR) || gap || '#' || substr(html, 2) || gap AS hurt FROM t
+), f AS (
+  SELECT *, sha256(rec) AS digest, coalesce(id_file, -1 - CAST('0x' || substr(sha256(rec), 1, 3) AS BIGINT)) AS file FROM d
 ), o AS (
-  SELECT *, sha256(rec) AS digest,
+  SELECT *,
     CAST(sum(octet_length(encode(rec))) OVER (PARTITION BY file ORDER BY page_id, url ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - octet_length(encode(rec)) AS BIGINT) AS o
-  FROM d
+  FROM f
 )
 SELECT file, o AS "offset", page_id, 'changed' AS status, digest AS first_digest, sha256(hurt) AS second_digest FROM o WHERE fate = '00' AND hurt <> rec
 UNION ALL SELECT file, o, page_id, 'missing', digest, NULL FROM o WHERE fate = '01'
