@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, embeddings, fixity, html, jaccard, lines, mixing, packing, toxicity
+from textloom.llm import chat, embeddings, fixity, html, jaccard, lines, mixing, packing, shingles, toxicity
 from brute_force import brute_components, brute_passages
 from textloom.llm.common import Scratch, connected_components
 
@@ -410,6 +410,39 @@ def test_fixity(spark, scratch):
     assert {r["status"] for r in fixity.audit(records, records.where("false"), scratch).collect()} == {"missing"}
 
 
+def test_fixity_of_pages_without_ids(spark, scratch):
+    """Rows without an id lie in many files; names that the operator uses itself change nothing."""
+    rows = [(None, f"http://h/{i}", "x" * (i % 50)) for i in range(6000)] + [(i % 40, f"http://h/{i}", None) for i in range(80)] + [(7, None, "")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"file": F.lit(0), "offset": F.lit("o"), "digest": F.lit("d"), "size": F.lit(1)})
+    records = scratch.save(fixity.warc_records(pages), "records")
+    assert records.count() == len(rows) and records.where("file < 0").select("file").distinct().count() > 2000
+    assert records.groupBy("file").count().where("file < 0").agg(F.max("count")).first()[0] < 20
+    ends = records.selectExpr("offset + size AS end", "coalesce(lead(offset) OVER (PARTITION BY file ORDER BY offset), offset + size) AS next")
+    assert ends.where("end <> next").isEmpty()
+    assert fixity.audit(records, records, scratch).isEmpty()
+    lost = records.where("page_id is null").orderBy("digest").first()
+    hurt = records.where(F.col("digest") != lost["digest"])
+    found = fixity.audit(records, hurt, scratch).collect()
+    assert [(r["file"], r["offset"], r["status"]) for r in found] == [(lost["file"], lost["offset"], "missing")]
+    nothing = records.where("false")
+    assert fixity.audit(nothing, nothing, scratch).isEmpty() and fixity.audit(fixity.warc_records(pages.where("false")), nothing, scratch).isEmpty()
+    assert {r["status"] for r in fixity.audit(nothing, records, scratch).collect()} == {"extra"}
+
+
+def test_long_texts_are_hashed_in_steps(monkeypatch):
+    rng = random.Random(11)
+    cases = [[], [b""], [b"", b"a b c d e f", b" x ", b"y" * 400 + b" z", b"q" * 64]]
+    cases += [["".join(rng.choice("aAb \n\té") for _ in range(rng.randrange(200))).encode() for _ in range(rng.randrange(5))] for _ in range(60)]
+    blank = shingles._BLANK
+    for texts in cases:
+        whole = [*shingles.word_hashes(texts, blank, (2, 3)), *shingles.shingle_sets(texts, 5)]
+        for size in (4, 7, 64):
+            monkeypatch.setattr(shingles, "CHUNK", size)
+            steps = [*shingles.word_hashes(texts, blank, (2, 3)), *shingles.shingle_sets(texts, 5)]
+            assert all(np.array_equal(a, b) for a, b in zip(whole, steps, strict=True))
+        monkeypatch.undo()
+
+
 def test_mix_meets_targets(spark, scratch):
     rows = [(i, "b" if i % 3 else "a", "w " * (i % 7)) for i in range(600)] + [(1000, None, "x y"), (1001, "c", None), (None, "a", "z")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("target", F.lit("clash"))
