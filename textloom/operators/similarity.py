@@ -9,6 +9,7 @@ of squared counts are all that a pair needs.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import Config
 from textloom.functions import text as T
+from textloom.operators.held import gram_map, likely
 from textloom.tables import dealt, keep
 
 K2 = (math.log(1.5) + 1) ** 2
@@ -34,6 +36,53 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if held["n"] <= rows and (held["size"] or 0) <= size else df
 
 
+def streams(texts: DataFrame) -> DataFrame:
+    """``id, stream``: the folded words of each text, from which alone its scores come; texts without words are left out."""
+    return keep(texts.select("id", T.char_stream(F.col("text")).alias("stream")).where("stream <> ''"), "streams")
+
+
+def firsts(rows: DataFrame) -> DataFrame:
+    """``id, stream``: the least id of each word sequence, which stands for all its copies."""
+    return rows.groupBy("stream").agg(F.min("id").alias("id")).select("id", "stream")
+
+
+def likely_firsts(left: DataFrame, right: DataFrame, low: int, high: int, share: float, squares: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Firsts of the ``streams`` of both sides; left ones that hold too few of the right side's grams for any match are left out."""
+    b = keep(firsts(right), "firsts")
+    a = firsts(left)
+    return keep(likely(a, gram_map(b, low, high), low, high, share, squares) if share > 0 else a, "firsts"), b
+
+
+def texts_of(texts: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id is among ``some``, kept."""
+    return keep(texts.join(small(some.select("id")), "id", "left_semi"), "texts")
+
+
+def spread(found: DataFrame, side: str, first: DataFrame, rows: DataFrame) -> DataFrame:
+    """``found`` with each first id of a ``side`` replaced by those of all its copies."""
+    named = found.join(first.withColumnRenamed("id", side), side).drop(side)
+    return rows.withColumnRenamed("id", side).join(small(named), "stream").drop("stream").select(found.columns)
+
+
+def spread_pairs(found: DataFrame, a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of ``firsts`` as pairs of all ids of both sides' ``streams``."""
+    return spread(spread(keep(found, "found"), "r", b, right), "l", a, left)
+
+
+def by_firsts(pairs: DataFrame, left: DataFrame, right: DataFrame, key: Callable[[DataFrame], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``l, r, l0, r0``: pairs with the least ids of texts of the same ``key``, and the rows of these ids on both sides."""
+    pairs = keep(pairs.select("l", "r"), "pairs")
+    named, some = pairs, []
+    for texts, side in ((left, "l"), (right, "r")):
+        texts = keep(texts.join(small(pairs.select(F.col(side).alias("id")).distinct()), "id", "left_semi"), "texts")
+        rows = keep(texts.select("id", key(texts).alias("stream")), "streams")
+        first = keep(firsts(rows), "firsts")
+        some.append(texts_of(texts, first))
+        alike = keep(rows.join(small(first.withColumnRenamed("id", f"{side}0")), "stream").select(F.col("id").alias(side), f"{side}0"), "alike")
+        named = named.join(small(alike), side)
+    return keep(named, "named"), *some
+
+
 def gram_counts(texts: DataFrame, grams: Column) -> DataFrame:
     """``id, gram, tf, norm2``: counts of each text's grams and their sum of squares.
 
@@ -155,8 +204,16 @@ def overlap_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
 
     Words go by their frequency on the right side; two such sets share one of their first
     n - ceil(threshold * n) + 1 words, and neither is larger than the other
-    by more than the threshold allows, so only such sets meet.
+    by more than the threshold allows, so only such sets meet. Texts of the
+    same words are compared once.
     """
+    every = streams(left), streams(right)
+    first = likely_firsts(*every, 1, 1, threshold, squares=False)
+    found = _overlap_pairs(texts_of(left, first[0]), texts_of(right, first[1]), threshold)
+    return spread_pairs(found, *first, *every)
+
+
+def _overlap_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     def sets(texts: DataFrame) -> DataFrame:
         return texts.select("id", F.array_distinct(T.words(F.col("text"))).alias("words")).where(F.size("words") > 0)
 
@@ -230,11 +287,19 @@ def score_components(word: Column, char: Column, overlap: Column, config: Config
 def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config = Config(), prune: bool = True) -> DataFrame:
     """``l, r, word, char, overlap, score`` of pairs of ``id, text`` rows.
 
-    Grams are counted only for the texts that occur in a pair. With ``prune``,
-    pairs that cannot reach the threshold are dropped before the character
-    grams, the dearest signal, are counted.
+    Grams are counted only for the texts that occur in a pair, and once for
+    texts of the same words. With ``prune``, pairs that cannot reach the
+    threshold are dropped before the character grams, the dearest signal, are
+    counted.
     """
-    pairs = keep(pairs.select("l", "r"), "pairs")
+    named, a, b = by_firsts(pairs, left, right, lambda texts: F.coalesce(T.char_stream(F.col("text")), F.lit("")))
+    scored = _score_pairs(named.select(F.col("l0").alias("l"), F.col("r0").alias("r")).distinct(), a, b, config, prune)
+    scored = keep(scored, "found").withColumnsRenamed({"l": "l0", "r": "r0"})
+    return named.join(small(scored), ["l0", "r0"]).select("l", "r", "word", "char", "overlap", "score")
+
+
+def _score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config, prune: bool) -> DataFrame:
+    pairs = keep(pairs, "pairs")
 
     def met(texts: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
         return texts.join(small(pairs.select(F.col(side).alias("id")).distinct()), "id", "left_semi")
@@ -258,11 +323,27 @@ def match_pairs(left: DataFrame, right: DataFrame, config: Config = Config()) ->
     """Scored pairs at or above the threshold, unrounded and inclusive.
 
     At a threshold of 0 every pair is a match, so all are listed; at any other
-    only candidates are.
+    only candidates are. Texts of the same words score alike, so the first of
+    them is matched and its matches are theirs.
     """
     if config.threshold == 0:
         pairs = left.select(F.col("id").alias("l")).crossJoin(right.select(F.col("id").alias("r")))
-    else:
-        chars = (char_counts(left, config), char_counts(right, config)) if config.threshold <= config.char_weight else None
-        pairs = candidate_pairs(word_counts(left, config), word_counts(right, config), config, chars)
-    return score_pairs(pairs, left, right, config).where(F.col("score") >= F.lit(config.threshold))
+        return score_pairs(pairs, left, right, config).where(F.col("score") >= F.lit(config.threshold))
+    every = streams(left), streams(right)
+    first = likely_firsts(*every, *config.word_range, config.prefix_share(config.least_word_cosine))
+    a, b = texts_of(left, first[0]), texts_of(right, first[1])
+    chars = (char_counts(a, config), char_counts(b, config)) if config.threshold <= config.char_weight else None
+    pairs = candidate_pairs(word_counts(a, config), word_counts(b, config), config, chars)
+    found = _score_pairs(pairs, a, b, config, True).where(F.col("score") >= F.lit(config.threshold))
+    return spread_pairs(found, *first, *every)
+
+
+def word_pairs(left: DataFrame, right: DataFrame, config: Config = Config(), least: float | None = None) -> DataFrame:
+    """``l, r`` of ``candidate_pairs`` of ``id, text`` rows; with ``least`` those of at least that cosine ``word``. Copies are compared once."""
+    every = streams(left), streams(right)
+    first = likely_firsts(*every, *config.word_range, config.prefix_share(config.least_word_cosine))
+    a, b = (word_counts(texts_of(x, f), config) for x, f in zip((left, right), first, strict=True))
+    found = candidate_pairs(a, b, config)
+    if least is not None:
+        found = pair_cosine(keep(found, "pairs"), a, b, "word").where(F.col("word") >= least)
+    return spread_pairs(found, *first, *every)

@@ -33,8 +33,9 @@ def chunked(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks of both sides, cut once for the several joins of a query."""
-    return keep(chunked(spark, sf_dir, "documents", "doc_id"), "chunks"), keep(chunked(spark, sf_dir, "benchmark", "item_id"), "chunks")
+    """Chunks of both sides with the columns that matching needs, cut once for the several joins of a query."""
+    columns = "id", "doc_id", "content", "char_start", "char_end"
+    return tuple(keep(chunked(spark, sf_dir, table, key).select(*columns), "chunks") for table, key in (("documents", "doc_id"), ("benchmark", "item_id")))
 
 
 def as_text(rows: DataFrame) -> DataFrame:
@@ -94,13 +95,12 @@ def word_overlap(spark, sf_dir):
 
 def candidate_pairs(spark, sf_dir):
     left, right = sides(spark, sf_dir)
-    return S.candidate_pairs(S.word_counts(as_text(left)), S.word_counts(as_text(right)))
+    return S.word_pairs(as_text(left), as_text(right))
 
 
 def word_cosine(spark, sf_dir):
-    left, right = (S.word_counts(as_text(x)) for x in sides(spark, sf_dir))
-    scored = S.pair_cosine(S.candidate_pairs(left, right), left, right, "word")
-    return scored.where("word >= 0.5").select("l", "r", F.round("word", 8).alias("word"))
+    left, right = sides(spark, sf_dir)
+    return S.word_pairs(as_text(left), as_text(right), least=0.5).select("l", "r", F.round("word", 8).alias("word"))
 
 
 def hybrid_scores(spark, sf_dir):
