@@ -57,6 +57,17 @@ def test_copies_are_matched_once_and_lose_no_pair(spark, kept):
     assert kept["pairs"] == once["pairs"] and kept["prefixes"] == once["prefixes"] and kept["scored"] == once["scored"]
 
 
+def test_copies_have_the_blocks_of_the_first(spark, kept):
+    left, right = (df.withColumnRenamed("text", "content") for df in frames(spark))
+    pairs = left.select(F.col("id").alias("l")).crossJoin(right.select(F.col("id").alias("r")))
+    want = sorted(map(tuple, blocks.token_blocks(pairs, left, right).collect()))
+    spans = kept["spans"]
+    kept.clear()
+    found = blocks.token_blocks(copied(pairs, 5, "l"), copied(left, 5), right)
+    assert sorted(map(tuple, found.collect())) == sorted((a + 1000 * i, *x) for a, *x in want for i in range(5))
+    assert want and kept["spans"] == spans
+
+
 def test_only_texts_that_hold_enough_pass(spark, monkeypatch):
     left, right = (S.streams(df) for df in frames(spark))
 

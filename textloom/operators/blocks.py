@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.similarity import by_firsts, small
 from textloom.tables import dealt, keep
 
 #: Token pairs of a window that one row may compare by itself; larger windows go by joins.
@@ -188,9 +189,16 @@ def token_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame, cells: int
     sequences are one block. In windows of at most ``cells`` token pairs a row
     compares its own tokens; larger ones are split by joins over names of
     their tokens, in space that grows with their lengths, until what is left
-    is small. Repeated pairs count once; pairs with a text without words, null
-    or missing have no block.
+    is small. Pairs of the same two contents are compared once. Repeated pairs
+    count once; pairs with a text without words, null or missing have no block.
     """
+    named, left, right = by_firsts(pairs.select("l", "r").distinct(), left, right, lambda texts: texts["content"])
+    found = _token_blocks(named.select(F.col("l0").alias("l"), F.col("r0").alias("r")).distinct(), left, right, cells, rounds)
+    found = keep(found, "found").withColumnsRenamed({"l": "l0", "r": "r0"})
+    return named.join(small(found), ["l0", "r0"]).drop("l0", "r0")
+
+
+def _token_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame, cells: int, rounds: int) -> DataFrame:
     a, b = (keep(token_spans(c.join(pairs.select(F.col(n).alias("id")).distinct(), "id", "left_semi")), "spans") for c, n in ((left, "l"), (right, "r")))
     both = pairs.select("l", "r").distinct().join(a.withColumnRenamed("id", "l").withColumnRenamed("spans", "ls"), "l").join(b.withColumnRenamed("id", "r").withColumnRenamed("spans", "rs"), "r")
     same, few = _tokens("ls") == _tokens("rs"), F.size("ls").cast("long") * F.size("rs") <= cells
@@ -202,12 +210,12 @@ def token_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame, cells: int
     blocks = blocks.union(_by_row(rows, rounds).select(*key, *ranges, "i", "j", "size"))
     long = both.where("kind = 'long'")
     if not long.isEmpty():
-        found, small = _by_joins(long.select(*key, F.size("ls").alias("m"), F.size("rs").alias("n")), a, b, cells)
+        found, rest = _by_joins(long.select(*key, F.size("ls").alias("m"), F.size("rs").alias("n")), a, b, cells)
 
         def piece(spans: str, low: str, high: str) -> Column:
             return F.transform(F.slice(spans, F.col(low) + 1, F.col(high) - F.col(low)), lambda s: s["token"])
 
-        parts = small.join(long, key).select(*key, "alo", "blo", piece("ls", "alo", "ahi").alias("a"), piece("rs", "blo", "bhi").alias("b"))
+        parts = rest.join(long, key).select(*key, "alo", "blo", piece("ls", "alo", "ahi").alias("a"), piece("rs", "blo", "bhi").alias("b"))
         parts = _by_row(parts, rounds).select(*key, (F.col("i") + F.col("alo")).alias("i"), (F.col("j") + F.col("blo")).alias("j"), "size")
         blocks = blocks.union(found.union(parts).join(long, key).select(*key, *ranges, "i", "j", "size"))
 

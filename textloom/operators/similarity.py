@@ -80,7 +80,7 @@ def by_firsts(pairs: DataFrame, left: DataFrame, right: DataFrame, key: Callable
         some.append(texts_of(texts, first))
         alike = keep(rows.join(small(first.withColumnRenamed("id", f"{side}0")), "stream").select(F.col("id").alias(side), f"{side}0"), "alike")
         named = named.join(small(alike), side)
-    return keep(named, "named"), *some
+    return keep(named.select("l", "r", "l0", "r0"), "named"), *some
 
 
 def gram_counts(texts: DataFrame, grams: Column) -> DataFrame:
