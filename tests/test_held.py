@@ -83,3 +83,19 @@ def test_only_texts_that_hold_enough_pass(spark, monkeypatch):
         got = held.likely(left, held.gram_map(right, low, high), low, high, 0.4, squares)
         assert {r["id"] for r in got.collect()} == want
     assert 0 < len(want) < len(texts)
+
+
+def test_index_matches_copies_once(spark, tmp_path, kept):
+    left, right = frames(spark)
+    index = SourceIndex(spark, str(tmp_path / "i"), buckets=2)
+    chunks = right.select("id", F.col("id").alias("source_id"), F.col("text").alias("content"), F.lit(0).cast("long").alias("char_start"))
+    index.create(chunks.where("id < 6"))
+    index.merge(chunks.where("id >= 6"))
+    want = pairs_of(S.match_pairs(left, right))
+    kept.clear()
+    assert pairs_of(index.match(left.withColumnRenamed("text", "content"))[0]) == want
+    once = kept["pairs"]
+    kept.clear()
+    found, _ = index.match(copied(left, 5).withColumnRenamed("text", "content"))
+    assert pairs_of(found) == sorted((a + 1000 * i, b, x) for a, b, x in want for i in range(5))
+    assert kept["pairs"] == once

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.config import Config
+from textloom.operators import held
 from textloom.operators import similarity as S
 from textloom.tables import keep
 
@@ -57,8 +58,18 @@ class SourceIndex:
         kinds = [(name, kind) for name, kind in chunks.select("id", "source_id").dtypes]
         self.spark.createDataFrame(kinds, "name string, kind string").coalesce(1).write.parquet(f"{self.path}/kinds")
         S.sketch(S.word_counts(_texts(chunks), self.config), cells).coalesce(1).write.parquet(f"{self.path}/order")
+        self.spark.createDataFrame([], held.MAP).coalesce(1).write.parquet(f"{self.path}/held")
         self.merge(chunks)
 
+    def _held(self) -> DataFrame | None:
+        """The bits of all grams that any chunk ever stored holds; none for an index made before there were any."""
+        try:
+            return held.merged(self.spark.read.schema(held.MAP).parquet(f"{self.path}/held"))
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+
     def _last(self) -> int:
         try:
             commits = self.spark.read.parquet(f"{self.path}/commits")
@@ -83,6 +94,8 @@ class SourceIndex:
         live = self.live() if last else None
         if chunks is not None:
             chunks = keep(chunks.select(*_CHUNKS), "delta")
+            if self._held() is not None:
+                held.gram_map(S.firsts(S.streams(_texts(chunks))), *self.config.word_range).coalesce(1).write.mode("append").parquet(f"{self.path}/held")
             order = self.spark.read.parquet(f"{self.path}/order")
             rows = S.prefixes(S.word_counts(_texts(chunks), self.config), order, self.share).join(chunks.select("id", "source_id"), "id")
             rows.select("gram", "id", "source_id", F.lit(version).alias("version")).repartition(self.buckets, "gram").write.insertInto(postings)
@@ -112,13 +125,20 @@ class SourceIndex:
     def match(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Scored pairs of document chunks with the index, at or above the threshold, and the stored chunks met.
 
-        As ``similarity.match_pairs`` with all chunks that count.
+        As ``similarity.match_pairs`` with all chunks that count. Chunks of the
+        same words are matched once, and only those that hold enough grams of
+        the index are dealt.
         """
-        pairs = keep(self.candidates(documents), "pairs")
+        texts, known = _texts(documents), self._held()
+        every = S.streams(texts)
+        first = S.firsts(every)
+        first = keep(first if known is None else held.likely(first, known, *self.config.word_range, self.share), "firsts")
+        some = S.texts_of(texts, first)
+        pairs = keep(self.candidates(some.withColumnRenamed("text", "content")), "pairs")
         wanted = pairs.select(F.col("r").alias("id"), "version").distinct()
         met = keep(self.spark.table(self._tables()[1]).join(wanted, ["id", "version"], "left_semi").select(*_CHUNKS), "met")
-        scored = S.score_pairs(pairs, _texts(documents), _texts(met), self.config)
-        return scored.where(F.col("score") >= F.lit(self.config.threshold)), met
+        scored = S._score_pairs(pairs.select("l", "r"), some, _texts(met), self.config, True).where(F.col("score") >= F.lit(self.config.threshold))
+        return S.spread(keep(scored, "found"), "l", first, every), met
 
 
 def _texts(chunks: DataFrame) -> DataFrame:
