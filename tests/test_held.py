@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from textloom.operators import blocks, held
 from textloom.operators import similarity as S
 from textloom.operators.index import SourceIndex
+from textloom.plans import texts as plans
 
 WORDS = "ada elma su yol ev göl taş kuş".split()
 
@@ -99,3 +100,15 @@ def test_index_matches_copies_once(spark, tmp_path, kept):
     found, _ = index.match(copied(left, 5).withColumnRenamed("text", "content"))
     assert pairs_of(found) == sorted((a + 1000 * i, b, x) for a, b, x in want for i in range(5))
     assert kept["pairs"] == once
+
+
+def test_only_chunks_that_can_match_are_kept(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    every = plans.chunked(spark, sf_dir, "documents", "doc_id").select("id", "doc_id", "content", "char_start", "char_end")
+    for overlap in (None, 0.5):
+        left, right = plans.sides(spark, sf_dir, overlap)
+        assert 0 < left.count() < every.count() / 2
+        assert left.exceptAll(every).isEmpty()
+        match = S.match_pairs if overlap is None else lambda a, b: S.overlap_pairs(a, b, 0.5)
+        want = pairs_of(match(plans.as_text(every), plans.as_text(right)))
+        assert want and pairs_of(match(plans.as_text(left), plans.as_text(right))) == want

@@ -1,3 +1,4 @@
+import random
 import unicodedata
 from decimal import Decimal
 
@@ -84,3 +85,12 @@ def test_blanks_and_ends_of_lines(spark):
     cases = [("  a \t b\u3000c  \n \n x ", "a b c\n\nx"), ("\n\n \r\n q\xa0", "q"), (" ", ""), ("a  ", "a"), ("a \u2028 b", "a b")]
     got = {r["t"]: r["n"] for r in spark.createDataFrame([(t,) for t, _ in cases], "t string").select("t", T.normalize_text(F.col("t")).alias("n")).collect()}
     assert got == dict(cases)
+
+
+def test_texts_left_alone_are_those_that_normalizing_keeps(spark):
+    rng = random.Random(3)
+    signs = ["a", "b", " ", "\n", "\r", "\t", "\x85", "\xa0", "\xad", "é", "ſ", "ΰ", "͸", " ", "…", "”", " ", " ", "語", "\U0001f600", "\U000e0001"]
+    rows = [("".join(rng.choice(signs[: rng.choice((4, 6, 21))]) for _ in range(rng.randrange(7))),) for _ in range(3000)] + [(None,)]
+    out = spark.createDataFrame(rows, "t string").select("t", T.normalize_text(F.col("t")).alias("got"), T._normalized(F.col("t")).alias("want")).collect()
+    assert not [r for r in out if r["got"] != r["want"]]
+    assert sum(r["t"] == r["want"] for r in out) > 100

@@ -6,6 +6,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,8 +54,20 @@ def nfc(df: DataFrame, column: str) -> DataFrame:
     return df.where(~maybe).unionByName(df.where(maybe).withColumn(column, F.pandas_udf(compose, "string")(column)))
 
 
+#: Control characters and blanks that ``normalize_text`` changes, and whatever else may be one; common punctuation is left out.
+_MAYBE_ODD = r"[\x00-\x09\x0b-\x1f\x7f-\xa0\xad\x{378}-\x{200f}\x{2028}-\x{10ffff}]"
+
+
 def normalize_text(text: Column) -> Column:
     """One kind of line end and blank, no control characters, stripped lines and text. Expects NFC."""
+    # most texts are normal already, and looking is many times cheaper than replacing
+    doubled = (F.contains(text, F.lit(s)) for s in ("  ", " \n", "\n "))
+    ends = (f(text, F.lit(s)) for f in (F.startswith, F.endswith) for s in (" ", "\n"))
+    changes = reduce(Column.__or__, (*doubled, *ends, text.rlike(_MAYBE_ODD)))
+    return F.when(changes, _normalized(text)).otherwise(text)
+
+
+def _normalized(text: Column) -> Column:
     text = F.regexp_replace(text, r"\r\n?", "\n")
     text = F.regexp_replace(text, r"[\p{C}&&[^\n]]", " ")
     # single spaces, nearly all blanks, are left alone

@@ -77,7 +77,7 @@ def merged(parts: DataFrame) -> DataFrame:
 
 
 def likely(texts: DataFrame, held: DataFrame, low: int, high: int, share: float, squares: bool = True) -> DataFrame:
-    """``id, stream`` rows of which grams in the map ``held`` have at least ``share`` of all: of the sum of squared counts, or of the distinct grams."""
+    """Rows with a ``stream`` of which grams in the map ``held`` have at least ``share`` of all: of the sum of squared counts, or of the distinct grams."""
     known = held.toArrow()
     bits = np.zeros(BITS >> 6, np.uint64)
     bits[known.column("place").to_numpy()] = known.column("bits").to_numpy().view(np.uint64)
@@ -102,4 +102,4 @@ def likely(texts: DataFrame, held: DataFrame, low: int, high: int, share: float,
                 longer = step.num_rows == 1 and pc.binary_length(step.column("stream"))[0].as_py() > STEP
                 yield step if longer else step.filter(pa.array(passes(step.column("stream"))))
 
-    return texts.select("id", "stream").mapInArrow(go, f"id {dict(texts.dtypes)['id']}, stream string")
+    return texts.mapInArrow(go, texts.schema)

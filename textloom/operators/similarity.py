@@ -53,6 +53,20 @@ def likely_firsts(left: DataFrame, right: DataFrame, low: int, high: int, share:
     return keep(likely(a, gram_map(b, low, high), low, high, share, squares) if share > 0 else a, "firsts"), b
 
 
+def matchable(left: DataFrame, right: DataFrame, low: int, high: int, share: float, squares: bool = True) -> DataFrame:
+    """The rows of ``left`` (``content``, any columns) that hold enough grams of ``right`` (``id, content``) for any match, or all at a share of 0.
+
+    Told where the rows are made, before anything is written or shuffled: all
+    that follows reads these rows alone. Copies pass or fail together.
+    """
+    if share <= 0:
+        return left
+    there = streams(right.select("id", F.col("content").alias("text")))
+    # no filter on the stream here: it would be computed twice, and one without words holds no gram
+    named = left.withColumn("stream", F.coalesce(T.char_stream(F.col("content")), F.lit("")))
+    return likely(named, gram_map(there, low, high), low, high, share, squares).drop("stream")
+
+
 def texts_of(texts: DataFrame, some: DataFrame) -> DataFrame:
     """The rows of ``texts`` whose id is among ``some``, kept."""
     return keep(texts.join(small(some.select("id")), "id", "left_semi"), "texts")

@@ -32,10 +32,16 @@ def chunked(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame
     return chunks.chunk_corpus(parts).withColumn("id", F.col("doc_id") * 1_000_000 + F.col("chunk_index"))
 
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks of both sides with the columns that matching needs, cut once for the several joins of a query."""
-    columns = "id", "doc_id", "content", "char_start", "char_end"
-    return tuple(keep(chunked(spark, sf_dir, table, key).select(*columns), "chunks") for table, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+def sides(spark: SparkSession, sf_dir: str, overlap: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks of both sides with the columns that matching needs, cut once for the several joins of a query.
+
+    Chunks of documents that no chunk of the corpus can match, by the word
+    cosine of a match or by an ``overlap`` of words, are not kept.
+    """
+    left, right = (chunked(spark, sf_dir, table, key).select("id", "doc_id", "content", "char_start", "char_end") for table, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+    right, config = keep(right, "chunks"), Config()
+    bound = (*config.word_range, config.prefix_share(config.least_word_cosine)) if overlap is None else (1, 1, overlap, False)
+    return keep(S.matchable(left, right, *bound), "chunks"), right
 
 
 def as_text(rows: DataFrame) -> DataFrame:
@@ -89,7 +95,7 @@ def corpus_tfidf(spark, sf_dir):
 
 
 def word_overlap(spark, sf_dir):
-    left, right = sides(spark, sf_dir)
+    left, right = sides(spark, sf_dir, overlap=0.5)
     return S.overlap_pairs(as_text(left), as_text(right), 0.5)
 
 
