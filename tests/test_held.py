@@ -112,3 +112,17 @@ def test_only_chunks_that_can_match_are_kept(spark):
         match = S.match_pairs if overlap is None else lambda a, b: S.overlap_pairs(a, b, 0.5)
         want = pairs_of(match(plans.as_text(every), plans.as_text(right)))
         assert want and pairs_of(match(plans.as_text(left), plans.as_text(right))) == want
+
+
+def test_pairs_below_the_cosine_are_told_without_grams(spark, kept):
+    left, right = frames(spark)
+    a, b = S.streams(left), S.streams(right)
+    every = a.select(F.col("id").alias("l"), F.col("stream").alias("ls")).crossJoin(b.select(F.col("id").alias("r"), F.col("stream").alias("rs")))
+    exact = S.pair_cosine(every.select("l", "r"), S.word_counts(left), S.word_counts(right), "word").collect()
+    for least in (0.1, 0.5, 1.0):
+        got = {tuple(r) for r in held.reaching(every, 1, 3, S.K2, least).collect()}
+        assert got == {(r["l"], r["r"]) for r in exact if r["word"] >= least} and got
+    # more kinds of grams than 64 bits tell apart: nothing is left out
+    assert held.reaching(every, 1, 40, S.K2, 1.0).count() == every.count()
+    want = pairs_of(S.match_pairs(left, right))
+    assert want and kept["pairs"] < kept["candidates"]

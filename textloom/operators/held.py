@@ -103,3 +103,69 @@ def likely(texts: DataFrame, held: DataFrame, low: int, high: int, share: float,
                 yield step if longer else step.filter(pa.array(passes(step.column("stream"))))
 
     return texts.mapInArrow(go, texts.schema)
+
+
+def _exact_grams(sides: tuple[pa.Array, ...], low: int, high: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+    """As ``_grams`` for several columns of texts, by numbers that equal grams alone share; and whether 64 bits suffice for them."""
+    cut = [pc.split_pattern(x, " ") for x in sides]
+    coded = pa.concat_arrays([c.flatten() for c in cut]).dictionary_encode()
+    base = len(coded.dictionary) + 1
+    if base**high >= 1 << 63:
+        return [], False
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    out, at = [], 0
+    for c in cut:
+        length = pc.list_value_length(c).to_numpy(zero_copy_only=False)
+        row, word = np.repeat(np.arange(len(c)), length), codes[at : at + length.sum()]
+        at += len(word)
+        rows, names, name = [], [], word
+        for n in range(1, high + 1):
+            if n > 1:
+                # without a zero digit, numbers of unlike lengths differ
+                name = name[:-1] * base + word[n - 1 :]
+            if n >= low:
+                whole = row[: len(name)] == row[n - 1 : n - 1 + len(name)]
+                rows.append(row[: len(name)][whole])
+                names.append(name[whole])
+        out.append((np.concatenate(rows), np.concatenate(names)))
+    return out, True
+
+
+def reaching(pairs: DataFrame, low: int, high: int, k2: float, least: float) -> DataFrame:
+    """``l, r`` of rows ``l, r, ls, rs`` (ids and streams) whose pair-fitted cosine of grams is ``least`` or more but for rounding.
+
+    Longer texts than ``STEP``, and batches whose grams no 64-bit number tells
+    apart, pass as they are.
+    """
+
+    def passes(left: pa.Array, right: pa.Array) -> np.ndarray:
+        grams, fits = _exact_grams((left, right), low, high)
+        if not fits:
+            return np.ones(len(left), bool)
+        row, name = (np.concatenate(x) for x in zip(*grams, strict=True))
+        if not len(row):
+            return np.zeros(len(left), bool)
+        mine = np.arange(len(row)) < len(grams[0][0])
+        order = np.lexsort((name, row))
+        row, name, mine = row[order], name[order], mine[order]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (name[1:] != name[:-1])))
+        ta, tb = (np.add.reduceat(x.astype(float), first) for x in (mine, ~mine))
+        row, both = row[first], (ta > 0) & (tb > 0)
+        na, nb, sa, sb, dot = (np.bincount(row, w, len(left)) for w in (ta * ta, tb * tb, ta * ta * both, tb * tb * both, ta * tb))
+        norm = (k2 * na - (k2 - 1) * sa) * (k2 * nb - (k2 - 1) * sb)
+        return (dot > 0) & (dot * dot >= least * least * norm * (1 - 1e-9))
+
+    def go(batches):
+        for batch in batches:
+            size = [pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("ls", "rs")]
+            ends, at = np.cumsum(size[0] + size[1]), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, "right")))
+                step = batch.slice(at, end - at)
+                if end > at + 1 or ends[at] - (ends[at - 1] if at else 0) <= STEP:
+                    step = step.filter(pa.array(passes(step.column("ls"), step.column("rs"))))
+                yield step.select(["l", "r"])
+                at = end
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select("l", "r", "ls", "rs").mapInArrow(go, f"l {kinds['l']}, r {kinds['r']}")

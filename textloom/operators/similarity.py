@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import Config
 from textloom.functions import text as T
-from textloom.operators.held import gram_map, likely
+from textloom.operators.held import gram_map, likely, reaching
 from textloom.tables import dealt, keep
 
 K2 = (math.log(1.5) + 1) ** 2
@@ -280,6 +280,15 @@ def _exact(score: Column) -> Column:
     return score.cast("string").cast("decimal(38,18)")
 
 
+def with_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Config, least: float) -> DataFrame:
+    """The ``pairs`` whose word cosine is ``least`` or more but for rounding, told from the texts' ``id, stream`` without a row per gram."""
+    if least <= 0:
+        return pairs
+    a, b = (x.select(F.col("id").alias(i), F.col("stream").alias(f"{i}s")) for x, i in ((left, "l"), (right, "r")))
+    texts = keep(pairs, "candidates").join(small(b), "r").join(small(a), "l")
+    return reaching(texts, *config.word_range, K2, least)
+
+
 def hybrid_score(word: Column, char: Column, overlap: Column, config: Config = Config()) -> Column:
     """Weighted sum of the signals in exact decimals, within [0, 1]."""
     def part(signal: Column, weight) -> Column:
@@ -320,6 +329,9 @@ def _score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Co
 
     a, b = met(left, pairs, "l"), met(right, pairs, "r")
     scored = pair_cosine(pairs, word_counts(a, config), word_counts(b, config), "word")
+    if prune:
+        # before words are compared, which costs more than to look at the cosine
+        scored = keep(scored.where(hybrid_score(F.col("word"), F.lit(1.0), F.lit(1.0), config) >= F.lit(config.threshold)), "cosines")
     a = a.select(F.col("id").alias("l"), F.array_distinct(T.words(F.col("text"))).alias("wl"))
     b = b.select(F.col("id").alias("r"), F.array_distinct(T.words(F.col("text"))).alias("wr"))
     scored = scored.join(a, "l").join(b, "r").withColumn("overlap", word_overlap(F.col("wl"), F.col("wr"))["score"]).drop("wl", "wr")
@@ -348,6 +360,7 @@ def match_pairs(left: DataFrame, right: DataFrame, config: Config = Config()) ->
     a, b = texts_of(left, first[0]), texts_of(right, first[1])
     chars = (char_counts(a, config), char_counts(b, config)) if config.threshold <= config.char_weight else None
     pairs = candidate_pairs(word_counts(a, config), word_counts(b, config), config, chars)
+    pairs = with_cosine(pairs, *first, config, config.least_word_cosine)
     found = _score_pairs(pairs, a, b, config, True).where(F.col("score") >= F.lit(config.threshold))
     return spread_pairs(found, *first, *every)
 
@@ -359,5 +372,8 @@ def word_pairs(left: DataFrame, right: DataFrame, config: Config = Config(), lea
     a, b = (word_counts(texts_of(x, f), config) for x, f in zip((left, right), first, strict=True))
     found = candidate_pairs(a, b, config)
     if least is not None:
-        found = pair_cosine(keep(found, "pairs"), a, b, "word").where(F.col("word") >= least)
+        # few pairs are left, so grams are counted for their texts alone
+        found = keep(with_cosine(found, *first, config, least), "pairs")
+        a, b = (word_counts(texts_of(x, found.select(F.col(i).alias("id")).distinct()), config) for x, i in ((left, "l"), (right, "r")))
+        found = pair_cosine(found, a, b, "word").where(F.col("word") >= least)
     return spread_pairs(found, *first, *every)
