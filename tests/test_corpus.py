@@ -145,3 +145,14 @@ def test_quota_of_a_stream_equals_its_batch(spark, tmp_path):
     query.awaitTermination(120)
     last = {(r["window_start"], r["user_id"]): (r["n"], r["over"]) for r in spark.table("quota_rows").collect()}
     assert last == {(r["window_start"], r["user_id"]): (r["n"], r["over"]) for r in lifecycle.quota(events, most=8).collect()} and any(over for _, over in last.values())
+
+
+def test_sources_are_digested_once(spark):
+    raw = spark.createDataFrame([(i, f"Metin {i % 3}.".encode()) for i in range(6)], "source_id long, content binary").select(
+        "*", F.lit("a.txt").alias("filename"), F.lit("text/plain").alias("content_type"), F.octet_length("content").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.lit("t").alias("title"),
+        F.lit(None).cast("date").alias("license_valid_from"), F.lit(None).cast("date").alias("license_valid_until"),
+    )
+    rows, cut = corpus.ingest_sources(raw, raw.where("source_id = 1").select("sha256"), ["title"], [])
+    for df in (rows, cut.select("source_id", "content")):
+        assert "sha2(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["source_id"], r["code"], r["chunks"]) for r in rows.collect()) == [(i, None, 1) if i in (0, 2) else (i, "duplicate", None) for i in range(6)]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import chunks, lifecycle
+from textloom.operators.similarity import small
 from textloom.sources import files
+from textloom.tables import dealt, keep
 
 
 def filter_sources(sources: DataFrame, status: str | None = None, license_status: str | None = None) -> DataFrame:
@@ -23,8 +25,13 @@ def scan_order(source_chunks: DataFrame) -> DataFrame:
 
 
 def chunk_sources(contents: DataFrame) -> DataFrame:
-    """Chunks of ``source_id, content``: decoded, normalized and cut, with the source's id."""
-    texts = T.nfc(files.decode_text(contents).where("decode_error is null"), "text").select(F.col("source_id").alias("doc_id"), T.normalize_text(F.col("text")).alias("text"))
+    """Chunks of ``source_id, content``: decoded, normalized and cut, with the source's id.
+
+    Contents are looked at several times, so they should be rows of a table.
+    """
+    texts = T.nfc(files.decode_text(contents).where("decode_error is null"), "text").select(F.col("source_id").alias("doc_id"), "text")
+    # dealt before they are cut, so that few large row groups keep all tasks busy
+    texts = dealt(texts, "doc_id").withColumn("text", T.normalize_text(F.col("text")))
     parts = texts.withColumns({"part_no": F.lit(0), "page_number": F.lit(None).cast("int")})
     return chunks.chunk_corpus(parts).withColumnRenamed("doc_id", "source_id")
 
@@ -50,12 +57,13 @@ def ingest_sources(raw: DataFrame, known: DataFrame, required: list[str], option
     admitted = lifecycle.admission_code(F.col("filename"), F.col("content_type"), F.col("content"))
     intact = (F.octet_length("content") == F.col("size_bytes")) & (F.sha2("content", 256) == F.col("sha256"))
     refused = F.coalesce("reject", F.nullif(admitted, F.lit("accepted")), F.when(~F.coalesce(intact, F.lit(False)), "checksum_mismatch"))
-    checked = clean.withColumn("code", refused)
+    # digests and samples are told once; the digests, the rows and the texts are read from this table
+    checked = keep(clean.withColumn("code", refused), "checked")
     # only digests are compared, not contents
     sound = checked.where("code is null").select("source_id", "sha256").join(known.select("sha256").distinct().withColumn("held", F.lit(True)), "sha256", "left")
     first = F.min("source_id").over(Window.partitionBy("sha256"))
     twice = sound.withColumn("first", first).where("held or source_id <> first").select("source_id", F.lit("duplicate").alias("again"))
-    rows = checked.join(twice, "source_id", "left").withColumn("code", F.coalesce("code", "again")).drop("again", "reject")
+    rows = checked.join(small(keep(twice, "again")), "source_id", "left").withColumn("code", F.coalesce("code", "again")).drop("again", "reject")
     cut = chunk_sources(rows.where("code is null").select("source_id", "content"))
     return _finished(rows.drop("content"), cut), cut
 
@@ -70,7 +78,7 @@ def reindex_sources(sources: DataFrame, wanted: DataFrame) -> tuple[DataFrame, D
     rows = sources.join(wanted.select("source_id").distinct(), "source_id", "left_semi")
     intact = (F.octet_length("content") == F.col("size_bytes")) & (F.sha2("content", 256) == F.col("sha256"))
     code = F.when(F.col("status") == "disabled", "source_disabled").when(F.col("status") == "processing", "source_busy").when(~F.coalesce(intact, F.lit(False)), "checksum_mismatch")
-    rows = rows.withColumn("code", code)
+    rows = keep(rows.withColumn("code", code), "checked")
     cut = chunk_sources(rows.where("code is null").select("source_id", "content"))
     return _finished(rows.drop("content", "status"), cut), cut
 
