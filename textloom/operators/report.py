@@ -182,6 +182,8 @@ def evidence_report(rows: DataFrame, source_id: int | None = None, minimum: floa
     ``rows`` as of ``evidence_join`` with ``score``, the range ``start, end``
     in the document and ``chunk_start, content`` of its chunk.
     """
+    # both counts and the page read them
+    rows = keep(rows, "evidence")
     kept = filter_matches(rows, source_id, minimum)
     totals = rows.agg(F.count("*").alias("total")).crossJoin(kept.agg(F.count("*").alias("filtered"), F.count_distinct("source_id").alias("sources")))
     text = T.text_slice(F.col("content"), F.col("chunk_start"), F.col("start"), F.col("end"))
