@@ -53,6 +53,21 @@ def test_pages_by_key_equal_pages_by_offset(spark, tmp_path):
     assert report.next_page(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_small_files_of_a_report_are_bounded(spark, tmp_path):
+    assert [report.report_files(n, 50) for n in (0, 1, 120, 3200, 10**6, 2**24, 2**25)] == [1, 1, 3, 64, 64, 64, 128]
+    assert report.report_files(2**26, 2**20) == 64 and report.report_files(2**30, 2**20) == 1024
+    matches = spark.range(20_000).select(F.concat(F.lit("m"), "id").alias("match_id"), F.lit(1).alias("source_id"), (F.col("id") * 7919 % 1009 / 1009).alias("score"), (F.col("id") % 13).alias("start"))
+    path = str(tmp_path / "report")
+    report.store_report(matches, path, rows=10)
+    files = spark.read.parquet(f"{path}/files")
+    assert files.count() <= report.REPORT_FILES and files.agg(F.sum("n")).first()[0] == 20_000
+    want, after = [tuple(r) for r in report.evidence_page(matches, 0, 60).collect()], None
+    for at in (0, 20, 40):
+        page = [tuple(r) for r in report.next_page(spark, path, after).collect()]
+        assert page == want[at : at + 20]
+        after = page[-1][2], page[-1][3], page[-1][0]
+
+
 def test_a_sweep_is_written_and_read_back(spark, tmp_path):
     rows = [(i, (i * 37 % 101) / 101, "match" if i % 3 else "no_match") for i in range(60)]
     scored = spark.createDataFrame(rows, "case_id int, score double, label string")

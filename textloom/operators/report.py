@@ -12,8 +12,8 @@ from textloom.tables import keep
 
 #: Ranges of one key that one task merges at most.
 HEAVY = 1 << 20
-#: Rows of a file of a stored report, about.
-REPORT_ROWS = 1 << 18
+#: Rows of a file of a stored report, about, and files that files of fewer rows may come to.
+REPORT_ROWS, REPORT_FILES = 1 << 18, 64
 
 
 def islands(ranges: DataFrame, key: str, start: str = "start", end: str = "end", merge_adjacent: bool = True, heavy: int = HEAVY) -> DataFrame:
@@ -110,15 +110,21 @@ def _place(row: tuple | None = None) -> Column:
     return F.struct((-score.cast("double")).alias("score"), start.cast("long").alias("start"), match_id.cast("string").alias("match_id"))
 
 
+def report_files(n: int, rows: int = REPORT_ROWS) -> int:
+    """Files of a stored report of ``n`` rows: of ``rows`` each, or of up to ``REPORT_ROWS`` where those would be more than ``REPORT_FILES``."""
+    return max(1, min(-(-n // rows), max(REPORT_FILES, -(-n // REPORT_ROWS))))
+
+
 def store_report(matches: DataFrame, path: str, rows: int = REPORT_ROWS) -> None:
     """Write evidence in the order of its pages, with the bounds of every file.
 
     The list of files is written last. ``matches``: ``match_id, source_id,
-    score, start, ...``; match ids are unique.
+    score, start, ...``; match ids are unique. See ``report_files`` for
+    ``rows``: a file costs as much time as thousands of rows.
     """
     matches = keep(matches, "report")
     order = [F.desc("score"), "start", "match_id"]
-    sorted_rows = matches.repartitionByRange(max(1, -(-matches.count() // rows)), *order).sortWithinPartitions(*order)
+    sorted_rows = matches.repartitionByRange(report_files(matches.count(), rows), *order).sortWithinPartitions(*order)
     sorted_rows.write.mode("overwrite").parquet(f"{path}/rows")
     stored = matches.sparkSession.read.schema(matches.schema).parquet(f"{path}/rows")
     bounds = stored.groupBy(F.input_file_name().alias("file")).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.count("*").alias("n"))
