@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import blocks, held
+from textloom.operators import blocks, evidence, held
 from textloom.operators import similarity as S
 from textloom.operators.index import SourceIndex
 from textloom.plans import texts as plans
@@ -126,3 +126,16 @@ def test_pairs_below_the_cosine_are_told_without_grams(spark, kept):
     assert held.reaching(every, 1, 40, S.K2, 1.0).count() == every.count()
     want = pairs_of(S.match_pairs(left, right))
     assert want and kept["pairs"] < kept["candidates"]
+
+
+def test_a_replay_weighs_known_signals(spark, kept):
+    left, right = frames(spark)
+    snapshot = {"algorithm_version": "hybrid-v1", "word_tfidf_weight": "0.50", "character_tfidf_weight": "0.30", "word_overlap_weight": "0.20", "similarity_threshold": "0.8000"}
+    found = S.keep(S.match_pairs(left, right), "matches")
+    want = pairs_of(evidence.replay_snapshot(found.select("l", "r"), left, right, snapshot))
+    kept.clear()
+    got = pairs_of(evidence.replay_snapshot(found, left, right, snapshot))
+    assert not kept and want and got == want
+    # signals of other grams are told anew
+    evidence.replay_snapshot(found, left, right, snapshot, S.Config(word_range=(1, 2)))
+    assert "scored" in kept

@@ -46,7 +46,15 @@ def match_evidence(documents: DataFrame, sources: DataFrame, config: Config = Co
     )
 
 
-def replay_snapshot(pairs: DataFrame, left: DataFrame, right: DataFrame, snapshot: dict[str, str]) -> DataFrame:
-    """Rescore pairs under the settings stored with an earlier run."""
+def replay_snapshot(pairs: DataFrame, left: DataFrame, right: DataFrame, snapshot: dict[str, str], known: Config = Config()) -> DataFrame:
+    """Rescore pairs under the settings stored with an earlier run.
+
+    Pairs that carry their signals ``word, char, overlap``, told by the gram
+    ranges of ``known``, are weighed anew if the stored run had the same ranges; for pairs of ids alone they are found first.
+    """
     config = Config.from_snapshot(snapshot)
-    return S.score_pairs(pairs, left, right, config, prune=False).where(F.col("score") >= F.lit(config.threshold))
+    if {"word", "char", "overlap"} <= set(pairs.columns) and (config.word_range, config.char_range) == (known.word_range, known.char_range):
+        found = pairs.select("l", "r", "word", "char", "overlap", S.hybrid_score(F.col("word"), F.col("char"), F.col("overlap"), config).alias("score"))
+    else:
+        found = S.score_pairs(pairs, left, right, config, prune=False)
+    return found.where(F.col("score") >= F.lit(config.threshold))

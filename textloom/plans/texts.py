@@ -126,7 +126,7 @@ def snapshot_replay(spark, sf_dir):
     """The pairs of the present profile, rescored under the stored first one."""
     left, right = (as_text(x) for x in sides(spark, sf_dir))
     snapshot = {"algorithm_version": "hybrid-v1", "word_tfidf_weight": "0.50", "character_tfidf_weight": "0.30", "word_overlap_weight": "0.20", "similarity_threshold": "0.8000"}
-    pairs = S.match_pairs(left, right).select("l", "r")
+    pairs = S.match_pairs(left, right)
     return evidence.replay_snapshot(pairs, left, right, snapshot).select("l", "r", T.score_round(F.col("score")).cast("double").alias("score"))
 
 
