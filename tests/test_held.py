@@ -128,6 +128,15 @@ def test_pairs_below_the_cosine_are_told_without_grams(spark, kept):
     assert want and kept["pairs"] < kept["candidates"]
 
 
+def test_streams_that_chunks_carry_are_not_told_again(spark, kept):
+    sf_dir = "/root/testdata/sf0.001"
+    left, right = plans.streamed_sides(spark, sf_dir)
+    kept.clear()
+    got = pairs_of(S.match_pairs(plans.as_text(left), plans.as_text(right)))
+    assert "streams" not in kept and "texts" not in kept
+    assert got and got == pairs_of(S.match_pairs(*(x.select("id", F.col("content").alias("text")) for x in (left, right))))
+
+
 def test_a_replay_weighs_known_signals(spark, kept):
     left, right = frames(spark)
     snapshot = {"algorithm_version": "hybrid-v1", "word_tfidf_weight": "0.50", "character_tfidf_weight": "0.30", "word_overlap_weight": "0.20", "similarity_threshold": "0.8000"}

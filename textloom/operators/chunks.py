@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from textloom.functions import text as T
 
@@ -28,22 +32,50 @@ def chunk_corpus(parts: DataFrame) -> DataFrame:
     blank pieces give none.
     """
     placed = place_parts(parts.withColumn("text", F.coalesce("text", F.lit(""))))
-    cut = placed.select("doc_id", "part_no", "page_number", "part_start", F.posexplode(T.sentence_pieces(F.col("text"))).alias("at", "piece"))
-    before = Window.partitionBy("doc_id", "part_no").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    lead = F.length("piece") - F.length(F.ltrim("piece", F.lit(T.BLANKS)))
-    content = F.btrim("piece", F.lit(T.BLANKS))
-    cut = cut.withColumn("start", F.col("part_start") + F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + lead).withColumn("content", content).where("content <> ''")
-    index = Window.partitionBy("doc_id").orderBy("part_no", "at")
-    return cut.select(
-        "doc_id",
-        (F.row_number().over(index) - 1).cast("long").alias("chunk_index"),
-        "content",
-        F.col("start").cast("long").alias("char_start"),
-        (F.col("start") + F.length("content")).cast("long").alias("char_end"),
-        T.token_count(F.col("content")).alias("token_count"),
-        "page_number",
-        F.sha2("content", 256).alias("content_sha256"),
-    )
+    cut = placed.select("doc_id", "part_no", "page_number", "part_start", T.sentence_pieces(F.col("text")).alias("pieces"))
+    # the window has put a document's parts into one partition
+    cut = _placed_pieces(cut.sortWithinPartitions("doc_id", "part_no"))
+    return cut.select("doc_id", "chunk_index", "content", "char_start", "char_end", T.token_count(F.col("content")).alias("token_count"), "page_number", F.sha2("content", 256).alias("content_sha256"))
+
+
+def _placed_pieces(parts: DataFrame) -> DataFrame:
+    """A row with number, content and range of every ``pieces`` item that is not blank, parts of a document being in order in one partition.
+
+    Told batch by batch from lengths alone; as rows, all pieces would be
+    sorted to be summed and numbered.
+    """
+    out = StructType([parts.schema["doc_id"], parts.schema["page_number"]]).add("chunk_index", LongType()).add("content", StringType()).add("char_start", LongType()).add("char_end", LongType())
+
+    def numbers(x) -> np.ndarray:
+        return x.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def go(batches):
+        last, before = None, 0  # the latest part's document, as an array of one, and its chunks so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs, pieces = batch.column("doc_id"), batch.column("pieces")
+            many = numbers(pc.list_value_length(pieces))
+            row, flat = np.repeat(np.arange(len(many)), many), pieces.flatten()
+            size = numbers(pc.utf8_length(flat))
+            start = np.cumsum(size) - size
+            start += (numbers(batch.column("part_start")) - np.append(start, 0)[np.cumsum(many) - many])[row]
+            tail = pc.utf8_rtrim(flat, characters=T.BLANKS)
+            content = pc.utf8_ltrim(tail, characters=T.BLANKS)
+            length = numbers(pc.utf8_length(content))
+            start += numbers(pc.utf8_length(tail)) - length
+            kept = np.flatnonzero(length)
+            row, start, end = row[kept], start[kept], (start + length)[kept]
+            # documents of the batch by number; 0 is the one that the batch before ended with
+            code = docs.dictionary_encode(null_encoding="encode").indices
+            own = np.cumsum(np.append(last is None or not last.equals(docs.slice(0, 1)), np.diff(numbers(code)) != 0))
+            doc = own[row]
+            index = np.arange(len(doc)) - np.searchsorted(doc, doc) + np.where(doc == 0, before, 0)
+            before, last = int((doc == own[-1]).sum()) + (before if own[-1] == 0 else 0), docs.slice(len(docs) - 1)
+            columns = [docs.take(pa.array(row)), batch.column("page_number").take(pa.array(row)), pa.array(index), content.take(pa.array(kept)), pa.array(start), pa.array(end)]
+            yield pa.RecordBatch.from_arrays(columns, out.names)
+
+    return parts.mapInArrow(go, out)
 
 
 def constraint_audit(chunks: DataFrame) -> DataFrame:

@@ -28,8 +28,7 @@ def match_evidence(documents: DataFrame, sources: DataFrame, config: Config = Co
     """
     sources = sources if today is None else eligible_sources(sources, today)
     if scored is None:
-        left, right = (x.select("id", F.col("content").alias("text")) for x in (documents, sources))
-        scored = S.match_pairs(left, right, config)
+        scored = S.match_pairs(S.text_rows(documents), S.text_rows(sources), config)
     # read by both sides' tokens and by the last join
     scored = keep(scored, "matches")
     found = token_blocks(scored, documents.select("id", "content"), sources.select("id", "content"))

@@ -37,10 +37,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
 
 
 def streams(texts: DataFrame) -> DataFrame:
-    """``id, stream``: the folded words of each text, from which alone its scores come; texts without words are left out."""
+    """``id, stream``: the folded words of each text, from which alone its scores come; texts without words are left out.
+
+    Rows that carry their ``stream`` are of a kept table, and are not folded again.
+    """
+    if "stream" in texts.columns:
+        return texts.select("id", "stream").where("stream <> ''")
     return keep(texts.select("id", T.char_stream(F.col("text")).alias("stream")).where("stream <> ''"), "streams")
 
 
+def with_stream(rows: DataFrame) -> DataFrame:
+    """Add the ``stream`` of ``content``, empty without words."""
+    return rows.withColumn("stream", F.coalesce(T.char_stream(F.col("content")), F.lit("")))
+
+
+def text_rows(rows: DataFrame) -> DataFrame:
+    """``id, text`` of ``id, content``, and the ``stream`` if the rows carry it."""
+    return rows.select("id", F.col("content").alias("text"), *(c for c in ("stream",) if c in rows.columns))
+
+
+def words_of(texts: DataFrame) -> Column:
+    """Words of each row's ``stream``, which is their list, or else of its ``text``."""
+    return F.split("stream", " ") if "stream" in texts.columns else T.words(F.col("text"))
+
+
 def firsts(rows: DataFrame) -> DataFrame:
     """``id, stream``: the least id of each word sequence, which stands for all its copies."""
     return rows.groupBy("stream").agg(F.min("id").alias("id")).select("id", "stream")
@@ -54,17 +74,14 @@ def likely_firsts(left: DataFrame, right: DataFrame, low: int, high: int, share:
 
 
 def matchable(left: DataFrame, right: DataFrame, low: int, high: int, share: float, squares: bool = True) -> DataFrame:
-    """The rows of ``left`` (``content``, any columns) that hold enough grams of ``right`` (``id, content``) for any match, or all at a share of 0.
+    """The rows of ``left`` (``content``, any columns) with their ``stream`` that hold enough grams of ``right`` (``id, content``) for any match, or all at a share of 0.
 
     Told where the rows are made, before anything is written or shuffled: all
     that follows reads these rows alone. Copies pass or fail together.
     """
-    if share <= 0:
-        return left
-    there = streams(right.select("id", F.col("content").alias("text")))
     # no filter on the stream here: it would be computed twice, and one without words holds no gram
-    named = left.withColumn("stream", F.coalesce(T.char_stream(F.col("content")), F.lit("")))
-    return likely(named, gram_map(there, low, high), low, high, share, squares).drop("stream")
+    named = with_stream(left)
+    return likely(named, gram_map(streams(text_rows(right)), low, high), low, high, share, squares) if share > 0 else named
 
 
 def texts_of(texts: DataFrame, some: DataFrame) -> DataFrame:
@@ -108,11 +125,12 @@ def gram_counts(texts: DataFrame, grams: Column) -> DataFrame:
 
 
 def word_counts(texts: DataFrame, config: Config = Config()) -> DataFrame:
-    return gram_counts(texts, T.ngrams(T.words(F.col("text")), *config.word_range))
+    return gram_counts(texts, T.ngrams(words_of(texts), *config.word_range))
 
 
 def char_counts(texts: DataFrame, config: Config = Config()) -> DataFrame:
-    return gram_counts(texts, T.char_ngrams(T.char_stream(F.col("text")), *config.char_range))
+    stream = F.col("stream") if "stream" in texts.columns else T.char_stream(F.col("text"))
+    return gram_counts(texts, T.char_ngrams(stream, *config.char_range))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -223,13 +241,15 @@ def overlap_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     """
     every = streams(left), streams(right)
     first = likely_firsts(*every, 1, 1, threshold, squares=False)
-    found = _overlap_pairs(texts_of(left, first[0]), texts_of(right, first[1]), threshold)
+    found = _overlap_pairs(*first, threshold)
     return spread_pairs(found, *first, *every)
 
 
 def _overlap_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """As ``overlap_pairs``, of ``id, stream`` rows."""
+
     def sets(texts: DataFrame) -> DataFrame:
-        return texts.select("id", F.array_distinct(T.words(F.col("text"))).alias("words")).where(F.size("words") > 0)
+        return texts.select("id", F.array_distinct(words_of(texts)).alias("words")).where(F.size("words") > 0)
 
     a, b = sets(left), sets(right)
     order = keep(sketch(b.select(F.explode("words").alias("gram"))), "order")
@@ -332,8 +352,8 @@ def _score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, config: Co
     if prune:
         # before words are compared, which costs more than to look at the cosine
         scored = keep(scored.where(hybrid_score(F.col("word"), F.lit(1.0), F.lit(1.0), config) >= F.lit(config.threshold)), "cosines")
-    a = a.select(F.col("id").alias("l"), F.array_distinct(T.words(F.col("text"))).alias("wl"))
-    b = b.select(F.col("id").alias("r"), F.array_distinct(T.words(F.col("text"))).alias("wr"))
+    a = a.select(F.col("id").alias("l"), F.array_distinct(words_of(a)).alias("wl"))
+    b = b.select(F.col("id").alias("r"), F.array_distinct(words_of(b)).alias("wr"))
     scored = scored.join(a, "l").join(b, "r").withColumn("overlap", word_overlap(F.col("wl"), F.col("wr"))["score"]).drop("wl", "wr")
     if prune:
         best = hybrid_score(F.col("word"), F.lit(1.0), F.col("overlap"), config)
@@ -357,7 +377,7 @@ def match_pairs(left: DataFrame, right: DataFrame, config: Config = Config()) ->
         return score_pairs(pairs, left, right, config).where(F.col("score") >= F.lit(config.threshold))
     every = streams(left), streams(right)
     first = likely_firsts(*every, *config.word_range, config.prefix_share(config.least_word_cosine))
-    a, b = texts_of(left, first[0]), texts_of(right, first[1])
+    a, b = first
     chars = (char_counts(a, config), char_counts(b, config)) if config.threshold <= config.char_weight else None
     pairs = candidate_pairs(word_counts(a, config), word_counts(b, config), config, chars)
     pairs = with_cosine(pairs, *first, config, config.least_word_cosine)
@@ -369,11 +389,11 @@ def word_pairs(left: DataFrame, right: DataFrame, config: Config = Config(), lea
     """``l, r`` of ``candidate_pairs`` of ``id, text`` rows; with ``least`` those of at least that cosine ``word``. Copies are compared once."""
     every = streams(left), streams(right)
     first = likely_firsts(*every, *config.word_range, config.prefix_share(config.least_word_cosine))
-    a, b = (word_counts(texts_of(x, f), config) for x, f in zip((left, right), first, strict=True))
+    a, b = (word_counts(x, config) for x in first)
     found = candidate_pairs(a, b, config)
     if least is not None:
         # few pairs are left, so grams are counted for their texts alone
         found = keep(with_cosine(found, *first, config, least), "pairs")
-        a, b = (word_counts(texts_of(x, found.select(F.col(i).alias("id")).distinct()), config) for x, i in ((left, "l"), (right, "r")))
+        a, b = (word_counts(texts_of(x, found.select(F.col(i).alias("id")).distinct()), config) for x, i in zip(first, "lr", strict=True))
         found = pair_cosine(found, a, b, "word").where(F.col("word") >= least)
     return spread_pairs(found, *first, *every)

@@ -22,7 +22,7 @@ from textloom.tables import shared_folder
 
 def _joined(spark, sf_dir):
     """Evidence of one owner's documents; every match also stands under the next document's analysis, wrongly."""
-    left, right = texts.sides(spark, sf_dir)
+    left, right = texts.streamed_sides(spark, sf_dir)
     found = S.match_pairs(texts.as_text(left), texts.as_text(right)).select(F.col("l").alias("document_chunk_id"), F.col("r").alias("source_chunk_id"), T.score_round(F.col("score")).cast("double").alias("score"))
     shifted = F.explode(F.array(F.lit(0), F.lit(1))).alias("wrong")
     matches = found.select("*", shifted).select("*", F.concat_ws("-", "document_chunk_id", "source_chunk_id", "wrong").alias("match_id"), ((F.expr("document_chunk_id div 1000000") + F.col("wrong")) * 10 + 1).alias("analysis_id"))

@@ -38,14 +38,20 @@ def sides(spark: SparkSession, sf_dir: str, overlap: float | None = None) -> tup
     Chunks of documents that no chunk of the corpus can match, by the word
     cosine of a match or by an ``overlap`` of words, are not kept.
     """
+    left, right = streamed_sides(spark, sf_dir, overlap)
+    return left.drop("stream"), right.drop("stream")
+
+
+def streamed_sides(spark: SparkSession, sf_dir: str, overlap: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """``sides`` with the ``stream`` of each chunk, by which matching folds nothing again."""
     left, right = (chunked(spark, sf_dir, table, key).select("id", "doc_id", "content", "char_start", "char_end") for table, key in (("documents", "doc_id"), ("benchmark", "item_id")))
-    right, config = keep(right, "chunks"), Config()
+    right, config = keep(S.with_stream(right), "chunks"), Config()
     bound = (*config.word_range, config.prefix_share(config.least_word_cosine)) if overlap is None else (1, 1, overlap, False)
     return keep(S.matchable(left, right, *bound), "chunks"), right
 
 
 def as_text(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.col("content").alias("text"))
+    return S.text_rows(rows)
 
 
 def normalize_text(spark, sf_dir):
@@ -95,28 +101,28 @@ def corpus_tfidf(spark, sf_dir):
 
 
 def word_overlap(spark, sf_dir):
-    left, right = sides(spark, sf_dir, overlap=0.5)
+    left, right = streamed_sides(spark, sf_dir, overlap=0.5)
     return S.overlap_pairs(as_text(left), as_text(right), 0.5)
 
 
 def candidate_pairs(spark, sf_dir):
-    left, right = sides(spark, sf_dir)
+    left, right = streamed_sides(spark, sf_dir)
     return S.word_pairs(as_text(left), as_text(right))
 
 
 def word_cosine(spark, sf_dir):
-    left, right = sides(spark, sf_dir)
+    left, right = streamed_sides(spark, sf_dir)
     return S.word_pairs(as_text(left), as_text(right), least=0.5).select("l", "r", F.round("word", 8).alias("word"))
 
 
 def hybrid_scores(spark, sf_dir):
-    left, right = sides(spark, sf_dir)
+    left, right = streamed_sides(spark, sf_dir)
     found = S.match_pairs(as_text(left), as_text(right))
     return found.select("l", "r", *(F.round(c, 8).alias(c) for c in ("word", "char", "overlap")), T.score_round(F.col("score")).cast("double").alias("score"), T.score_level(F.col("score")).alias("level"), T.percent_label(F.col("overlap")).alias("overlap_label"))
 
 
 def score_components(spark, sf_dir):
-    left, right = sides(spark, sf_dir)
+    left, right = streamed_sides(spark, sf_dir)
     found = S.match_pairs(as_text(left), as_text(right))
     parts = found.select("l", "r", S.score_components(F.col("word"), F.col("char"), F.col("overlap")).alias("x"))
     return parts.select("l", "r", *(F.round(F.col(f"x.{n}.contribution").cast("double"), 8).alias(n) for n in ("word_tfidf", "character_tfidf", "word_overlap")))
@@ -124,14 +130,14 @@ def score_components(spark, sf_dir):
 
 def snapshot_replay(spark, sf_dir):
     """The pairs of the present profile, rescored under the stored first one."""
-    left, right = (as_text(x) for x in sides(spark, sf_dir))
+    left, right = (as_text(x) for x in streamed_sides(spark, sf_dir))
     snapshot = {"algorithm_version": "hybrid-v1", "word_tfidf_weight": "0.50", "character_tfidf_weight": "0.30", "word_overlap_weight": "0.20", "similarity_threshold": "0.8000"}
     pairs = S.match_pairs(left, right)
     return evidence.replay_snapshot(pairs, left, right, snapshot).select("l", "r", T.score_round(F.col("score")).cast("double").alias("score"))
 
 
 def _evidence(spark, sf_dir):
-    left, right = sides(spark, sf_dir)
+    left, right = streamed_sides(spark, sf_dir)
     return evidence.match_evidence(left, right)
 
 
@@ -147,7 +153,7 @@ def coverage(spark, sf_dir):
 
 
 def _matched_chunks(spark, sf_dir):
-    left, right = sides(spark, sf_dir)
+    left, right = streamed_sides(spark, sf_dir)
     found = S.match_pairs(as_text(left), as_text(right))
     return found.join(left.select(F.col("id").alias("l"), "doc_id", "char_start", "char_end", "content"), "l").select("doc_id", F.col("l").alias("chunk"), F.expr("r div 1000000").alias("source_id"), F.concat_ws("-", "l", "r").alias("match_id"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), T.score_round(F.col("score")).cast("double").alias("score"), F.lit(None).cast("int").alias("page_number"))
 
