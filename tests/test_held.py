@@ -148,3 +148,12 @@ def test_a_replay_weighs_known_signals(spark, kept):
     # signals of other grams are told anew
     evidence.replay_snapshot(found, left, right, snapshot, S.Config(word_range=(1, 2)))
     assert "scored" in kept
+
+
+def test_overlaps_of_few_pairs_are_told_from_texts(spark, kept):
+    left, right = frames(spark)
+    sets = [{r["id"]: set(r["stream"].split(" ")) for r in S.streams(x).collect()} for x in (left, right)]
+    want = {(a, b, len(x & y), len(x | y), len(x & y) / len(x | y)) for a, x in sets[0].items() for b, y in sets[1].items() if len(x & y) >= 0.5 * len(x | y)}
+    kept.clear()
+    assert {tuple(r) for r in S.overlap_pairs(left, right, 0.5).collect()} == want and want
+    assert "texts" not in kept and kept["pairs"] >= kept["found"] > 0

@@ -264,9 +264,12 @@ def _overlap_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataF
 
     alike = (F.col("nl") >= F.col("nr") * threshold - 1e-9) & (F.col("nr") >= F.col("nl") * threshold - 1e-9)
     pairs = prefix(a, "l").join(small(keep(prefix(b, "r"), "prefixes")), "word").where(alike).select("l", "r").distinct()
-    both = pairs.join(a.select(F.col("id").alias("l"), F.col("words").alias("wl")), "l").join(b.select(F.col("id").alias("r"), F.col("words").alias("wr")), "r")
-    found = both.select("l", "r", word_overlap(F.col("wl"), F.col("wr")).alias("x"))
-    return found.select("l", "r", F.col("x.shared").cast("long").alias("shared"), F.col("x.total").cast("long").alias("total"), F.col("x.score").alias("score")).where(F.col("score") >= threshold)
+    # joined as texts, far smaller than arrays, of which a small side goes to every task
+    both = keep(pairs, "pairs").join(small(right.select(F.col("id").alias("r"), F.col("stream").alias("sr"))), "r").join(small(left.select(F.col("id").alias("l"), F.col("stream").alias("sl"))), "l")
+    both = both.withColumns({"wl": F.array_distinct(F.split("sl", " ")), "wr": F.array_distinct(F.split("sr", " "))})
+    both = both.select("l", "r", F.size(F.array_intersect("wl", "wr")).cast("long").alias("shared"), (F.size("wl") + F.size("wr")).cast("long").alias("both"))
+    total = F.col("both") - F.col("shared")
+    return both.select("l", "r", "shared", total.alias("total"), (F.col("shared") / total).alias("score")).where(F.col("score") >= threshold)
 
 
 def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, name: str) -> DataFrame:
